@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 from kgloom.llm.common import plain, table
