@@ -194,14 +194,14 @@ def _moves(edges: DataFrame, start: DataFrame, gamma: float, rounds: int) -> Dat
     loops = edges.filter("src <> dst")
     labels = staged(start)
     for r in range(rounds):
-        sizes = labels.join(degree, "id").groupBy("cluster").agg(F.sum("k").alias("K"))
+        sizes = labels.join(degree, "id").groupBy("cluster").agg(F.sum("k").alias("held"))
         near = loops.join(labels.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("w"))
         own = labels.select("id", F.col("cluster").alias("own"))
         options = near.join(own, "id").join(degree, "id").join(sizes, "cluster")
-        gain = F.col("w") - gamma * F.col("k") * (F.col("K") - F.when(F.col("cluster") == F.col("own"), F.col("k")).otherwise(0.0)) / m2
+        gain = F.col("w") - gamma * F.col("k") * (F.col("held") - F.when(F.col("cluster") == F.col("own"), F.col("k")).otherwise(0.0)) / m2
         best = options.groupBy("id").agg(F.max_by(F.struct("cluster", F.round(gain, 9).alias("gain")), F.struct(F.round(gain, 9).alias("g"), (-F.xxhash64("cluster")).alias("t"))).alias("b"), F.max(F.when(F.col("cluster") == F.col("own"), F.round(gain, 9))).alias("stay"), F.first("k").alias("k"))
         alone = best.join(own, "id").join(sizes.withColumnRenamed("cluster", "own"), "own")
-        stay = F.coalesce("stay", -gamma * F.col("k") * (F.col("K") - F.col("k")) / m2)
+        stay = F.coalesce("stay", -gamma * F.col("k") * (F.col("held") - F.col("k")) / m2)
         move = alone.filter((F.col("b.gain") > stay + 1e-9) & (F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2)).select("id", F.col("b.cluster").alias("to"))
         after = staged(labels.join(move, "id", "left").select("id", F.coalesce("to", "cluster").alias("cluster"), F.col("to").isNotNull().alias("moved")))
         moved = after.filter("moved").count()
