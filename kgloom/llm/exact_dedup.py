@@ -37,12 +37,13 @@ def sha256(text: Column) -> Column:
 def _rank(doc_id: Column, text: Column) -> Column:
     """One fixed-width number that is greatest for the longest text, then the smallest id (null ids last)."""
     n = F.char_length(F.coalesce(text, F.lit(""))).cast("decimal(38,0)")
-    return n * F.lit(_STEP).cast("decimal(21,0)") + F.coalesce(F.lit(_TOP).cast("decimal(20,0)") - doc_id.cast("decimal(20,0)"), F.lit(-1).cast("decimal(20,0)"))
+    place = F.lit(_TOP).cast("decimal(20,0)") - doc_id.cast("decimal(20,0)") + F.lit(1).cast("decimal(20,0)")
+    return n * F.lit(_STEP).cast("decimal(21,0)") + F.coalesce(place, F.lit(0).cast("decimal(22,0)"))
 
 
 def _id(best: Column) -> Column:
     rest = best % F.lit(_STEP).cast("decimal(21,0)")
-    return F.when(rest >= 0, F.lit(_TOP).cast("decimal(20,0)") - rest).cast("long")
+    return F.when(rest > 0, F.lit(_TOP).cast("decimal(20,0)") + F.lit(1).cast("decimal(20,0)") - rest).cast("long")
 
 
 def exact_dedup(
