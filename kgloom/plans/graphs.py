@@ -10,6 +10,7 @@ from kgloom.operators import relational as R
 from kgloom.plans.relational import both, by_folder, trade
 from kgloom.plans.sql import over
 from kgloom.sources import graph as G
+from kgloom.sources.stage import staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,13 +27,14 @@ def query(name: str, sql: str | None = None, recursive: bool = False):
 
 
 def directed(s, d):
-    return G.project(*both(s, d))
+    n, e = both(s, d)
+    return G.project(n, staged(e))
 
 
 def undirected(s, d):
     """Unweighted, simple."""
     n, e = both(s, d)
-    return L.as_projection(n, G.adjacency(e))
+    return L.as_projection(n, staged(G.adjacency(e)))
 
 
 # --- algorithms --------------------------------------------------------------------------------------------------------

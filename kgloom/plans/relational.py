@@ -9,6 +9,7 @@ from kgloom.functions import columns as C
 from kgloom.operators import relational as R
 from kgloom.plans.sql import over
 from kgloom.sources import graph as G
+from kgloom.sources.stage import staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -198,8 +199,8 @@ _SUB = ", sub AS (SELECT src AS a, dst AS b FROM edges WHERE type <> 'LOCATED_IN
 
 
 def trade(edges: DataFrame) -> DataFrame:
-    """The graph without the nations' hubs."""
-    return G.adjacency(edges.filter("type <> 'LOCATED_IN'"))
+    """The graph without the nations' hubs; written once, since pair measures read it several times."""
+    return staged(G.adjacency(edges.filter("type <> 'LOCATED_IN'")))
 
 
 @query("j5_two_hop_pairs", _SUB + " SELECT x.a, y.b, count(*) AS n FROM sub x JOIN sub y ON x.b = y.a WHERE x.a < y.b GROUP BY 1, 2")
