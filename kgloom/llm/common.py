@@ -39,3 +39,15 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
 def plain(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names, so that other columns of the input can't clash."""
     return df.select(*(F.col(f"`{c}`").alias(n) for n, c in columns.items()))
+
+
+def bounded_sample(rows: DataFrame, total: int, n: int, *by: str) -> DataFrame:
+    """At most ``n`` of ``rows``, the same in whatever order they come: those of the least hashes of the columns ``by``.
+
+    ``total`` is about the number of rows; rows whose hash is far too great are dropped where they are read, so that the
+    task which ranks the rest gets a few times ``n`` rows however large the table is.
+    """
+    h = F.xxhash64(*by)
+    if total > 4 * n:
+        rows = rows.filter(F.pmod(h, F.lit(1 << 40)) < F.lit(int((1 << 40) * 4 * n / total)))
+    return rows.orderBy(F.pmod(h, F.lit(1 << 40)), *by).limit(n)
