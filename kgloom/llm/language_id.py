@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import plain, staged, table
+from kgloom.llm.common import bounded_sample, plain, staged, table
 
 BUCKETS = 1 << 14
 _WEIGHT = 60.0
@@ -53,14 +53,14 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, languages: tuple[str, ...] | None = None, sample_rows: int = 2000, most_languages: int = 200) -> TextModel:
-    """From rows (text, lang): a sample of ``sample_rows`` labelled rows, the same whatever the order of rows.
+    """From rows (doc_id, text, lang): a sample of ``sample_rows`` labelled rows, the same whatever the order of rows.
 
     Only the fit uses a sample. At most ``most_languages`` languages, the most frequent first.
     """
-    rows = labelled.select("text", F.lower(F.substring_index("lang", "-", 1)).alias("lang")).filter("text is not null and lang is not null and text <> ''")
+    rows = labelled.select("doc_id", "text", F.lower(F.substring_index("lang", "-", 1)).alias("lang")).filter("text is not null and lang is not null and text <> ''")
     if languages:
         rows = rows.filter(F.col("lang").isin(*languages))
-    sample = rows.orderBy(F.xxhash64("text"), "text", "lang").limit(sample_rows)
+    sample = bounded_sample(rows, labelled.count(), sample_rows, "doc_id", "text", "lang")
 
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -179,7 +179,7 @@ def documents_language(docs: DataFrame, model: TextModel, least: float = 0.5) ->
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fit(plain(table(spark, sf_dir, "documents"), text="text", lang="lang"))
+    model = fit(plain(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang"))
     return pages_language(table(spark, sf_dir, "pages"), model)
 
 
