@@ -54,11 +54,12 @@ def lp_resource_allocation(adj: DataFrame, k: int = 20) -> DataFrame:
     return _top(pair_scores(adj).select("a", "b", F.round("resource", 3).alias("score")), "score", k)
 
 
-def _hub_pairs(adj: DataFrame, k: int, score: Column, bound: Callable[[int, int], int], first: int = 64) -> DataFrame:
-    """Unlinked pairs of the top-degree nodes, among which the top k must be.
+def _hub_pairs(adj: DataFrame, k: int, scored: Callable[[DataFrame], DataFrame], bound: Callable[[int, int], int], first: int = 64) -> DataFrame:
+    """Unlinked pairs (a, b, da, db, score) of the top-degree nodes, among which the top k must be.
 
-    The top m nodes are paired; a pair with a node outside scores at most ``bound`` of the greatest degree and the
-    least of the hubs', so once k unlinked pairs score above that (or all nodes are in), none is missing."""
+    The top m nodes are paired and ``scored``; a pair with a node outside scores at most ``bound`` of the greatest degree
+    and the least of the hubs', so once k unlinked pairs score above that (or all nodes are in), none is missing. Until
+    then m grows; where very many nodes share the greatest degree, so do the pairs that tie."""
     d = staged(degree(adj))
     n, most = d.agg(F.count(F.lit(1)), F.max("d")).first()
     m = first
@@ -66,24 +67,30 @@ def _hub_pairs(adj: DataFrame, k: int, score: Column, bound: Callable[[int, int]
         hubs = staged(d.orderBy(F.desc("d"), "id").limit(m))
         least = hubs.agg(F.min("d")).first()[0] or 0
         pairs = hubs.select(F.col("id").alias("a"), F.col("d").alias("da")).join(hubs.select(F.col("id").alias("b"), F.col("d").alias("db")), F.col("a") < F.col("b"))
-        scored = staged(exclude_linked(pairs, adj).select("a", "b", "da", "db"))
-        if m >= n or scored.filter(score > F.lit(bound(most, least))).count() >= k:
-            return scored
+        out = staged(scored(exclude_linked(pairs, adj)).select("a", "b", "da", "db", "score"))
+        if m >= n or out.filter(F.col("score") > F.lit(bound(most, least))).count() >= k:
+            return out
         m *= 4
 
 
+def _products(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("score", F.col("da") * F.col("db"))
+
+
 def lp_preferential_attachment(adj: DataFrame, k: int = 20) -> DataFrame:
     """L4"""
-    score = F.col("da") * F.col("db")
-    return _top(_hub_pairs(adj, k, score, operator.mul).select("a", "b", score.alias("score")), "score", k)
+    return _top(_hub_pairs(adj, k, _products, operator.mul).select("a", "b", "score"), "score", k)
 
 
 def lp_total_neighbors(adj: DataFrame, k: int = 20) -> DataFrame:
-    """The union of both neighbourhoods; with the common part counted for the hub pairs only."""
-    hubs = _hub_pairs(adj, k, F.col("da") + F.col("db"), operator.add, 256)
-    x = hubs.select("a", "b").join(adj.select("a", F.col("b").alias("via")), "a")
-    common = x.join(adj.select(F.col("a").alias("b"), F.col("b").alias("via")), ["b", "via"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    return _top(hubs.join(common, ["a", "b"], "left").select("a", "b", (F.col("da") + F.col("db") - F.coalesce("c", F.lit(0))).alias("score")), "score", k)
+    """The size of the union of both neighbourhoods."""
+
+    def unions(pairs: DataFrame) -> DataFrame:
+        x = pairs.select("a", "b").join(adj.select("a", F.col("b").alias("via")), "a")
+        common = x.join(adj.select(F.col("a").alias("b"), F.col("b").alias("via")), ["b", "via"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+        return pairs.join(common, ["a", "b"], "left").withColumn("score", F.col("da") + F.col("db") - F.coalesce("c", F.lit(0)))
+
+    return _top(_hub_pairs(adj, k, unions, operator.add).select("a", "b", "score"), "score", k)
 
 
 def lp_same_type(nodes: DataFrame, adj: DataFrame) -> DataFrame:
@@ -132,8 +139,7 @@ def bs_adamic_adar(adj: DataFrame) -> DataFrame:
 
 def bs_preferential(adj: DataFrame, k: int = 50) -> DataFrame:
     """L12"""
-    score = F.col("da") * F.col("db")
-    out = _hub_pairs(adj, k, score, operator.mul).filter((F.col("da") > 2) & (F.col("db") > 2) & (score > 10)).select("a", "b", score.alias("score"))
+    out = _hub_pairs(adj, k, _products, operator.mul).filter((F.col("da") > 2) & (F.col("db") > 2) & (F.col("score") > 10)).select("a", "b", "score")
     return _top(out, "score", k).select("a", "b", F.least(F.col("score") / 100, F.lit(1.0)).alias("confidence"))
 
 
