@@ -84,11 +84,11 @@ def _by_text(model: TextModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             top = []
-            for t in b.column("_text"):
+            for t in b.column("__kg_text"):
                 n, m = model.means(t.as_py())
                 best = int(m.argmax()) if n else -1
                 top.append(best if n and m[best] >= model.floor[best] else -1)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_declared", "_suffix", "_host")), pa.array(top, pa.int32())], ["_declared", "_suffix", "_host", "top"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__kg_declared", "__kg_suffix", "__kg_host")), pa.array(top, pa.int32())], ["__kg_declared", "__kg_suffix", "__kg_host", "top"])
 
     return run
 
@@ -99,7 +99,7 @@ def _fused(model: TextModel, confusion: np.ndarray, base: np.ndarray, names: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             by_text, language, probability, accepted = [], [], [], []
-            for t, d, prior in zip(b.column("_text"), b.column("_declared").to_pylist(), b.column("_prior").to_pylist(), strict=True):
+            for t, d, prior in zip(b.column("__kg_text"), b.column("__kg_declared").to_pylist(), b.column("__kg_prior").to_pylist(), strict=True):
                 n, m = model.means(t.as_py())
                 e = m * min(n, _WEIGHT) + np.log(prior if prior else base) + confusion[:, place.get(d, len(place)) if d is not None else len(place) + 1]
                 e = np.exp(e - e.max())
@@ -129,20 +129,20 @@ def language_id(df: DataFrame, model: TextModel, text: Column, declared: Column
     keep = [c for c in keep or df.columns if c not in out]
     null = F.lit(None).cast("string")
     shape = lambda c: F.lower(F.trim(c)) if c is not None else null
-    rows = df.select(*(F.col(f"`{c}`") for c in keep), text.alias("_text"), F.substring_index(shape(declared), "-", 1).alias("_declared"), shape(suffix).alias("_suffix"), shape(host).alias("_host"))
+    rows = df.select(*(F.col(f"`{c}`") for c in keep), text.alias("__kg_text"), F.substring_index(shape(declared), "-", 1).alias("__kg_declared"), shape(suffix).alias("__kg_suffix"), shape(host).alias("__kg_host"))
     k = len(model.languages)
     if not k:
         return rows.select(*(F.col(f"`{c}`") for c in keep), F.lit(UNKNOWN).alias(out[0]), F.lit(UNKNOWN).alias(out[1]), F.lit(0.0).alias(out[2]), F.lit(False).alias(out[3]))
-    known = F.when(F.col("_declared").isin(*model.languages), F.col("_declared")).when(F.col("_declared").isNotNull(), F.lit(UNKNOWN))
-    tops = rows.select("_text", known.alias("_declared"), "_suffix", "_host").mapInArrow(_by_text(model), "_declared string, _suffix string, _host string, top int").filter("top >= 0")
+    known = F.when(F.col("__kg_declared").isin(*model.languages), F.col("__kg_declared")).when(F.col("__kg_declared").isNotNull(), F.lit(UNKNOWN))
+    tops = rows.select("__kg_text", known.alias("__kg_declared"), "__kg_suffix", "__kg_host").mapInArrow(_by_text(model), "__kg_declared string, __kg_suffix string, __kg_host string, top int").filter("top >= 0")
     per = [F.count(F.when(F.col("top") == i, 1)).alias(f"c{i}") for i in range(k)]
-    counts = tops.groupBy("_declared", "_suffix", "_host").agg(*per)
+    counts = tops.groupBy("__kg_declared", "__kg_suffix", "__kg_host").agg(*per)
     sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]
     counts = staged(counts)
     # Languages x languages.
     table_ = np.zeros((k, k + 2))
-    for r in counts.groupBy("_declared").agg(*sums).collect():
-        at = model.languages.index(r["_declared"]) if r["_declared"] in model.languages else k + (r["_declared"] is None)
+    for r in counts.groupBy("__kg_declared").agg(*sums).collect():
+        at = model.languages.index(r["__kg_declared"]) if r["__kg_declared"] in model.languages else k + (r["__kg_declared"] is None)
         table_[:, at] = [r[f"c{i}"] for i in range(k)]
     total = table_.sum(axis=1)
     base = (total + 1) / (total.sum() + k)
@@ -152,10 +152,10 @@ def language_id(df: DataFrame, model: TextModel, text: Column, declared: Column
     globally = F.array(*(F.lit(float(x)) for x in base))
     own = F.array(*(F.col(f"c{i}").cast("double") for i in range(k)))
     lean = lambda above: F.zip_with(own, above, lambda c, p: (c + F.lit(_LEAN) * p) / (F.aggregate(own, F.lit(0.0), lambda a, x: a + x) + F.lit(_LEAN)))
-    by_suffix = counts.filter("_suffix is not null").groupBy("_suffix").agg(*sums).select("_suffix", lean(globally).alias("_above"))
-    by_host = counts.filter("_host is not null").groupBy("_host", "_suffix").agg(*sums).join(by_suffix, "_suffix", "left")
-    by_host = by_host.select("_host", "_suffix", lean(F.coalesce("_above", globally)).alias("_prior"))
-    joined = rows.alias("r").join(by_host.alias("h"), F.expr("r._host = h._host and r._suffix <=> h._suffix"), "left").select("r.*", "h._prior")
+    by_suffix = counts.filter("__kg_suffix is not null").groupBy("__kg_suffix").agg(*sums).select("__kg_suffix", lean(globally).alias("__kg_above"))
+    by_host = counts.filter("__kg_host is not null").groupBy("__kg_host", "__kg_suffix").agg(*sums).join(by_suffix, "__kg_suffix", "left")
+    by_host = by_host.select("__kg_host", "__kg_suffix", lean(F.coalesce("__kg_above", globally)).alias("__kg_prior"))
+    joined = rows.alias("r").join(by_host.alias("h"), F.expr("r.__kg_host = h.__kg_host and r.__kg_suffix <=> h.__kg_suffix"), "left").select("r.*", "h.__kg_prior")
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.select(*(F.col(f"`{c}`") for c in keep)).dtypes)
     return joined.mapInArrow(_fused(model, confusion, base, keep, least), f"{kinds}, language_by_text string, language string, language_probability double, language_accepted boolean")
 

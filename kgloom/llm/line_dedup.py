@@ -120,7 +120,7 @@ def _dropping(least: int, text_col: str) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n_lines, n_dropped = [], [], []
-            for text, lost in zip(b.column(text_col), b.column("_lost"), strict=True):
+            for text, lost in zip(b.column(text_col), b.column("__kg_lost"), strict=True):
                 lines = (text.as_py() or "").split("\n")
                 n_lines.append(len(lines))
                 if lost.is_valid:
@@ -129,7 +129,7 @@ def _dropping(least: int, text_col: str) -> Callable[[Iterator[pa.RecordBatch]],
                     lines = [x for x in lines if _key(x, least) not in gone]
                 n_dropped.append(n_lines[-1] - len(lines))
                 texts.append("\n".join(lines))
-            names = [c for c in b.schema.names if c not in ("_lost", "_id")]
+            names = [c for c in b.schema.names if c not in ("__kg_lost", "__kg_id")]
             arrays = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
@@ -157,9 +157,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     packets, index = line_index(df, id_col, text_col, min_docs, min_chars, shards)
     hits = packets.filter("shard >= 0").select("shard", "batch", "keys").groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe, "batch long, keys binary, max_doc binary")
     lost = packets.filter("shard = -1").groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(_decide, "doc_id long, lost binary")
-    lost = lost.groupBy("doc_id").agg(F.collect_list("lost").alias("_lost")).withColumnRenamed("doc_id", "_id")
-    rows = df.withColumn("_id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LEAST)))
-    joined = rows.join(lost.hint("shuffle_hash"), "_id", "left").select(*(F.col(f"`{c}`") for c in df.columns), "_lost")
+    lost = lost.groupBy("doc_id").agg(F.collect_list("lost").alias("__kg_lost")).withColumnRenamed("doc_id", "__kg_id")
+    rows = df.withColumn("__kg_id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LEAST)))
+    joined = rows.join(lost.hint("shuffle_hash"), "__kg_id", "left").select(*(F.col(f"`{c}`") for c in df.columns), "__kg_lost")
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return joined.mapInArrow(_dropping(min_chars, text_col), f"{kinds}, n_lines long, n_dropped long")
 
