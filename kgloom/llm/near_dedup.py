@@ -11,9 +11,12 @@ Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text's set holds the 64-b
    the chunk's medoids, and the medoids meet again, in sorted order, at a second level.
    Candidates must agree in about as many minimum hashes as the similarity asks for (4.5 standard deviations of slack).
 3. Candidates are confirmed on full sets: first each row's best, then all whose ends are still in different components;
-   last, rows whose candidates failed meet the medoids of all their crowded regions.
+   then, rows whose candidates failed meet the medoids of all their crowded regions.
    Sets are computed again for rows with candidates only, chosen through a bitmap of fixed size.
 4. Links are contracted to components by star steps.
+5. No pair of a crowded region is left out: where a crowded (or cut) region still holds several components, every row
+   outside the region's greatest component meets all rows of the region, in blocks of rows by rows. A block's minimum
+   hashes name the rows with a partner in another component, and those rows' full sets are intersected as matrices.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ _SPARSE = 9
 _CHUNK = 768
 _BEST = 8
 _MEDOIDS = 4
+_BLOCK = 512
+_COLUMNS = 4096
 _BITMAP = 1 << 24
 
 _RANDOM = np.random.default_rng(20240229)
@@ -219,16 +224,19 @@ def _tree_rows(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(keys).alias("k"), "id", "n_shingles", "sign").select("k.tree", "k.key", "id", "n_shingles", "sign")
 
 
-def _candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, same), a < b: distinct candidate pairs of representatives; and each crowded region's medoid."""
+def _candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b, same), a < b: distinct candidate pairs of representatives; each crowded region's medoid; and (tree, prefix)
+    of all regions that are crowded or cut by the end of a block, the only ones of which pairs may be missing."""
     rows = _tree_rows(classes)
     order = ["tree", "key", "id"]
     first = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_searching(percent), _FOUND))
     again = first.filter("id is not null").select("tree", "key", "id", "n_shingles", "sign").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_searching(percent), _FOUND)
     pairs = first.filter("a is not null").select("a", "b", "same").union(again.filter("a is not null").select("a", "b", "same"))
-    medoids = first.filter("id is not null and same is not null").groupBy("tree", F.expr(f"substring(key, 1, {2 * _LEAST_DEPTH})").alias("prefix"))
+    prefix = F.expr(f"substring(key, 1, {2 * _LEAST_DEPTH})").alias("prefix")
+    regions = first.filter("id is not null").select("tree", prefix).distinct()
+    medoids = first.filter("id is not null and same is not null").groupBy("tree", prefix)
     medoids = medoids.agg(F.max_by(F.struct(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sign").alias("sign_b")), F.struct("same", -F.col("id"))).alias("m")).select("tree", "prefix", "m.*")
-    return staged(pairs.groupBy("a", "b").agg(F.max("same").alias("same"))), staged(medoids)
+    return staged(pairs.groupBy("a", "b").agg(F.max("same").alias("same"))), staged(medoids), staged(regions)
 
 
 def _to_medoids(classes: DataFrame, ids: DataFrame, medoids: DataFrame, percent: int) -> DataFrame:
@@ -259,10 +267,12 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _confirmed(rows: DataFrame, pairs: DataFrame, percent: int, width: int, bits: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) with 100 * intersection >= percent * union, on the full sets."""
-    spark = rows.sparkSession
-    kept = spark.sparkContext.broadcast(_bitmap(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), bits))
+def _sets(rows: DataFrame, ids: DataFrame, width: int, bits: int) -> DataFrame:
+    """(id, set) of at least the rows ``ids``.
+
+    48 bits of each hash: two different shingles of one pair are taken for equal once in about 10^8 pairs of texts.
+    """
+    kept = rows.sparkSession.sparkContext.broadcast(_bitmap(ids, bits))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,6 +282,13 @@ def _confirmed(rows: DataFrame, pairs: DataFrame, percent: int, width: int, bits
                 got = [s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in shingle_sets(texts, width)]
                 yield pa.RecordBatch.from_arrays([asked.column("doc_id").slice(at, len(texts)), pa.array(got, pa.binary())], ["id", "set"])
 
+    return rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(bits))).mapInArrow(sets, "id long, set binary")
+
+
+def _confirmed(rows: DataFrame, pairs: DataFrame, percent: int, width: int, bits: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) with 100 * intersection >= percent * union, on the full sets."""
+    full = _sets(rows, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), width, bits)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -283,12 +300,120 @@ def _confirmed(rows: DataFrame, pairs: DataFrame, percent: int, width: int, bits
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # 48 bits of each hash: two different shingles of one pair are taken for equal once in about 10^8 pairs of texts.
-    full = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(bits))).mapInArrow(sets, "id long, set binary")
     left = pairs.select("a", "b").join(full.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     return (left.join(full.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"))
 
 
+_PLACE = ["tree", "prefix", "part_a", "part_b"]
+
+
+def _blocks(classes: DataFrame, roots: DataFrame, regions: DataFrame) -> DataFrame:
+    """Rows of those ``regions`` that hold several components, dealt to blocks (tree, prefix, part_a, part_b).
+
+    Side a has the rows outside the region's greatest component, side b all rows; each a meets each b in one block.
+    """
+    known = classes.join(roots, "id", "left").select("id", "n_shingles", "sign", F.coalesce("root", "id").alias("root"))
+    places = F.array(*(F.struct(F.lit(t).alias("tree"), F.expr(f"substring(sign, {1 + 2 * DEPTH * t}, {2 * _LEAST_DEPTH})").alias("prefix")) for t in range(TREES)))
+    members = known.select(F.explode(places).alias("k"), "id", "root").select("k.tree", "k.prefix", "id", "root")
+    members = staged(members.join(regions, ["tree", "prefix"], "left_semi"))
+    counts = members.groupBy("tree", "prefix", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = counts.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("top")).filter("roots > 1")
+    parts = lambda n: F.ceil(n / F.lit(_BLOCK)).cast("int")
+    several = several.select("tree", "prefix", "top", parts(F.col("n") - F.col("most")).alias("parts_a"), parts(F.col("n")).alias("parts_b"))
+    met = members.join(several, ["tree", "prefix"]).select("tree", "prefix", "id", (F.col("root") == F.col("top")).alias("in_top"), "parts_a", "parts_b")
+    met = met.join(known, "id")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    carried = ["id", "root", "n_shingles", "sign", "in_top"]
+    a = met.filter("not in_top").select("tree", "prefix", own("parts_a").alias("part_a"), every("parts_b").alias("part_b"), F.lit(True).alias("is_a"), *carried)
+    b = met.select("tree", "prefix", every("parts_a").alias("part_a"), own("parts_b").alias("part_b"), F.lit(False).alias("is_a"), *carried)
+    return a.union(b)
+
+
+def _partnered(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one block, the rows with a partner in another component whose minimum hashes agree enough."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        finder, tree, is_a = _Region(percent), block.column("tree")[0].as_py(), block.column("is_a").to_numpy()
+        sides = [np.flatnonzero(is_a), np.flatnonzero(~is_a)]
+        signs = _matrix(block.column("sign"), ">u2", _HASHES).astype(np.uint16)
+        (sign_a, sign_b), (id_a, id_b), (root_a, root_b), (size_a, size_b) = ([x[s] for s in sides] for x in (signs, *(block.column(c).to_numpy() for c in ("id", "root", "n_shingles"))))
+        top_b = block.column("in_top").to_numpy()[sides[1]]
+        same = np.zeros((len(id_a), len(id_b)), np.int8)
+        # Pairs that meet in the region of a tree before this are compared there; of two rows outside the greatest component, the lesser is on side a.
+        fit = (root_a[:, None] != root_b) & (top_b | (id_a[:, None] < id_b))
+        fit &= np.minimum(size_a[:, None], size_b) >= finder.size * np.maximum(size_a[:, None], size_b)
+        for t in range(TREES):
+            before = np.ones_like(fit)
+            for k in range(DEPTH):
+                equal = sign_a[:, DEPTH * t + k, None] == sign_b[:, DEPTH * t + k]
+                same += equal
+                if k < _LEAST_DEPTH:
+                    before &= equal
+            if t < tree:
+                fit &= ~before
+        fit &= same >= finder.agree
+        rows = np.concatenate([sides[0][fit.any(axis=1)], sides[1][fit.any(axis=0)]])
+        return block.take(pa.array(rows)).select([*_PLACE, "is_a", "id", "root"])
+
+    return run
+
+
+def _linking(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one block with full sets, links (a, b) enough to tie all components that its pairs tie."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        is_a, ids, roots = (block.column(c).to_numpy() for c in ("is_a", "id", "root"))
+        sets = [_wide(v.as_py()) for v in block.column("set")]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        on_a = is_a[row]
+        # Only shingles that both sides hold count.
+        both = (np.bincount(column, on_a) > 0) & (np.bincount(column, ~on_a) > 0)
+        column, row = (np.cumsum(both) - 1)[column[both[column]]], row[both[column]]
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        a, b = np.flatnonzero(is_a), np.flatnonzero(~is_a)
+        shared = np.zeros((len(a), len(b)), np.float32)
+        for at in range(0, int(both.sum()), _COLUMNS):
+            here = slice(*np.searchsorted(column, (at, at + _COLUMNS)))
+            m = np.zeros((len(sets), _COLUMNS), np.float32)
+            m[row[here], column[here] - at] = 1
+            shared += m[a] @ m[b].T
+        shared = shared.astype(np.int64)
+        linked = (100 * shared >= percent * (sizes[a][:, None] + sizes[b] - shared)) & (roots[a][:, None] != roots[b])
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        out: list[tuple[int, int]] = []
+        i, j = np.nonzero(linked)
+        for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True):
+            p, q = top(int(roots[x])), top(int(roots[y]))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def _all_pairs(rows: DataFrame, classes: DataFrame, roots: DataFrame, regions: DataFrame, percent: int, width: int, bits: int) -> DataFrame:
+    """Links (a, b) between components from all pairs of ``regions``, enough to tie what any of the pairs ties."""
+    kept = "tree int, prefix binary, part_a int, part_b int, is_a boolean, id long, root long"
+    asked = staged(_blocks(classes, roots, regions).groupBy(*_PLACE).applyInArrow(_partnered(percent), kept))
+    if asked.isEmpty():
+        return asked.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    full = staged(_sets(rows, asked.select("id"), width, bits))
+    return asked.join(full, "id").groupBy(*_PLACE).applyInArrow(_linking(percent), "a long, b long")
+
+
 def _wide(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
@@ -310,7 +435,7 @@ def near_dedup(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "
     # Rows that repeat an id with different sets tie the classes they belong to.
     several = some.groupBy("doc_id").agg(F.min(F.xxhash64("set_key")).alias("x"), F.max(F.xxhash64("set_key")).alias("y")).filter("x <> y").select("doc_id")
     ties = some.join(several, "doc_id", "left_semi").join(classes.select("set_key", "id"), "set_key").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    candidates, medoids = _candidates(classes, percent)
+    candidates, medoids, regions = _candidates(classes, percent)
     best = candidates.select("a", "b", "same", F.col("a").alias("id")).union(candidates.select("a", "b", "same", F.col("b").alias("id")))
     best = best.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("same", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
     texts = rows.filter("doc_id is not null")
@@ -323,6 +448,8 @@ def near_dedup(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "
     ids = still.select(F.col("a").alias("id")).union(still.select("b")).distinct()
     third = staged(_confirmed(texts, _apart(_to_medoids(classes, ids, medoids, percent), roots), percent, width, bits))
     roots = components(first.union(second).union(third)) if not third.isEmpty() else roots
+    last = staged(_all_pairs(texts, classes, roots, regions, percent, width, bits))
+    roots = components(first.union(second).union(third).union(last)) if not last.isEmpty() else roots
     groups = classes.select("set_key", "id").join(roots, "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
     out = signed.join(groups, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

@@ -1,3 +1,4 @@
+import collections
 import random
 import re
 
@@ -78,6 +79,44 @@ def test_hot_group(spark):
     assert got(nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 80)) == brute(rows, 80)
 
 
+def linked_by_all_pairs(rows, percent):
+    """id -> least id of its component, by the shingles that several rows share as one matrix."""
+    column, sets = {}, [shingles(t) for _, t in rows]
+    held = collections.Counter(s for x in sets for s in x)
+    m = np.zeros((len(rows), sum(n > 1 for n in held.values())), np.float32)
+    for i, x in enumerate(sets):
+        m[i, [column.setdefault(s, len(column)) for s in x if held[s] > 1]] = 1
+    shared, sizes = m @ m.T, np.array([len(x) for x in sets])
+    linked = 100 * shared >= percent * (sizes[:, None] + sizes - shared)
+    ids = np.array([i for i, _ in rows])
+    low = ids.copy()
+    while True:
+        new = np.where(linked, low, low.max()).min(axis=1)
+        if (new == low).all():
+            return dict(zip(ids.tolist(), low.tolist(), strict=True))
+        low = new
+
+
+def test_star_over_several_chunks(spark):
+    """Over 3,000 copies of one text that are linked through the original only, and a tight group beside it."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choices(words, k=400)
+
+    def edited(text, n):
+        out = list(text)
+        for at in rng.sample(range(len(text)), n):
+            out[at] = rng.choice(words)
+        return out
+
+    rows = [(i, " ".join(edited(base, rng.randint(3, 6)))) for i in range(3000)] + [(9000, " ".join(base))]
+    tight = edited(base, 6)
+    rows += [(4000 + i, " ".join(edited(tight, 1))) for i in range(60)]
+    want = linked_by_all_pairs(rows, 85)
+    out = nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 85)
+    assert {r.doc_id: r.component_id for r in out.collect()} == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 160)] + [(200, 201), (201, 202), (201, 200), (5, 5)]
     out = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
