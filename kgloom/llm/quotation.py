@@ -1,8 +1,8 @@
 """Chat formatting by quotation linking, with DataFrame functions only.
 
 A line's quote level is the number of '>' marks before its text. Consecutive lines of one level are a passage. Passages
-of level 1 and up are quotes; what a message says itself (its level-0 passages, their lines, and its whole own text) can be
-quoted. Passages are normalised (A-Z lower-cased, runs of white space made one blank, trimmed) and hashed; within a
+of level 1 and up are quotes; what a message says itself (its level-0 passages, any run of its lines that hold something, and
+its whole own text) can be quoted. Runs of lines are only formed where a quote's first line stands, as long as that quote. Passages are normalised (A-Z lower-cased, runs of white space made one blank, trimmed) and hashed; within a
 conversation each quote finds the latest earlier message that says the same, by one window over (conversation, hash) in
 which quotes and sayings are ordered by turn, so a phrase that is said a thousand times is not multiplied. A message
 replies to what its outermost quote cites; without a link, it just follows. Messages are ordered by the thread (the
@@ -38,7 +38,7 @@ def passages(messages: DataFrame) -> DataFrame:
     return lines.groupBy("conv_id", "turn", "part", "passage", "level").agg(F.min("line").alias("first"), text.alias("text")).drop("passage")
 
 
-def link_quotes(df: DataFrame, least_chars: int = 8) -> DataFrame:
+def link_quotes(df: DataFrame, least_chars: int = 1) -> DataFrame:
     """One row per message: conv_id, turn, role, copies, body (without quotes), quotes, linked, deepest, reply_to, thread, place, formatted.
 
     ``quotes`` counts quoted passages, ``linked`` those that an earlier message says, ``deepest`` is the greatest quote
@@ -59,7 +59,8 @@ def link_quotes(df: DataFrame, least_chars: int = 8) -> DataFrame:
     body = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("first", "text")))), lambda x: x["text"]), "\n"))
     own = parts.groupBy("conv_id", "turn", "part").agg(body.alias("body"), F.count_if(F.col("level") > 0).alias("quotes"), F.max("level").alias("deepest"))
 
-    quotes = parts.filter("level > 0 and turn is not null").select("conv_id", "turn", "part", "level", normalised(F.col("text")).alias("norm")).filter(F.length("norm") >= least_chars)
+    quotes = parts.filter("level > 0 and turn is not null").select("conv_id", "turn", "part", "level", normalised(F.col("text")).alias("norm"), _lines(F.col("text")).alias("lines")).filter(F.length("norm") >= F.lit(max(1, least_chars)))
+    starts = quotes.filter(F.size("lines") > 1).select("conv_id", F.sha2(F.col("lines")[0], 256).alias("line"), F.size("lines").alias("n")).distinct()
     quotes = quotes.select("conv_id", "turn", "part", "level", F.sha2("norm", 256).alias("hash"))
     # Only conversations that quote need hashes of what was said.
     asked = quotes.select("conv_id").distinct()
@@ -67,7 +68,7 @@ def link_quotes(df: DataFrame, least_chars: int = 8) -> DataFrame:
     said = passages(said.select("conv_id", "turn", "part", "text")).filter("level = 0")
     whole = said.groupBy("conv_id", "turn", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda x: x["text"]), "\n").alias("text"))
     units = said.select("conv_id", "turn", "text").union(said.select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("text"))).union(whole.select("conv_id", "turn", "text"))
-    units = units.select("conv_id", "turn", normalised(F.col("text")).alias("norm")).filter(F.length("norm") >= least_chars).select("conv_id", "turn", F.sha2("norm", 256).alias("hash")).distinct()
+    units = units.select("conv_id", "turn", normalised(F.col("text")).alias("norm")).union(_runs(whole, starts)).filter(F.length("norm") >= F.lit(max(1, least_chars))).select("conv_id", "turn", F.sha2("norm", 256).alias("hash")).distinct()
     none = F.lit(None)
     both = units.select("conv_id", "turn", "hash", F.col("turn").alias("source"), none.cast("string").alias("part"), none.cast("int").alias("level")).union(quotes.select("conv_id", "turn", "hash", none.cast("long"), "part", "level"))
     ahead = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
@@ -84,6 +85,21 @@ def link_quotes(df: DataFrame, least_chars: int = 8) -> DataFrame:
     return joined.select("conv_id", "turn", "role", "copies", "body", "quotes", "linked", "deepest", "reply_to", "thread", place.cast("long").alias("place"), formatted.alias("formatted"))
 
 
+def _lines(text: Column) -> Column:
+    """The normalised lines that hold anything."""
+    return F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
+
+
+def _runs(whole: DataFrame, starts: DataFrame) -> DataFrame:
+    """(conv_id, turn, norm): the runs of ``n`` lines of each message's own text that begin with a ``line`` of ``starts``."""
+    whole = whole.select("conv_id", "turn", "part", _lines(F.col("text")).alias("lines"))
+    at = whole.select("conv_id", "turn", "part", F.size("lines").alias("of"), F.posexplode("lines").alias("at", "text")).withColumn("line", F.sha2("text", 256))
+    at = at.alias("w").join(starts.alias("s"), F.expr("w.conv_id <=> s.conv_id and w.line = s.line and w.at + s.n <= w.of")).select("w.conv_id", "w.turn", "w.part", "w.at", "s.n")
+    at = at.groupBy("conv_id", "turn", "part").agg(F.collect_list(F.struct("at", "n")).alias("at"))
+    runs = F.transform("at", lambda x: F.array_join(F.slice("lines", x["at"] + 1, x["n"]), " "))
+    return whole.alias("w").join(at.alias("a"), F.expr("w.conv_id <=> a.conv_id and w.turn = a.turn and w.part = a.part")).select("w.conv_id", "w.turn", F.explode(runs).alias("norm"))
+
+
 def _threads(linked: DataFrame) -> DataFrame:
     """(conv_id, turn, thread): where the chain of replies of each linked turn ends, by pointer doubling."""
     up = staged(linked.groupBy("conv_id", "turn").agg(F.max("reply_to").alias("thread")))

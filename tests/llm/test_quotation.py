@@ -36,6 +36,28 @@ def test_links(spark):
     assert link_quotes(df.limit(0)).count() == 0
 
 
+def test_partial_and_short_quotes(spark):
+    """Some lines of a longer passage, lines around a blank one, quotes of few characters; no run across two messages."""
+    rows = [
+        (1, 0, "first of four\nsecond of four\n\nthird of four\nfourth of four"),
+        (1, 1, "Yes"),
+        (1, 2, "> First of  four\n> second of four\nagreed"),
+        (1, 3, "> second of four\n>\n> third of four\nand this?"),
+        (1, 4, "> yes\nfine"),
+        (1, 5, "> first of four\n> third of four\nnot a run"),
+        (1, 6, "> fourth of four\n> Yes\nof two messages"),
+        (1, 7, "> \nnothing quoted"),
+        (1, 8, "third of four\nfourth of four\nsaid again"),
+        (1, 9, "> third of four\n> fourth of four\nthe latest"),
+        (None, 0, "a\nb\nc"),
+        (None, 1, "> b\n> c\nok"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.linked) for r in link_quotes(df).collect()}
+    assert [got[1, t] for t in range(2, 10)] == [(0, 1), (0, 1), (1, 1), (None, 0), (None, 0), (None, 0), (None, 0), (8, 1)]
+    assert got[None, 1] == (0, 1)
+
+
 def test_against_brute_force(spark):
     import random
     import re
