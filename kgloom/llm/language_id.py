@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import bounded_sample, plain, staged, table
+from kgloom.llm.common import plain, staged, table
 
 BUCKETS = 1 << 14
 _WEIGHT = 60.0
@@ -53,14 +53,17 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, languages: tuple[str, ...] | None = None, sample_rows: int = 2000, most_languages: int = 200) -> TextModel:
-    """From rows (doc_id, text, lang): a sample of ``sample_rows`` labelled rows, the same whatever the order of rows.
+    """From rows (doc_id, text, lang): about ``sample_rows`` labelled rows of each language (all, where it has fewer), the same whatever the order of rows.
 
-    Only the fit uses a sample. At most ``most_languages`` languages, the most frequent first.
+    The languages are counted over all labelled rows; only the fit of each uses a sample. At most ``most_languages`` languages, the most frequent first.
     """
     rows = labelled.select("doc_id", "text", F.lower(F.substring_index("lang", "-", 1)).alias("lang")).filter("text is not null and lang is not null and text <> ''")
     if languages:
         rows = rows.filter(F.col("lang").isin(*languages))
-    sample = bounded_sample(rows, labelled.count(), sample_rows, "doc_id", "text", "lang")
+    # A row is taken by its own hash, so nothing is ranked; the least hash is always taken, so no language comes out empty.
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", "text", "lang"), F.lit(1 << 40)))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    sample = rows.join(F.broadcast(counts), "lang").filter((F.col("h") == F.col("least")) | (F.col("h") / F.lit(1 << 40) < F.lit(sample_rows) / F.col("n"))).select("text", "lang")
 
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -76,7 +79,7 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] | None = None, sample_ro
     per: dict[str, np.ndarray] = {}
     for r in grouped.toLocalIterator():
         per.setdefault(r["lang"], np.zeros(BUCKETS))[r["bucket"]] = r["n"]
-    names = sorted(sorted(per, key=lambda k: (-per[k].sum(), k))[:most_languages])
+    names = sorted(per)
     return TextModel(names, np.stack([per[k] for k in names]) if names else np.zeros((0, BUCKETS)))
 
 

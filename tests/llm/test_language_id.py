@@ -44,3 +44,15 @@ def test_pages(spark):
     said = pages.select("page_id", F.regexp_extract("html", 'lang="(..)"', 1).alias("said"))
     n, same = out.join(said, "page_id").agg(F.count("*"), F.count_if(F.expr("language = said"))).first()
     assert same > 0.9 * n
+
+
+def test_rare_languages(spark):
+    """Languages of 4 rows in 40,000 each are fitted, and their texts accepted."""
+    rare = {"el": "το σπίτι είναι μεγάλο και ο κήπος μικρός ", "ru": "дом большой а сад маленький и тихий ", "he": "הבית גדול והגן קטן ושקט מאוד ", "ka": "სახლი დიდია და ბაღი პატარა ", "hy": "տունը մեծ է իսկ այգին փոքր "}
+    common = spark.range(40000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the house is large and the garden small "), F.col("id")).alias("text"), F.lit("en-GB").alias("lang"))
+    rows = [(100000 + i, t * 20, k) for i, (k, t) in enumerate((k, t) for k, t in rare.items() for _ in range(4))]
+    few = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = li.fit(common.union(few))
+    assert fitted.languages == sorted([*rare, "en"])
+    out = li.documents_language(few.withColumn("source", F.lit(None).cast("string")), fitted).collect()
+    assert len(out) == 20 and all(r.language_accepted and r.language == r.lang for r in out)
