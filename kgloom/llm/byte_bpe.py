@@ -3,8 +3,9 @@
 The split pattern is run without a regex engine. Each code point gets a class from an array, refined by its neighbours
 (spaces before a word, suffixes after an apostrophe); each class is a transition function on four states, packed in a
 byte; composing such functions is associative, so a blocked scan over whole batches gives the state before each code
-point, and from class and state whether a token starts there. The slices between starts feed pair merging, whose
-results are kept in a bounded table; the ids' byte offsets are kept beside them, and decoding uses them.
+point, and from class and state whether a token starts there. A batch's slices between starts are dictionary-encoded; each
+distinct one takes its ids from a bounded table or, with all others that are new, from pair merging on arrays. The ids' byte
+offsets are kept beside them, and decoding uses them.
 """
 
 from __future__ import annotations
@@ -19,10 +20,16 @@ from itertools import chain, pairwise
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 from kgloom.llm.common import plain, table
 
+_LONG = 64
+#: Slices merged in one go.
+_TOGETHER = 1 << 15
+_NONE = 1 << 30
+_ODD = 0x9E3779B97F4A7C15
 # States: what the last code point belongs to. DIGITS also stands for an open apostrophe suffix, which only letters follow.
 FRESH, LETTERS, DIGITS, OTHERS = range(4)
 # Classes of code points; from SP_L on refined by the neighbours.
@@ -108,18 +115,6 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     if piece in ranks:
         return (ranks[piece],)
     parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
-    if len(parts) <= 48:
-        none = 1 << 60
-        of = [ranks.get(a + b, none) for a, b in pairwise(parts)]
-        while of and (low := min(of)) != none:
-            i = of.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del of[i]
-            if i < len(of):
-                of[i] = ranks.get(parts[i] + parts[i + 1], none)
-            if i:
-                of[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        return tuple(map(ranks.__getitem__, parts))
     after, ago = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
     heap = [(r, i, 2) for i in range(len(parts) - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
@@ -136,8 +131,8 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[p] for p in parts if p is not None)
 
 
-class Codec(dict):
-    """Slice -> ids, for the slices met last; encodes and decodes."""
+class Codec:
+    """Encodes and decodes arrays of texts; the ids of the short slices met last are kept."""
 
     def __init__(self, path: str, size: int) -> None:
         with open(path, "rb") as f:
@@ -146,57 +141,167 @@ class Codec(dict):
         for s, i in self.ranks.items():
             self.strings[i] = s
         self.lengths = np.array([len(s) for s in self.strings], np.int64)
-
-    def __missing__(self, piece: bytes) -> tuple[int, ...]:
-        ids = merged(piece, self.ranks)
-        if len(piece) <= 64:
-            if len(self) >= self.size:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text; texts are scanned together, about a million code points at once."""
-        group: list[str] = []
-        room = 0
-        for t in texts:
-            group.append(t)
-            room += len(t)
-            if room > 1 << 20:
-                yield from self._scan(group)
-                group, room = [], 0
-        if group:
-            yield from self._scan(group)
-
-    def _scan(self, texts: list[str]) -> Iterator[list[int]]:
-        sizes = np.array([len(t) for t in texts])
-        ends = np.cumsum(sizes + 1) - 1
-        cps = np.empty(int(ends[-1]) + 1, np.uint32)
+        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.octets, self.decimals = pa.array(self.strings, pa.binary()), pa.array([b"%d," % i for i in range(len(self.strings))], pa.binary())
+        self.pairs = PairRanks(self.ranks, len(self.strings))
+
+    def ids_of(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct slices one after another, and how many each has."""
+        found = list(map(self.known.get, slices))
+        new = [i for i, x in enumerate(found) if x is None]
+        if len(self.known) + len(new) > self.size:
+            self.known.clear()
+        merge = []
+        for i in new:
+            s = slices[i]
+            if (r := self.ranks.get(s)) is not None:
+                found[i] = self.known[s] = (r,)
+            elif len(s) > _LONG:
+                found[i] = merged(s, self.ranks)
+            else:
+                merge.append(i)
+        for at in range(0, len(merge), _TOGETHER):
+            part = [slices[i] for i in merge[at : at + _TOGETHER]]
+            flat, sizes = self.pairs.merge(part)
+            flat, ends = flat.tolist(), np.cumsum(sizes).tolist()
+            for i, s, a, b in zip(merge[at : at + _TOGETHER], part, [0, *ends], ends, strict=False):
+                found[i] = self.known[s] = tuple(flat[a:b])
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin and end."""
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+        raw = (texts.buffers()[2] or pa.py_buffer(b""))[int(offsets[0]) : int(offsets[-1])]
+        octets = np.frombuffer(raw, np.uint8)
+        lead = np.flatnonzero((octets & 0xC0) != 0x80)  # where each code point begins
+        ends = np.searchsorted(lead, offsets[1:] - offsets[0]) + np.arange(n)
+        cps = np.empty(len(lead) + n, np.uint32)
         keep = np.ones(len(cps), bool)
         keep[ends] = False
-        cps[keep] = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        cps[keep] = np.frombuffer(raw.to_pybytes().decode().encode("utf-32-le"), np.uint32)
         cps[ends] = 0x110000
         starts = np.flatnonzero(token_starts(cps))
-        octets = np.cumsum(np.where(cps == 0x110000, 0, 1 + (cps >= 0x80) + (cps >= 0x800) + (cps >= 0x10000)))
-        octets = np.append(0, octets)  # bytes before each code point
-        data, cuts = "".join(texts).encode(), [*octets[starts].tolist(), int(octets[-1])]
-        first = np.searchsorted(starts, np.append(0, ends[:-1] + 1)).tolist() + [len(starts)]
-        get = self.__getitem__
-        for a, b in pairwise(first):
-            yield list(chain.from_iterable([get(data[i:j]) for i, j in pairwise(cuts[a : b + 1])])) if b > a else []
-
-    def offsets(self, ids: list[int]) -> np.ndarray:
+        first = np.append(0, np.searchsorted(starts, ends))
+        cuts = np.append(lead[starts - np.searchsorted(ends, starts)], len(octets)).astype(np.int32)
+        slices = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), raw]).dictionary_encode()
+        flat, sizes = self.ids_of(slices.dictionary.to_pylist())
+        which = slices.indices.to_numpy()
+        each = sizes[which]
+        past = np.cumsum(each)
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (past - each), each) + np.arange(int(past[-1]) if len(past) else 0)
+        return flat[at], np.append(0, past)[first]
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        for part in _parts(pa.array(texts, pa.string())):
+            ids, cuts = self.encode_column(part)
+            ids = ids.tolist()
+            yield from (ids[a:b] for a, b in pairwise(cuts.tolist()))
+
+    def offsets(self, ids: list[int] | np.ndarray) -> np.ndarray:
         """Where each id's bytes end in the text's bytes."""
-        return np.cumsum(self.lengths[ids]) if ids else np.zeros(0, np.int64)
+        return np.cumsum(self.lengths[ids]) if len(ids) else np.zeros(0, np.int64)
 
-    def decode(self, ids: list[int], offsets: np.ndarray | None = None) -> bytes:
-        """The bytes of the ids; with the retained offsets, it is checked that they end where they did."""
-        out = b"".join(map(self.strings.__getitem__, ids))
-        if offsets is not None and len(out) != (int(offsets[-1]) if len(offsets) else 0):
+    def decode(self, ids: list[int] | np.ndarray, offsets: np.ndarray | None = None) -> memoryview:
+        """The bytes of the ids; with the retained offsets, it is checked that each id's bytes end where they did."""
+        out, ends = _taken(self.octets, np.asarray(ids, np.int32))
+        if offsets is not None and not np.array_equal(ends[1:], offsets):
             raise ValueError("ids and offsets don't fit")
         return out
 
 
+def _taken(strings: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The strings of the ids in one piece, and where each ends (from 0)."""
+    got = strings.take(pa.array(ids))
+    ends = np.frombuffer(got.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+    return memoryview(got.buffers()[2] or b"").cast("B")[: int(ends[-1])], ends
+
+
+class PairRanks:
+    """Merges many slices at once. Each pair of vocabulary strings that are a vocabulary string together stands in one of
+    a few hash tables (what collides goes to the next, smaller one), so a look-up is a few gathers."""
+
+    def __init__(self, ranks: dict[bytes, int], size: int) -> None:
+        get = ranks.get
+        pairs = [(a, b, r) for s, r in ranks.items() for i in range(1, len(s)) if (a := get(s[:i])) is not None and (b := get(s[i:])) is not None]
+        a, b, self.rank = (np.append(np.array(x, np.int64), 0) for x in zip(*pairs, strict=True))
+        self.keys = a << 32 | b
+        self.keys[-1] = -1  # what empty places hold
+        self.rank[-1] = _NONE
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.tables: list[tuple[np.ndarray, int, int]] = []
+        left = np.arange(len(pairs))
+        while len(left):
+            bits, odd = max(8, int(4 * len(left)).bit_length()), _ODD * (2 * len(self.tables) + 1) & 0xFFFFFFFFFFFFFFFF
+            t = np.full(1 << bits, len(pairs), np.int32)
+            at = self._at(self.keys[left], bits, odd)
+            t[at] = left
+            left = left[t[at] != left]
+            self.tables.append((t, bits, odd))
+
+    @staticmethod
+    def _at(keys: np.ndarray, bits: int, odd: int) -> np.ndarray:
+        x = keys.view(np.uint64)
+        return ((x ^ (x >> np.uint64(29))) * np.uint64(odd)) >> np.uint64(64 - bits)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, or ``_NONE``."""
+        keys = a << 32 | b
+        out = np.full(len(keys), _NONE, np.int64)
+        for t, bits, odd in self.tables:
+            at = t[self._at(keys, bits, odd)]
+            hit = self.keys[at] == keys
+            out[hit] = self.rank[at[hit]]
+        return out
+
+    def merge(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all slices one after another, and how many each has. In each round every slice that still has a known
+        pair joins its pair of lowest rank, leftmost first."""
+        sizes = np.fromiter(map(len, slices), np.int64, len(slices))
+        ids = self.single[np.frombuffer(b"".join(slices), np.uint8)]
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        row = np.arange(len(slices))
+        last = np.cumsum(sizes) - 1
+        rank = np.full(len(ids), _NONE, np.int64)
+        inner = np.ones(len(ids), bool)
+        inner[last] = False
+        at = np.flatnonzero(inner)
+        rank[at] = self.of(ids[at], ids[at + 1])
+        while len(row):
+            first = np.append(0, last[:-1] + 1)
+            low = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), first)
+            more = low >> 32 != _NONE
+            if not more.all():
+                of = np.repeat(more, sizes)
+                done.append((row[~more], sizes[~more], ids[~of]))
+                before = np.cumsum(~of)
+                low = low[more]
+                low -= before[low & 0xFFFFFFFF]
+                row, sizes, ids, rank = row[more], sizes[more], ids[of], rank[of]
+                if not len(row):
+                    break
+            p = low & 0xFFFFFFFF
+            ids[p] = low >> 32
+            keep = np.ones(len(ids), bool)
+            keep[p + 1] = False
+            ids, rank = ids[keep], rank[keep]
+            p -= np.arange(len(p))
+            sizes = sizes - 1
+            last = np.cumsum(sizes) - 1
+            first = last - sizes + 1
+            rank[p] = _NONE
+            for at in (p[p < last], p[p > first] - 1):
+                rank[at] = self.of(ids[at], ids[at + 1])
+        row, sizes, ids = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(row)
+        start = (np.cumsum(sizes) - sizes)[order]
+        sizes = sizes[order]
+        at = np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))
+        return ids[at], sizes
+
+
 _CODECS: dict[tuple[str, int], Codec] = {}
 
 
@@ -207,9 +312,15 @@ def codec(path: str, size: int) -> Codec:
     return _CODECS[path, size]
 
 
-def _slices(texts: pa.Array, rows: int = 512) -> Iterator[list[str]]:
-    for i in range(0, len(texts), rows):
-        yield [t or "" for t in texts.slice(i, rows).to_pylist()]
+def _parts(texts: pa.Array, octets: int = 1 << 20) -> Iterator[pa.Array]:
+    """The texts in slices of about ``octets`` bytes, one text at least; null counts as empty."""
+    texts = pa.compute.fill_null(texts, "")
+    sizes = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        past = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + octets, "right"))
+        yield texts.slice(at, max(1, past - at))
+        at = max(past, at + 1)
 
 
 def _encoding(path: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -217,10 +328,12 @@ def _encoding(path: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         c = codec(path, size)
         for b in batches:
             at = 0
-            for texts in _slices(b.column("text")):
-                ids = list(c.encode(texts))
-                ends = [c.offsets(x).tolist() for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int64()))], ["doc_id", "ids", "ends"])
+            for texts in _parts(b.column("text")):
+                ids, cuts = c.encode_column(texts)
+                past = np.append(0, c.offsets(ids))
+                ends = past[1:] - np.repeat(past[cuts[:-1]], np.diff(cuts))
+                lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x)) for x in (ids, ends)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), *lists], ["doc_id", "ids", "ends"])
                 at += len(texts)
 
     return run
@@ -230,7 +343,7 @@ def _decoding(path: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, size)
         for b in batches:
-            data = [c.decode(x.as_py() or []) for x in b.column("ids")]
+            data = [bytes(c.decode(x.values.to_numpy(zero_copy_only=False) if x.is_valid else [])) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"])
 
     return run
@@ -239,15 +352,18 @@ def _decoding(path: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 def _round_trip(path: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, size)
-        decimal = [str(i).encode() for i in range(len(c.strings))]
+        digest = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            n, one, two = [], [], []
-            for texts in _slices(b.column("text")):
-                for ids in c.encode(texts):
-                    n.append(len(ids))
-                    one.append(hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest())
-                    two.append(hashlib.sha256(c.decode(ids, c.offsets(ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            at = 0
+            for texts in _parts(b.column("text")):
+                ids, cuts = c.encode_column(texts)
+                said, ends = _taken(c.decimals, ids)
+                back = c.decode(ids, offsets := c.offsets(ids))
+                past = np.append(0, offsets)[cuts].tolist()
+                one = [digest(said[x : max(x, y - 1)]) for x, y in pairwise(ends[cuts].tolist())]
+                two = [digest(back[x:y]) for x, y in pairwise(past)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), pa.array(np.diff(cuts)), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                at += len(texts)
 
     return run
 
@@ -263,13 +379,20 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", table_size: int = 150_000) -> DataFrame:
-    """One row per input row: doc_id, data (the bytes of the ids; null ids count as none)."""
+    """One row per input row: doc_id, data (the bytes of the ids; null ids count as none).
+
+    Null and repeated doc_ids pass through; an empty table gives an empty result; other columns are ignored.
+    """
     rows = plain(df, doc_id=id_col, ids=ids_col)
     return rows.mapInArrow(_decoding(path, table_size), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = 150_000) -> DataFrame:
-    """Digests of ``encode`` and of the decoded bytes, computed in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Digests of ``encode`` and of the decoded bytes, computed in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Null texts count as empty, of any length texts are read whole; null and repeated ids pass through; an empty table gives
+    an empty result; other columns are ignored, also where they are named like the result's.
+    """
     rows = plain(df, doc_id=id_col, text=text_col)
     return rows.mapInArrow(_round_trip(path, table_size), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

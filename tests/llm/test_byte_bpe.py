@@ -1,5 +1,7 @@
-import base64
+import hashlib
+import itertools
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -41,3 +43,33 @@ def test_frames(spark):
     back = byte_bpe.decode(out, PATH)
     assert sorted(bytes(r.data) for r in back.collect()) == sorted((t or "").encode() for _, t, _ in rows)
     assert byte_bpe.round_trip(df.limit(0), PATH).count() == 0
+
+
+def test_merging_of_many(library):
+    words = ["".join(c) for n in range(1, 5) for c in itertools.product("abé ", repeat=n)] + ["a" * 64, "x" * 65, "antidisestablishmentarianism", "ß" * 20]
+    slices = [w.encode() for w in words]
+    flat, sizes = CODEC.pairs.merge(slices)
+    ends = np.cumsum(sizes)
+    for s, a, b in zip(slices, ends - sizes, ends, strict=True):
+        assert flat[a:b].tolist() == library._core_bpe.encode_single_piece(s), s
+        assert list(byte_bpe.merged(s, CODEC.ranks)) == flat[a:b].tolist(), s
+
+
+def test_query_equals_library(spark, library):
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.op6_byte_bpe(spark, "/root/testdata/sf0.001").collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        ids = library.encode_ordinary(r.text or "")
+        assert got[r.doc_id] == (len(ids), sha(",".join(map(str, ids)).encode()), sha((r.text or "").encode()))
+
+
+def test_query_columns_of_odd_tables(spark, library):
+    rows = [(1, None, "x", 1), (1, None, "x", 1), (None, "", "y", 2), (2, "don't é " * 60000, "z", 3), (3, " ", None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids_sha256 string, n_tokens int")
+    got = sorted((str(r.doc_id), r.n_tokens) for r in byte_bpe.round_trip(df, PATH).collect())
+    assert got == sorted((str(i), len(library.encode_ordinary(t or ""))) for i, t, *_ in rows)
+    empty = hashlib.sha256(b"").hexdigest()
+    assert {(r.ids_sha256, r.decoded_sha256) for r in byte_bpe.round_trip(df, PATH).filter("n_tokens = 0").collect()} == {(empty, empty)}
+    assert byte_bpe.decode(spark.createDataFrame([(1, None), (1, None), (None, [])], "doc_id long, ids array<int>"), PATH).filter("length(data) = 0").count() == 3
