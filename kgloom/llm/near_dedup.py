@@ -60,7 +60,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(20, n.bit_length())
+        size = 1 << max(18, n.bit_length())
         _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, np.uint64(b), np.uint64))]) for b in (_BASE, _INVERSE)]
     return _POWERS[0], _POWERS[1]
 
@@ -97,8 +97,8 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def _groups(column: pa.Array, octets: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
-    """Slices of about a megabyte of text, with where each starts."""
+def _groups(column: pa.Array, octets: int = 1 << 18) -> Iterator[tuple[int, list[str | None]]]:
+    """Slices of about a quarter of a megabyte of text, with where each starts."""
     at, texts, room = 0, [], 0
     for n, t in enumerate(column):
         texts.append(t.as_py())
