@@ -15,21 +15,17 @@ import hashlib
 import heapq
 import unicodedata
 from collections.abc import Callable, Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm.common import plain, table
+from kgloom.llm.common import plain, table, text_slices
+from kgloom.llm.pair_merging import LONG, Known, PairMerger, joined, octets_of, spread
 
-_LONG = 64
-#: Slices merged in one go.
-_TOGETHER = 1 << 15
-_NONE = 1 << 30
-_ODD = 0x9E3779B97F4A7C15
 # States: what the last code point belongs to. DIGITS also stands for an open apostrophe suffix, which only letters follow.
 FRESH, LETTERS, DIGITS, OTHERS = range(4)
 # Classes of code points; from SP_L on refined by the neighbours.
@@ -84,8 +80,11 @@ def _states(functions: np.ndarray) -> np.ndarray:
     return ((before >> (2 * enter)) & 3).T.reshape(-1)[:n]
 
 
-def token_starts(cps: np.ndarray) -> np.ndarray:
-    """Where tokens start in an array of code points in which texts are closed by 0x110000 (see ``END``)."""
+def token_starts(cps: np.ndarray, each_digit: bool = False) -> np.ndarray:
+    """Where tokens start in an array of code points in which texts are closed by 0x110000 (see ``END``).
+
+    With ``each_digit`` every digit is a token.
+    """
     if not _CLASS:
         _CLASS.append(np.append(_classes(), np.uint8(END)))
     base = _CLASS[0][cps]
@@ -107,7 +106,8 @@ def token_starts(cps: np.ndarray) -> np.ndarray:
     c[at[is_one] + 1] = SUF_ONE
     c[at[is_two] + 1] = SUF_A
     c[at[is_two] + 2] = SUF_B
-    return _STARTS[c, _states(_FUNCTION[c])]
+    starts = _STARTS[c, _states(_FUNCTION[c])]
+    return starts | (base == DIGIT) if each_digit else starts
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -137,46 +137,35 @@ class Codec:
     def __init__(self, path: str, size: int) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.size, self.strings = size, [b""] * (max(self.ranks.values()) + 1)
+        self.strings = [b""] * (max(self.ranks.values()) + 1)
         for s, i in self.ranks.items():
             self.strings[i] = s
         self.lengths = np.array([len(s) for s in self.strings], np.int64)
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.vocabulary, self.ids = pa.array(list(self.ranks), pa.binary()), np.fromiter(self.ranks.values(), np.int64)
+        self.known = Known(size, pa.binary())
         self.octets, self.decimals = pa.array(self.strings, pa.binary()), pa.array([b"%d," % i for i in range(len(self.strings))], pa.binary())
-        self.pairs = PairRanks(self.ranks, len(self.strings))
-
-    def ids_of(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct slices one after another, and how many each has."""
-        found = list(map(self.known.get, slices))
-        new = [i for i, x in enumerate(found) if x is None]
-        if len(self.known) + len(new) > self.size:
-            self.known.clear()
-        merge = []
-        for i in new:
-            s = slices[i]
-            if (r := self.ranks.get(s)) is not None:
-                found[i] = self.known[s] = (r,)
-            elif len(s) > _LONG:
-                found[i] = merged(s, self.ranks)
-            else:
-                merge.append(i)
-        for at in range(0, len(merge), _TOGETHER):
-            part = [slices[i] for i in merge[at : at + _TOGETHER]]
-            flat, sizes = self.pairs.merge(part)
-            flat, ends = flat.tolist(), np.cumsum(sizes).tolist()
-            for i, s, a, b in zip(merge[at : at + _TOGETHER], part, [0, *ends], ends, strict=False):
-                found[i] = self.known[s] = tuple(flat[a:b])
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.pairs = _pairs(self.ranks, self.single)
+
+    def merged(self, slices: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of slices one after another, and how many each has: vocabulary strings as such, all else merged."""
+        octets, sizes = octets_of(slices)
+        whole = pc.fill_null(pc.index_in(slices, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False)
+        one, rest, long = np.flatnonzero(whole >= 0), np.flatnonzero((whole < 0) & (sizes <= LONG)), np.flatnonzero((whole < 0) & (sizes > LONG))
+        flat, n = self.pairs.merge(self.single[spread(octets, (np.cumsum(sizes) - sizes)[rest], sizes[rest])], sizes[rest])
+        parts = [(one, np.ones(len(one), np.int64), self.ids[whole[one]]), (rest, n, flat)]
+        for i in long.tolist():
+            ids = np.array(merged(slices[i].as_py(), self.ranks), np.int64)
+            parts.append((np.array([i]), np.array([len(ids)]), ids))
+        return joined(parts)
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's begin and end."""
-        n = len(texts)
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
-        raw = (texts.buffers()[2] or pa.py_buffer(b""))[int(offsets[0]) : int(offsets[-1])]
-        octets = np.frombuffer(raw, np.uint8)
+        octets, sizes = octets_of(texts)
+        n, raw = len(texts), pa.py_buffer(octets)
+        offsets = np.cumsum(sizes)
         lead = np.flatnonzero((octets & 0xC0) != 0x80)  # where each code point begins
-        ends = np.searchsorted(lead, offsets[1:] - offsets[0]) + np.arange(n)
+        ends = np.searchsorted(lead, offsets) + np.arange(n)
         cps = np.empty(len(lead) + n, np.uint32)
         keep = np.ones(len(cps), bool)
         keep[ends] = False
@@ -186,16 +175,14 @@ class Codec:
         first = np.append(0, np.searchsorted(starts, ends))
         cuts = np.append(lead[starts - np.searchsorted(ends, starts)], len(octets)).astype(np.int32)
         slices = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), raw]).dictionary_encode()
-        flat, sizes = self.ids_of(slices.dictionary.to_pylist())
         which = slices.indices.to_numpy()
+        flat, start, sizes = self.known.ids_of(slices.dictionary, self.merged)
         each = sizes[which]
-        past = np.cumsum(each)
-        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (past - each), each) + np.arange(int(past[-1]) if len(past) else 0)
-        return flat[at], np.append(0, past)[first]
+        return spread(flat, start[which], each), np.append(0, np.cumsum(each))[first]
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text."""
-        for part in _parts(pa.array(texts, pa.string())):
+        for part in text_slices(pa.array(texts, pa.string())):
             ids, cuts = self.encode_column(part)
             ids = ids.tolist()
             yield from (ids[a:b] for a, b in pairwise(cuts.tolist()))
@@ -219,87 +206,11 @@ def _taken(strings: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
     return memoryview(got.buffers()[2] or b"").cast("B")[: int(ends[-1])], ends
 
 
-class PairRanks:
-    """Merges many slices at once. Each pair of vocabulary strings that are a vocabulary string together stands in one of
-    a few hash tables (what collides goes to the next, smaller one), so a look-up is a few gathers."""
-
-    def __init__(self, ranks: dict[bytes, int], size: int) -> None:
-        get = ranks.get
-        pairs = [(a, b, r) for s, r in ranks.items() for i in range(1, len(s)) if (a := get(s[:i])) is not None and (b := get(s[i:])) is not None]
-        a, b, self.rank = (np.append(np.array(x, np.int64), 0) for x in zip(*pairs, strict=True))
-        self.keys = a << 32 | b
-        self.keys[-1] = -1  # what empty places hold
-        self.rank[-1] = _NONE
-        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        self.tables: list[tuple[np.ndarray, int, int]] = []
-        left = np.arange(len(pairs))
-        while len(left):
-            bits, odd = max(8, int(4 * len(left)).bit_length()), _ODD * (2 * len(self.tables) + 1) & 0xFFFFFFFFFFFFFFFF
-            t = np.full(1 << bits, len(pairs), np.int32)
-            at = self._at(self.keys[left], bits, odd)
-            t[at] = left
-            left = left[t[at] != left]
-            self.tables.append((t, bits, odd))
-
-    @staticmethod
-    def _at(keys: np.ndarray, bits: int, odd: int) -> np.ndarray:
-        x = keys.view(np.uint64)
-        return ((x ^ (x >> np.uint64(29))) * np.uint64(odd)) >> np.uint64(64 - bits)
-
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The rank of each pair of ids, or ``_NONE``."""
-        keys = a << 32 | b
-        out = np.full(len(keys), _NONE, np.int64)
-        for t, bits, odd in self.tables:
-            at = t[self._at(keys, bits, odd)]
-            hit = self.keys[at] == keys
-            out[hit] = self.rank[at[hit]]
-        return out
-
-    def merge(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all slices one after another, and how many each has. In each round every slice that still has a known
-        pair joins its pair of lowest rank, leftmost first."""
-        sizes = np.fromiter(map(len, slices), np.int64, len(slices))
-        ids = self.single[np.frombuffer(b"".join(slices), np.uint8)]
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        row = np.arange(len(slices))
-        last = np.cumsum(sizes) - 1
-        rank = np.full(len(ids), _NONE, np.int64)
-        inner = np.ones(len(ids), bool)
-        inner[last] = False
-        at = np.flatnonzero(inner)
-        rank[at] = self.of(ids[at], ids[at + 1])
-        while len(row):
-            first = np.append(0, last[:-1] + 1)
-            low = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), first)
-            more = low >> 32 != _NONE
-            if not more.all():
-                of = np.repeat(more, sizes)
-                done.append((row[~more], sizes[~more], ids[~of]))
-                before = np.cumsum(~of)
-                low = low[more]
-                low -= before[low & 0xFFFFFFFF]
-                row, sizes, ids, rank = row[more], sizes[more], ids[of], rank[of]
-                if not len(row):
-                    break
-            p = low & 0xFFFFFFFF
-            ids[p] = low >> 32
-            keep = np.ones(len(ids), bool)
-            keep[p + 1] = False
-            ids, rank = ids[keep], rank[keep]
-            p -= np.arange(len(p))
-            sizes = sizes - 1
-            last = np.cumsum(sizes) - 1
-            first = last - sizes + 1
-            rank[p] = _NONE
-            for at in (p[p < last], p[p > first] - 1):
-                rank[at] = self.of(ids[at], ids[at + 1])
-        row, sizes, ids = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
-        order = np.argsort(row)
-        start = (np.cumsum(sizes) - sizes)[order]
-        sizes = sizes[order]
-        at = np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))
-        return ids[at], sizes
+def _pairs(ranks: dict[bytes, int], single: np.ndarray) -> PairMerger:
+    """All pairs of vocabulary strings that are a vocabulary string together; a string's rank is its id."""
+    get = ranks.get
+    pairs = [(a, b, r) for s, r in ranks.items() for i in range(1, len(s)) if (a := get(s[:i])) is not None and (b := get(s[i:])) is not None]
+    return PairMerger(*(np.array(x, np.int64) for x in zip(*pairs, strict=True)), np.arange(max(ranks.values()) + 1), single)
 
 
 _CODECS: dict[tuple[str, int], Codec] = {}
@@ -312,23 +223,12 @@ def codec(path: str, size: int) -> Codec:
     return _CODECS[path, size]
 
 
-def _parts(texts: pa.Array, octets: int = 1 << 20) -> Iterator[pa.Array]:
-    """The texts in slices of about ``octets`` bytes, one text at least; null counts as empty."""
-    texts = pa.compute.fill_null(texts, "")
-    sizes = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        past = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + octets, "right"))
-        yield texts.slice(at, max(1, past - at))
-        at = max(past, at + 1)
-
-
 def _encoding(path: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, size)
         for b in batches:
             at = 0
-            for texts in _parts(b.column("text")):
+            for texts in text_slices(b.column("text")):
                 ids, cuts = c.encode_column(texts)
                 past = np.append(0, c.offsets(ids))
                 ends = past[1:] - np.repeat(past[cuts[:-1]], np.diff(cuts))
@@ -355,7 +255,7 @@ def _round_trip(path: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], It
         digest = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             at = 0
-            for texts in _parts(b.column("text")):
+            for texts in text_slices(b.column("text")):
                 ids, cuts = c.encode_column(texts)
                 said, ends = _taken(c.decimals, ids)
                 back = c.decode(ids, offsets := c.offsets(ids))
@@ -368,7 +268,7 @@ def _round_trip(path: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = 150_000) -> DataFrame:
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = 100_000) -> DataFrame:
     """One row per input row: doc_id, ids, ends (the byte offset at which each id's bytes end).
 
     Null texts count as empty and give no ids. Null and repeated ids pass through; an empty table gives an empty
@@ -378,7 +278,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInArrow(_encoding(path, table_size), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, ends array<long>")
 
 
-def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", table_size: int = 150_000) -> DataFrame:
+def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", table_size: int = 100_000) -> DataFrame:
     """One row per input row: doc_id, data (the bytes of the ids; null ids count as none).
 
     Null and repeated doc_ids pass through; an empty table gives an empty result; other columns are ignored.
@@ -387,7 +287,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     return rows.mapInArrow(_decoding(path, table_size), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
-def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = 150_000) -> DataFrame:
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = 100_000) -> DataFrame:
     """Digests of ``encode`` and of the decoded bytes, computed in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Null texts count as empty, of any length texts are read whole; null and repeated ids pass through; an empty table gives

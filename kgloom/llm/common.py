@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +55,14 @@ def bounded_sample(rows: DataFrame, n: int, *by: str) -> DataFrame:
     if of > 4 * n + 100:
         rows = rows.filter(h < F.lit(int((1 << 40) * (4 * n + 100) / of)))
     return rows.orderBy(h, *by).limit(n)
+
+
+def text_slices(texts: pa.Array, octets: int = 1 << 20) -> Iterator[pa.Array]:
+    """The texts in slices of about ``octets`` bytes, one text at least; null counts as empty."""
+    texts = pc.fill_null(texts, "")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        past = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + octets, "right"))
+        yield texts.slice(at, max(1, past - at))
+        at = max(past, at + 1)

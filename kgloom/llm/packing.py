@@ -11,87 +11,111 @@ before) falls into an interval of the small table of patterns, which gives its s
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from kgloom.llm.common import plain, staged, table
+from kgloom.llm.byte_bpe import token_starts
+from kgloom.llm.common import plain, staged, table, text_slices
+from kgloom.llm.pair_merging import LONG, Known, PairMerger, joined, spread
 
-#: Characters that str.split() takes for white space and the tokenizer's \s does not.
-_NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-_LONG = 64
+#: Characters that count as white space for Arrow and not for the tokenizer's \s.
+_NOT_SPACE = "[\x1c\x1d\x1e\x1f]"
 
 
-class WordIds(dict):
-    """Word between white space -> ids. The normaliser and the split pattern work on each such word by itself.
+class WordIds:
+    """Ids of texts by their words between white space; the normaliser and the split pattern work on each word by itself.
 
-    ASCII words, and others whose lower-casing needs no context, are merged in one call for each match of the split
-    pattern, through ranks of byte strings in which byte 0xFF stands for the end of a word; all else goes to the library.
+    A batch's distinct words that aren't known yet are normalised, split by one run of the pattern, and merged together on
+    arrays. Words with very long parts, and texts with the strings of special tokens, go to the library.
     """
 
     def __init__(self, path: str, size: int) -> None:
         import json
 
-        import regex
-        import tiktoken
         from tokenizers import Tokenizer
 
-        self.library, self.size = Tokenizer.from_file(path), size
-        self.library.encode_special_tokens = True
+        self.library = Tokenizer.from_file(path)
         with open(path) as f:
             model = json.load(f)
-        pattern = model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.matches = regex.compile(pattern).findall
+        self.whole = "|".join([_NOT_SPACE, *(re.escape(t["content"]) for t in model["added_tokens"])])
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        suffix = model["model"]["end_of_word_suffix"]
-
-        def octets(s: str) -> bytes:
-            end = b"\xff" if s.endswith(suffix) else b""
-            return bytes(byte_of[c] for c in s.removesuffix(suffix)) + end
-
-        ranks = {bytes([i]) + end: i + 256 * len(end) for end in (b"", b"\xff") for i in range(256)}
-        for pair in model["model"]["merges"]:
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            ranks.setdefault(octets(a) + octets(b), len(ranks))
-        vocab = model["model"]["vocab"]
-        self.ids = [0] * len(ranks)
-        for s, i in vocab.items():
-            if all(c in byte_of for c in s.removesuffix(suffix)) and (r := ranks.get(octets(s))) is not None:
-                self.ids[r] = i
-        self.merge = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if word.isascii():
-            low = word.lower()
-        else:
-            low = unicodedata.normalize("NFC", word)
-            low = "".join(c.lower() for c in low)
-        if len(low) > 4 * _LONG:
-            out = tuple(self.library.encode(word, add_special_tokens=False).ids)
-        else:
-            ids, merge = self.ids, self.merge
-            out = tuple([ids[r] for m in ([low] if low.isascii() and low.isalpha() else self.matches(low)) for r in merge(m.encode() + b"\xff")])
-        if len(word) <= _LONG:
-            if len(self) >= self.size:
-                self.clear()
-            self[word] = out
-        return out
-
-    def encode(self, text: str) -> array:
-        if any(c in text for c in _NOT_SPACE):
-            return array("I", self.library.encode(text, add_special_tokens=False).ids)
-        return array("I", chain.from_iterable(map(self.__getitem__, text.split())))
+        hidden = [b for b in range(256) if b not in set(shown)]
+        byte = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        vocab, suffix = model["model"]["vocab"], model["model"]["end_of_word_suffix"]
+        self.single, self.last = (np.array([vocab[byte[b] + end] for b in range(256)], np.int64) for end in ("", suffix))
+        merges = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["model"]["merges"]]
+        first: dict[tuple[int, int], int] = {}
+        for i, (a, b) in enumerate(merges):
+            first.setdefault((vocab[a], vocab[b]), i)
+        left, right = (np.array(x, np.int64) for x in zip(*first, strict=True))
+        self.pairs = PairMerger(left, right, np.fromiter(first.values(), np.int64), np.array([vocab[a + b] for a, b in merges], np.int64), np.append(self.single, self.last))
+        self.known = Known(size, pa.string())
+
+    def library_ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and how many each has.
+
+        A word falls into letters, single digits, other characters and the suffixes after an apostrophe, as the boundary
+        scan of the byte-level codec finds them (a word holds no white space, so its rules for blanks never apply).
+        """
+        if not len(words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        text = "".join(f"{w}\n" for w in words.to_pylist())
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        # Lower case character by character: no rule for a sigma at a word's end.
+        text = "".join(c.lower() for c in text) if "\u03a3" in text else text.lower()
+        cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        starts = np.flatnonzero(token_starts(cps, each_digit=True))
+        octets = np.frombuffer(text.encode(), np.uint8)
+        cuts = np.append(np.flatnonzero((octets & 0xC0) != 0x80)[starts], len(octets))
+        sizes = np.diff(cuts)
+        closing = octets[cuts[:-1]] == 10  # the end of a word is a part of its own
+        word = (np.cumsum(closing) - closing)[~closing]
+        ids = self.single[octets]
+        ids[cuts[1:] - 1] = self.last[octets[cuts[1:] - 1]]
+        begin, sizes = cuts[:-1][~closing], sizes[~closing]
+        long = np.unique(word[sizes > 4 * LONG])
+        here = ~np.isin(word, long)
+        flat, n = self.pairs.merge(spread(ids, begin[here], sizes[here]), sizes[here])
+        n = np.bincount(word[here], n, len(words)).astype(np.int64)
+        if not len(long):
+            return flat, n
+        rest = np.setdiff1d(np.arange(len(words)), long)
+        parts = [(rest, n[rest], flat)]
+        for i in long.tolist():
+            own = self.library_ids(words[i].as_py())
+            parts.append((np.array([i]), np.array([len(own)]), own))
+        return joined(parts)
+
+    def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        special = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        lists = pc.utf8_split_whitespace(pc.if_else(pa.array(special), "", texts))
+        words = pc.list_flatten(lists).dictionary_encode()
+        flat, start, sizes = self.known.ids_of(words.dictionary, self.merged)
+        which = words.indices.to_numpy()
+        each = sizes[which]
+        ids, past = spread(flat, start[which], each), np.append(0, np.cumsum(each))
+        cuts = past[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))].tolist()
+        for i, alone in enumerate(special.tolist()):
+            yield self.library_ids(texts[i].as_py()) if alone else ids[cuts[i] : cuts[i + 1]]
+
+    def encode(self, text: str) -> np.ndarray:
+        return next(self.encode_column(pa.array([text])))
 
 
 _LOADED: dict[tuple[str, int], WordIds] = {}
@@ -112,19 +136,20 @@ def _cutting(path: str, window: int, end_id: int, size: int) -> Callable[[Iterat
         context = TaskContext.get()
         part, seen = (context.partitionId() if context else 0), {}
         for b in batches:
-            at, rows = [], []
-            for i, t in enumerate(b.column("text")):
-                ids = words.encode(t.as_py() or "")
-                ids.append(end_id)
-                raw, n = memoryview(ids).cast("B"), len(ids)
-                for s in range(0, n, window):
-                    size_here = min(window, n - s)
-                    r = seen.get(size_here, 0)
-                    seen[size_here] = r + 1
-                    at.append(i)
-                    rows.append((s, size_here, zlib.crc32(raw[4 * s : 4 * (s + size_here)]), n, part, r))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int32())), *(pa.array(c, pa.int64()) for c in columns)], names)
+            done = 0
+            for texts in text_slices(b.column("text")):
+                at, rows = [], []
+                for i, ids in enumerate(words.encode_column(texts)):
+                    raw, n = memoryview(np.append(ids, np.int32(end_id)).astype("<u4").tobytes()), len(ids) + 1
+                    for s in range(0, n, window):
+                        size_here = min(window, n - s)
+                        r = seen.get(size_here, 0)
+                        seen[size_here] = r + 1
+                        at.append(done + i)
+                        rows.append((s, size_here, zlib.crc32(raw[4 * s : 4 * (s + size_here)]), n, part, r))
+                done += len(texts)
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int32())), *(pa.array(c, pa.int64()) for c in columns)], names)
 
     return run
 
@@ -165,10 +190,10 @@ def patterns(counts: dict[int, int], window: int) -> list[tuple[int, dict[int, i
     return out
 
 
-def _intervals(counts: dict[int, int], window: int) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(length, first rank, past rank, in each sequence, first sequence, offset of the first, reach of the offsets)."""
+def _intervals(fills: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, past rank, in each sequence, first sequence, offset of the first)."""
     rows, taken, sequence = [], {}, 0
-    for times, used in patterns(counts, window):
+    for times, used in fills:
         offset = 0
         for length, c in sorted(used.items(), reverse=True):
             first = taken.get(length, 0)
@@ -179,7 +204,7 @@ def _intervals(counts: dict[int, int], window: int) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(df: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", table_size: int = 200_000) -> DataFrame:
+def pack(df: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", table_size: int = 100_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of the tokenizers file at ``path`` without special tokens, then ``end_id``; a null text
@@ -196,18 +221,25 @@ def pack(df: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col:
     # At most ``window`` rows.
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     whole = counts.pop(window, 0)
-    small = [*_intervals(counts, window), *([(window, 0, whole, 1, 0, 0)] if whole else [])]
-    shift = sum(t for t, _ in patterns(counts, window))
-    small = [(n, a, z, c, s + (shift if n == window else 0), o) for n, a, z, c, s, o in small]
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "first", "past", "each", "sequence", "from")])
-    places = df.sparkSession.createDataFrame(small, schema)
-    at = F.col("rank") + F.col("ahead")
-    ranked = pieces.join(parts.select("length", "part", "ahead"), ["length", "part"]).withColumn("rank", at).drop("ahead", "part")
-    return ranked.join(F.broadcast(places), ["length"]).filter("rank >= first and rank < past").select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        (F.col("sequence") + F.expr("(rank - first) div each")).alias("sequence_id"),
-        (F.col("from") + (F.col("rank") - F.col("first")) % F.col("each") * F.col("length")).alias("offset"),
-    )
+    fills = patterns(counts, window)
+    small = [*_intervals(fills), *([(window, 0, whole, 1, sum(t for t, _ in fills), 0)] if whole else [])]
+    ranked = pieces.join(parts.select("length", "part", "ahead").hint("merge"), ["length", "part"])
+    place = F.arrow_udf(_placing(small), "struct<sequence: bigint, offset: bigint>")("length", (F.col("rank") + F.col("ahead")))
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", place.alias("p")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("p.sequence").alias("sequence_id"), F.col("p.offset").alias("offset"))
+
+
+def _placing(intervals: list[tuple[int, int, int, int, int, int]]) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """Finds the interval of each (length, rank) by binary search; there are a few for each length of the window at most."""
+    rows = np.array(sorted(intervals), np.int64).reshape(-1, 6)
+    keys = rows[:, 0] << 48 | rows[:, 1]
+
+    def run(length: pa.Array, rank: pa.Array) -> pa.Array:
+        n, r = length.to_numpy(), rank.to_numpy()
+        at = rows[np.searchsorted(keys, n << 48 | r, "right") - 1]
+        r = r - at[:, 1]
+        return pa.StructArray.from_arrays([pa.array(at[:, 4] + r // at[:, 3]), pa.array(at[:, 5] + r % at[:, 3] * n)], ["sequence", "offset"])
+
+    return run
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
