@@ -52,10 +52,11 @@ class TextModel:
         # Half-way between what the language's own texts score on average and what evenly spread trigrams score.
         self.floor = (own + np.log(p).mean(axis=1)) / 2
 
-    def means(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def means(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of each text's trigrams (0: nothing but blanks), and their mean log-likelihoods."""
         n, out = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.languages)))
-        for i, text in enumerate(texts):
+        for i, value in enumerate(texts):
+            text = value.as_py()
             if text and not text.isspace():
                 for b in buckets(text):
                     out[i] += self.table[b].sum(axis=0, dtype=np.float64)
@@ -108,7 +109,7 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] | None = None, sample_ro
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {k: i for i, k in enumerate(names)}
         for b in batches:
-            n, m = model.means(b.column("text").to_pylist())
+            n, m = model.means(b.column("text"))
             true = np.array([place[x] for x in b.column("lang").to_pylist()], np.int64)
             some = np.flatnonzero(n)
             for k, t in enumerate(TEMPERATURES):
@@ -160,7 +161,7 @@ _DECISION = "struct<by_text: string, language: string, probability: double, acce
 
 def _evidence(model: TextModel) -> Callable[[pa.Array], pa.Array]:
     def run(texts: pa.Array) -> pa.Array:
-        n, m = model.means(texts.to_pylist())
+        n, m = model.means(texts)
         means = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * m.shape[1], pa.int32()), pa.array(m.reshape(-1)))
         return pa.StructArray.from_arrays([pa.array(n), pa.array(model.votes(n, m), pa.int32()), means], ["n", "vote", "means"])
 
@@ -181,7 +182,7 @@ def _decision(model: TextModel, table_: np.ndarray, least: float) -> Callable[..
         if pa.types.is_struct(text.type):
             n, means = text.field("n").to_numpy(), text.field("means").flatten().to_numpy().reshape(-1, k)
         else:
-            n, means = model.means(text.to_pylist())
+            n, means = model.means(text)
         said = np.array([k + 1 if d is None else place.get(d, k) for d in declared.to_pylist()], np.int64)
         best, e = fuse(model, n, means, said, counts(host), counts(suffix), table_)
         row = np.arange(len(n))
@@ -215,7 +216,9 @@ def language_id(df: DataFrame, model: TextModel, text: Column, declared: Column
     k = len(model.languages)
     if not k:
         return rows.select(*(F.col(f"`{c}`") for c in kept), F.lit(UNKNOWN).alias(out[0]), F.lit(UNKNOWN).alias(out[1]), F.lit(0.0).alias(out[2]), F.lit(False).alias(out[3]))
-    evidence = F.arrow_udf(_evidence(model), _EVIDENCE)(F.col("__kg_text"))
+    # Called nondeterministic, so that filters on what they give don't make Catalyst evaluate them twice.
+    scored = F.arrow_udf(_evidence(model), _EVIDENCE).asNondeterministic()
+    evidence = scored(F.col("__kg_text"))
     if keep:
         rows = staged(rows.withColumn("__kg_text", evidence))
     votes = rows.select(*(f"__kg_{c}" for c in ("declared", "suffix", "host")), (F.col("__kg_text") if keep else evidence)["vote"].alias("vote")).filter("vote >= 0")
@@ -232,7 +235,8 @@ def language_id(df: DataFrame, model: TextModel, text: Column, declared: Column
     by_suffix = counts.filter("__kg_suffix is not null").groupBy("__kg_suffix").agg(*sums("n")).select("__kg_suffix", array("__kg_suffix_votes"))
     by_host = counts.filter("__kg_host is not null").groupBy("__kg_host").agg(*sums("n")).select("__kg_host", array("__kg_host_votes"))
     joined = rows.join(by_host, "__kg_host", "left").join(by_suffix, "__kg_suffix", "left")
-    decided = F.arrow_udf(_decision(model, table_, least), _DECISION)("__kg_text", "__kg_declared", "__kg_host_votes", "__kg_suffix_votes")
+    decide = F.arrow_udf(_decision(model, table_, least), _DECISION).asNondeterministic()
+    decided = decide("__kg_text", "__kg_declared", "__kg_host_votes", "__kg_suffix_votes")
     done = joined.select(*(F.col(f"`{c}`") for c in kept), decided.alias("__kg"))
     return done.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"__kg.{f}").alias(n) for f, n in zip(("by_text", "language", "probability", "accepted"), out, strict=True)))
 

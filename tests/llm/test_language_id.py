@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,8 +113,8 @@ def test_prior_decides_where_text_is_silent(spark):
 
 def test_very_long_text(spark, model):
     text = "der hund und die katze sind nicht im haus " * 40000
-    n, m = model.means([text])
-    assert n[0] == len(text) and np.allclose(m[0], model.means([text[: 42 * 3000]])[1][0], atol=1e-3)
+    n, m = model.means(pa.array([text]))
+    assert n[0] == len(text) and np.allclose(m[0], model.means(pa.array([text[: 42 * 3000]]))[1][0], atol=1e-3)
 
 
 def test_few_labels_among_many_rows(spark):
