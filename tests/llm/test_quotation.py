@@ -1,4 +1,4 @@
-from kgloom.llm.quotation import link_quotes
+from kgloom.llm.quotation import chat_quotes, link_quotes
 
 ROWS = [
     (1, 0, "user", "How do I sort a table?\nI tried everything."),
@@ -31,7 +31,7 @@ def test_links(spark):
     assert got[2, 1].reply_to is None and got[2, 1].quotes == 1
     assert (got[2, 2].deepest, got[2, 2].reply_to) == (4, None)
     assert got[2, 3].reply_to == 2
-    assert got[None, 2].reply_to == 1 and got[4, None].reply_to is None and got[4, None].body == ""
+    assert got[None, 2].reply_to == 1 and got[4, None].reply_to is None and got[4, None].body == "> text of no conversation"
     assert got[1, 1].formatted == "<|assistant|>\nUse an ordered query.\n" and got[3, 0].formatted == "<|unknown|>\n\n"
     assert link_quotes(df.limit(0)).count() == 0
 
@@ -58,6 +58,34 @@ def test_partial_and_short_quotes(spark):
     assert got[None, 1] == (0, 1)
 
 
+def test_rewrapped_quotes_and_quotes_that_stay(spark):
+    """Quotes wrapped anew, of the middle of a line, nested and rewrapped; code and prompts that nobody said stay in the body."""
+    rows = [
+        (1, 0, "The house is large and the garden is small,\nso we play in the house when it rains."),
+        (1, 1, "> the garden is small, so we play\n> in the house\nGood."),
+        (1, 2, "> > is large and the\n> > garden is small,\n> Good.\nIndeed."),
+        (1, 3, ">>> print('hello')\nthe output is\n$ echo > file"),
+        (1, 4, "> the house is small and the garden is large\nNo, the other way."),
+        (1, 5, "> is large\ntoo short to be looked for inside a line"),
+        (1, 6, "intro\n> Indeed.\n> > nobody said this at all\noutro"),
+        (2, 0, "The house is large and the garden is small,"),
+        (2, 1, "> The\n> house\n> is\n> large\n> and\none word a line " + "word " * 30000),
+    ]
+    got = {(r.conv_id, r.turn): r for r in link_quotes(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[1, t].reply_to, got[1, t].linked) for t in range(7)] == [(None, 0), (0, 1), (1, 2), (None, 0), (None, 0), (None, 0), (2, 1)]
+    assert got[1, 1].body == "Good." and got[1, 2].body == "Indeed."
+    assert got[1, 3].body == ">>> print('hello')\nthe output is\n$ echo > file"
+    assert got[1, 4].body == "> the house is small and the garden is large\nNo, the other way."
+    assert got[1, 6].body == "intro\n> > nobody said this at all\noutro"
+    assert got[2, 1].reply_to == 0 and got[2, 1].body.startswith("one word a line")
+
+
+def test_derived_quotes(spark):
+    out = chat_quotes(spark, "/root/testdata/sf0.001")
+    n, quotes, linked = out.selectExpr("count(*)", "sum(quotes)", "sum(linked)").first()
+    assert n == spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").count() and quotes == linked > 0
+
+
 def test_against_brute_force(spark):
     import random
     import re
