@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Types that win over others when an entity has several labels.
-PRIORITY_LABELS = ("Herb", "Formula", "Disease", "Symptom")
-#: Likely relationship between two entity types, either way round.
-PREDICTED_TYPES = {("Customer", "Part"): "MAY_BUY", ("Part", "Supplier"): "MAY_BE_SUPPLIED_BY", ("Customer", "Supplier"): "MAY_DEAL_WITH", ("Customer", "Nation"): "MAY_BE_LOCATED_IN", ("Nation", "Supplier"): "MAY_HOST", ("Customer", "Customer"): "SIMILAR_TO", ("Part", "Part"): "SIMILAR_TO"}
+#: Labels that win over others when an entity has several, and labels that say nothing about its domain.
+PRIORITY_LABELS = ("Herb", "Property", "Quality", "Entity")
+SYSTEM_LABELS = ("Entity", "Chunk", "File", "Folder", "Unknown")
+#: The likely relationship between two entity types, as given or the other way round.
+PREDICTED_TYPES = {
+    ("Person", "Person"): "KNOWS",
+    ("Person", "Organization"): "WORKS_FOR",
+    ("Person", "Place"): "LIVES_IN",
+    ("Person", "Event"): "PARTICIPATED_IN",
+    ("Organization", "Place"): "LOCATED_IN",
+    ("Event", "Place"): "OCCURRED_AT",
+    ("Concept", "Concept"): "RELATED_TO",
+}
 
 
 def sanitize_rel_type(c: Column) -> Column:
@@ -96,12 +105,11 @@ def health_status(score: Column) -> Column:
     return F.when(score >= 0.8, "healthy").when(score >= 0.5, "warning").otherwise("critical")
 
 
-def predicted_type(a: Column, b: Column) -> Column:
-    """F13"""
-    out = F.lit(None).cast("string")
-    for (x, y), kind in PREDICTED_TYPES.items():
-        out = F.when(((a == x) & (b == y)) | ((a == y) & (b == x)), F.lit(kind)).otherwise(out)
-    return F.coalesce(out, F.lit("RELATED_TO"))
+def predicted_type(a: Column, b: Column, pairs: dict[tuple[str, str], str] = PREDICTED_TYPES) -> Column:
+    """``pairs`` as given first, then the other way round, else RELATED_TO."""
+    known = F.create_map(*(F.lit(x) for (p, q), kind in pairs.items() for x in (f"{p}\x1f{q}", kind)))
+    of = lambda x, y: F.try_element_at(known, F.concat(x, F.lit("\x1f"), y))
+    return F.coalesce(of(a, b), of(b, a), F.lit("RELATED_TO"))
 
 
 def array_add(c: Column, value: Column) -> Column:
@@ -148,14 +156,19 @@ def clean_label(c: Column) -> Column:
     return F.when(out.isNull() | (out == ""), F.lit("Unknown")).otherwise(out)
 
 
-def effective_type(labels: Column, explicit: Column) -> Column:
-    """The explicit type, else a priority label, else the longest label (the first of several)."""
-    first = F.get(F.filter(F.array(*map(F.lit, PRIORITY_LABELS)), lambda p: F.array_contains(labels, p)), F.lit(0))
-    longest = F.get(F.filter(labels, lambda x: F.length(x) == F.array_max(F.transform(labels, lambda y: F.length(y)))), F.lit(0))
-    return F.coalesce(F.nullif(explicit, F.lit("")), first, longest, F.lit("Unknown"))
+def effective_type(labels: Column, explicit: Column, priority: tuple[str, ...] = PRIORITY_LABELS, system: tuple[str, ...] = SYSTEM_LABELS) -> Column:
+    """The explicit type, else of the domain labels (no system label, none of a folder) a priority label or the longest
+    (the first of several), else the first label that is no system label, else the first; cleaned like ``clean_label``."""
+    own = F.filter(labels, lambda x: ~x.isin(*system))
+    domain = F.filter(own, lambda x: ~x.startswith("F_"))
+    first = F.get(F.filter(F.array(*map(F.lit, priority)), lambda p: F.array_contains(domain, p)), F.lit(0))
+    longest = F.get(F.filter(domain, lambda x: F.length(x) == F.array_max(F.transform(domain, lambda y: F.length(y)))), F.lit(0))
+    return clean_label(F.coalesce(F.nullif(explicit, F.lit("")), first, longest, F.get(own, F.lit(0)), F.get(labels, F.lit(0)), F.lit("Unknown")))
 
 
 def display_name(values: list[Column], kind: Column, id_: Column) -> Column:
-    """The first value under 100 characters that doesn't look like an id; else the type; else the id's start."""
-    looks = lambda v: (F.length(v) >= 32) & v.rlike("^[A-Za-z0-9-]+$")
-    return F.coalesce(*(F.when(v.isNotNull() & (v != "") & (F.length(v) < 100) & ~looks(v), v) for v in values), F.nullif(kind, F.lit("")), F.substring(id_, 1, 8))
+    """The first value under 100 characters that doesn't look like an id (over 30 characters with four dashes, or letters and
+    digits only); else the type, unless it is Entity or Unknown; else the id, of over 20 characters its first 8; else Unknown."""
+    looks = lambda v: (F.length(v) > 30) & ((F.length(v) - F.length(F.replace(v, F.lit("-"), F.lit(""))) >= 4) | v.rlike(r"^[\p{L}\p{N}]+$"))
+    shown = (F.when((v != "") & (F.length(v) < 100) & ~looks(v), v) for v in values)
+    return F.coalesce(*shown, F.when((kind != "") & ~kind.isin("Entity", "Unknown"), kind), F.when(F.length(id_) > 20, F.substring(id_, 1, 8)).when(id_ != "", id_), F.lit("Unknown"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,12 +63,12 @@ def hits(g: Projection, max_iter: int = 20) -> DataFrame:
     return _named(g, hub.withColumnRenamed("v", "hub").join(auth.withColumnRenamed("v", "auth"), "id"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_hops: int = 100) -> DataFrame:
-    """(s, id, d, sigma): breadth-first from every source at once, with the number of shortest paths."""
+def distances(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(s, id, d, sigma): breadth-first from every source at once, with the number of shortest paths; to the end unless ``max_hops`` is set."""
     e = edges.select("src", "dst").distinct()
     frontier = staged(sources.select(F.col("id").alias("s"), "id", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
     seen = frontier
-    for d in range(1, max_hops + 1):
+    for d in count(1) if max_hops is None else range(1, max_hops + 1):
         new = frontier.join(e, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
         frontier = staged(new.join(seen, ["s", "id"], "left_anti").select("s", "id", F.lit(d).alias("d"), "sigma"))
         if frontier.isEmpty():
@@ -120,12 +122,10 @@ def edge_betweenness(g: Projection, sampling_size: int = 0) -> DataFrame:
     return flows.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg((F.sum("flow") / 2).alias("score"))
 
 
-def girvan_newman(g: Projection, target: int, max_nodes: int = 2000) -> DataFrame:
+def girvan_newman(g: Projection, target: int) -> DataFrame:
     """(id, component) after edges of greatest betweenness have gone until there are ``target`` components.
 
-    Each removal takes a full betweenness, so graphs over ``max_nodes`` nodes are refused."""
-    if g.nodes.count() > max_nodes:
-        raise ValueError(f"girvan_newman takes at most {max_nodes} nodes")
+    Each removal takes a full betweenness of what is left: nodes times edges, for every edge that goes."""
     edges = g.edges
     while True:
         now = Projection(g.nodes, edges, True)
@@ -147,11 +147,11 @@ def closeness(g: Projection, wasserman_faust: bool = True, sources: DataFrame |
     return _named(g, per.filter("far > 0").select("id", score.alias("score")))
 
 
-def wcc(g: Projection, rounds: int = 60) -> DataFrame:
+def wcc(g: Projection) -> DataFrame:
     """(id, component): the least id that can be reached, by alternating large and small stars."""
     e = staged(g.edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break
@@ -242,11 +242,11 @@ def leiden(g: Projection, gamma: float = 1.0) -> DataFrame:
     return louvain(g, gamma, refine=True)
 
 
-def k_core(g: Projection, rounds: int = 100) -> DataFrame:
+def k_core(g: Projection) -> DataFrame:
     """(id, core): h-index of the neighbours' estimates until it is stable."""
     e = staged(g.edges.filter("src <> dst").select("src", "dst").distinct())
     core = staged(g.nodes.select("id").join(e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("c")), "id", "left").select("id", F.coalesce("c", F.lit(0)).alias("core")))
-    for _ in range(rounds):
+    while True:
         seen = e.join(core.select(F.col("id").alias("dst"), F.col("core").alias("theirs")), "dst").join(core.select(F.col("id").alias("src"), F.col("core").alias("mine")), "src")
         # The h-index from a histogram capped at the own estimate: no neighbour list is gathered.
         histogram = seen.groupBy(F.col("src").alias("id"), F.least("theirs", "mine").alias("v")).agg(F.count(F.lit(1)).alias("n"))
@@ -256,7 +256,6 @@ def k_core(g: Projection, rounds: int = 100) -> DataFrame:
         core = after.select("id", "core")
         if after.filter("moved").isEmpty():
             return core
-    return core
 
 
 def k_core_members(g: Projection, k: int = 3) -> DataFrame:
@@ -277,11 +276,11 @@ def triangles(g: Projection) -> DataFrame:
     return closed.groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
 
 
-def topological_sort(g: Projection, rounds: int = 10_000) -> DataFrame:
+def topological_sort(g: Projection) -> DataFrame:
     """(id, level, in_cycle): peeled by in-degree; what can't be peeled has a null level."""
     e, left = staged(g.edges.filter("src <> dst").select("src", "dst").distinct()), staged(g.nodes.select("id"))
     out = left.limit(0).select("id", F.lit(0).alias("level"), F.lit(False).alias("in_cycle"))
-    for level in range(rounds):
+    for level in count():
         free = staged(left.join(e.select(F.col("dst").alias("id")), "id", "left_anti"))
         if free.isEmpty():
             break
@@ -312,11 +311,14 @@ def random_walks(g: Projection, sources: DataFrame, length: int = 10, count: int
     return out
 
 
-def relaxed(g: Projection, sources: DataFrame, rounds: int = 200) -> DataFrame:
-    """(s, id, cost, previous): least weighted distance, by rounds of relaxation of what improved."""
+def relaxed(g: Projection, sources: DataFrame) -> DataFrame:
+    """(s, id, cost, previous): least weighted distance, by rounds of relaxation of what improved, until nothing does.
+
+    A path has fewer edges than there are nodes; what still improves after as many rounds runs in a cycle of negative cost."""
+    nodes = None
     e = staged(g.edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
     best = frontier = staged(sources.select(F.col("id").alias("s"), "id", F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("previous")))
-    for _ in range(rounds):
+    for done in count():
         tried = frontier.join(e, F.col("id") == F.col("src")).select("s", F.col("dst").alias("id"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("src").alias("previous"))
         tried = tried.groupBy("s", "id").agg(F.min(F.struct("cost", "previous")).alias("t"))
         old = best.select("s", "id", F.struct("cost", "previous").alias("o"))
@@ -324,14 +326,17 @@ def relaxed(g: Projection, sources: DataFrame, rounds: int = 200) -> DataFrame:
         best = merged.select("s", "id", "b.cost", "b.previous")
         frontier = merged.filter("moved").select("s", "id", "b.cost", "b.previous")
         if frontier.isEmpty():
-            break
-    return best
+            return best
+        if done % 64 == 63:
+            nodes = nodes or g.edges.select("src").union(g.edges.select("dst")).distinct().count()
+            if done > nodes:
+                raise ValueError("a cycle of negative cost")
 
 
-def _path(previous: DataFrame, source: str, target: str, hops: int) -> list[str]:
-    """The chain of one path, read back step by step: at most ``hops`` single-row lookups."""
+def _path(previous: DataFrame, source: str, target: str, hops: int | None) -> list[str]:
+    """The chain of one path, read back step by step: a single-row lookup for each of its edges (``hops`` at most)."""
     chain = [target]
-    while chain[-1] != source and len(chain) <= hops:
+    while chain[-1] != source and (hops is None or len(chain) <= hops):
         row = previous.filter(F.col("id") == chain[-1]).select("previous").first()
         if row is None or row[0] is None:
             return []
@@ -343,7 +348,7 @@ def dijkstra(g: Projection, source: str, target: str) -> DataFrame:
     """(path, cost, hops): one row, none if the target can't be reached."""
     best = staged(relaxed(g, g.nodes.filter(F.col("id") == source)))
     row = best.filter(F.col("id") == target).first()
-    chain = _path(best, source, target, 10_000) if row else []
+    chain = _path(best, source, target, None) if row else []
     out = best.filter((F.col("id") == target) & F.lit(bool(chain)))
     return out.select(F.lit(" > ".join(chain)).alias("path"), "cost", F.lit(max(0, len(chain) - 1)).alias("hops"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom.functions.columns import combined_similarity, cosine, predicted_type
-from kgloom.operators.relational import exclude_linked, first_seen, two_hop_pairs
+from kgloom.operators.relational import exclude_linked, first_seen, running_before, two_hop_pairs
 from kgloom.sources.graph import Projection, adjacency
 from kgloom.sources.stage import staged
 
@@ -93,12 +93,17 @@ def lp_total_neighbors(adj: DataFrame, k: int = 20) -> DataFrame:
     return _top(_hub_pairs(adj, k, unions, operator.add).select("a", "b", "score"), "score", k)
 
 
-def lp_same_type(nodes: DataFrame, adj: DataFrame) -> DataFrame:
-    """Unlinked pairs at two hops with the same type."""
-    t = nodes.select("id", "type")
-    p = exclude_linked(two_hop_pairs(adj).select("a", "b").distinct(), adj)
-    out = p.join(t.select(F.col("id").alias("a"), "type"), "a").join(t.select(F.col("id").alias("b"), F.col("type").alias("t2")), "b").filter(F.col("type") == F.col("t2"))
-    return out.select("a", "b", "type")
+def lp_same_type(nodes: DataFrame, adj: DataFrame, k: int = 20) -> DataFrame:
+    """(a, b, type, score): of all unlinked pairs a < b of one type the first ``k`` by their ids (all score 1).
+
+    Where a type has as many nodes, its first node has k unlinked partners among the k plus its degree that follow it; so
+    the first nodes of each type, as many as that, hold all pairs that are asked for.
+    """
+    t = nodes.filter("type is not null").select("id", "type")
+    most = t.groupBy("type").agg(F.min("id").alias("id")).join(degree(adj), "id").agg(F.max("d")).first()[0] or 0
+    first = staged(t.withColumn("_n", F.row_number().over(Window.partitionBy("type").orderBy("id"))).filter(F.col("_n") <= k + 1 + most).select("id", "type"))
+    pairs = first.select(F.col("id").alias("a"), "type").join(first.select(F.col("id").alias("b"), "type"), "type").filter("a < b")
+    return _top(exclude_linked(pairs.select("a", "b", "type").withColumn("score", F.lit(1.0)), adj).select("a", "b", "type", "score"), "score", k)
 
 
 def score_pair(adj: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -304,8 +309,8 @@ def correlation(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataF
     if method == "spearman":
         for c in (a, b):
             counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-            below = F.sum("_n").over(Window.orderBy(c)) - F.col("_n")
-            df = df.join(counts.withColumn("_rank", below + (F.col("_n") + 1) / 2).select(c, F.col("_rank").alias(f"_r_{c}")), c)
+            counts = running_before(counts.filter(F.col(c).isNotNull()), c, "_n", "_below")
+            df = df.join(counts.select(c, (F.col("_below") + (F.col("_n") + 1) / 2).alias(f"_r_{c}")), c)
         a, b = f"_r_{a}", f"_r_{b}"
     return df.agg(F.round(F.corr(a, b), 4).alias("r"))
 

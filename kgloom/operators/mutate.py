@@ -37,10 +37,14 @@ def stage_file(staging: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def set_file_status(files: DataFrame, updates: DataFrame) -> DataFrame:
-    """Updates (file_id, new_status, at); processed_at only for completed and failed."""
-    j = files.join(updates, "file_id", "left")
+    """Updates (file_id, new_status, at) and, where given, node_count, relationship_count (0 without) and error_message;
+    processed_at only for completed and failed. Files without an update have none of the four."""
+    null = F.lit(None)
+    given = lambda c, kind, without: F.coalesce(F.col(c), F.lit(without)) if c in updates.columns else F.lit(without).cast(kind)
+    u = updates.select("file_id", "new_status", "at", given("node_count", "long", 0).alias("node_count"), given("relationship_count", "long", 0).alias("relationship_count"), (F.col("error_message") if "error_message" in updates.columns else null.cast("string")).alias("error_message"))
+    j = files.select("file_id", "folder_id", "status").join(u, "file_id", "left")
     done = F.col("new_status").isin("completed", "failed")
-    return j.select("file_id", "folder_id", F.coalesce("new_status", "status").alias("status"), F.when(done, F.col("at")).alias("processed_at"))
+    return j.select("file_id", "folder_id", F.coalesce("new_status", "status").alias("status"), "node_count", "relationship_count", "error_message", F.when(done, F.col("at")).alias("processed_at"))
 
 
 def approve(nodes: DataFrame, edges: DataFrame, staging: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, file_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from kgloom.functions.columns import clean_label, grade, health_status
 from kgloom.sources.graph import adjacency, first_per
+from kgloom.sources.stage import staged
 
 # --- filters and projections -------------------------------------------------------------------------------------------
 
@@ -180,12 +181,11 @@ def typed_pairs(nodes: DataFrame, keys: tuple[str, ...] = ("type", "folder_id"))
 
 
 def cross_folder_bridges(nodes: DataFrame) -> DataFrame:
-    """Names that live in several folders: each name with a folder and the next, so a name in k folders gives k-1 rows
-    besides its count, rather than k*(k-1)/2."""
-    per = nodes.groupBy("name", "folder_id").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("name").orderBy("folder_id")
-    out = per.withColumn("folder_b", F.lead("folder_id").over(w)).withColumn("id_b", F.lead("id").over(w)).withColumn("folders", F.count(F.lit(1)).over(Window.partitionBy("name")))
-    return out.filter("folder_b is not null").select("name", F.col("folder_id").alias("folder_a"), "folder_b", F.col("id").alias("id_a"), "id_b", "folders")
+    """(name, folder_a, folder_b, id_a, id_b) for every two folders a < b that hold a name; the least id stands for the
+    name's entities in a folder, so a name gives at most as many rows as there are pairs of folders."""
+    per = staged(nodes.filter("name is not null and folder_id is not null").groupBy("name", "folder_id").agg(F.min("id").alias("id")))
+    a, b = (per.select("name", F.col("folder_id").alias(f"folder_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
+    return a.join(b, "name").filter("folder_a < folder_b").select("name", "folder_a", "folder_b", "id_a", "id_b")
 
 
 def rewrite_endpoints(edges: DataFrame, merge_map: DataFrame) -> DataFrame:
@@ -356,10 +356,14 @@ def top_communities(assign: DataFrame, k: int = 5) -> DataFrame:
     return assign.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "cluster").limit(k)
 
 
-def island_summary(components: DataFrame) -> DataFrame:
-    """Of (id, component): number of components, size of the giant, nodes outside it, single nodes."""
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
-    return sizes.agg(F.count(F.lit(1)).alias("components"), F.max("c").alias("giant"), (F.sum("c") - F.max("c")).alias("isolated"), F.count_if(F.col("c") == 1).alias("singles"))
+def island_summary(components: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of (id, component): number of components, size of the giant, nodes outside it, single nodes, and the names of the
+    first nodes of the three islands that follow the giant (by size, then by that node's id)."""
+    sizes = staged(components.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("f")))
+    after = sizes.orderBy(F.desc("c"), "f").limit(4).orderBy("c", F.desc("f")).limit(3) if sizes.limit(4).count() == 4 else sizes.orderBy("c", F.desc("f")).limit(max(0, sizes.limit(4).count() - 1))
+    names = after.join(nodes.select(F.col("id").alias("f"), "name"), "f").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("k"), "f", "name"))), lambda x: x["name"]), ", ").alias("sample"))
+    out = sizes.agg(F.count(F.lit(1)).alias("components"), F.max("c").alias("giant"), (F.sum("c") - F.max("c")).alias("isolated"), F.count_if(F.col("c") == 1).alias("singles"))
+    return out.crossJoin(names).withColumn("sample", F.concat("sample", F.when(F.col("components") > 4, ", and others").otherwise("")))
 
 
 def infer_schema(nodes: DataFrame, edges: DataFrame, k: int = 20) -> DataFrame:
@@ -463,10 +467,30 @@ def first_seen(frames: list[DataFrame], key: list[str]) -> DataFrame:
     return first_per(out, key, [F.col("_list")]).drop("_list")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """Adds the row's number, from 1, among those with the same ``keys`` (not null) in ``order``. Rows are dealt by ranges and
+    numbered there; what the ranges before hold of the key is added, so a key's rows never meet in one task."""
+    placed = staged(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
+    counts = placed.groupBy("_p", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_p", *keys, F.coalesce(before, F.lit(0)).alias("_before"))
+    local = placed.withColumn(name, F.row_number().over(Window.partitionBy("_p", *keys).orderBy(*order)))
+    return local.join(counts, ["_p", *keys]).withColumn(name, F.col(name) + F.col("_before")).drop("_p", "_before")
+
+
+def running_before(df: DataFrame, order: str, weight: str, name: str) -> DataFrame:
+    """Adds the sum of ``weight`` over all rows before in ``order`` (distinct values), range by range."""
+    placed = staged(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    sums = placed.groupBy("_p").agg(F.sum(weight).alias("_s"))
+    sums = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    local = F.coalesce(F.sum(weight).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn(name, local).join(sums, "_p").withColumn(name, F.col(name) + F.col("_before")).drop("_p", "_before")
+
+
 def ranked_table(df: DataFrame, score: str, tie: str = "id") -> DataFrame:
-    """Rank and share of the top score, for a table that has been cut to its top rows."""
+    """Rank and share of the top score."""
     best = df.agg(F.max(score).alias("_best"))
-    ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), tie)))
+    ranked = numbered(df, [], [F.desc(score), F.col(tie)], "rank")
     return ranked.crossJoin(best).withColumn("bar", F.when(F.col("_best") > 0, F.round(100 * F.col(score) / F.col("_best"), 2)).otherwise(0.0)).drop("_best")
 
 

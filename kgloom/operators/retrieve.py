@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from kgloom.functions.columns import cosine, hash_unit, query_terms
 from kgloom.operators.links import node_similarity
+from kgloom.operators.relational import numbered
 from kgloom.sources.graph import adjacency
 
 
@@ -131,14 +132,14 @@ def citations(hits: DataFrame, nodes: DataFrame, clip: int = 200) -> DataFrame:
 
 
 def layout_positions(nodes: DataFrame, scale: float = 100.0) -> DataFrame:
-    """(id, x, y, z): types on a ring, entities spread around their type by hash, folders apart along z.
-
-    No rank of rows is needed: the place in the type comes from the id's hash, so no window over a type is formed."""
-    kinds = nodes.select("type").distinct()
-    k = kinds.count()
-    ring = kinds.withColumn("t", F.dense_rank().over(Window.orderBy("type")) - 1)
-    u, v = hash_unit(F.col("id")), hash_unit(F.concat("id", F.lit("#")))
-    angle = 2 * F.pi() * F.col("t") / F.lit(max(1, k))
-    r = F.lit(scale / 3) * F.sqrt(u)
-    x, y = scale * F.cos(angle) + r * F.cos(2 * F.pi() * v), scale * F.sin(angle) + r * F.sin(2 * F.pi() * v)
-    return nodes.join(F.broadcast(ring), "type").select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(scale * 4 * (hash_unit(F.coalesce("folder_id", F.lit(""))) - 0.5), 3).alias("z"))
+    """(id, x, y, z): types on a ring, entities on a spiral of three turns around their type by their place in it, with
+    a little jitter by name, folders apart along z. Places are numbered range by range (``numbered``)."""
+    of = nodes.filter("type is not null").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    k = of.count()
+    ring = numbered(of, [], [F.col("type")], "t").withColumn("t", F.col("t") - 1)
+    placed = numbered(nodes.select("id", "name", "type", "folder_id"), ["type"], [F.col("id")], "j").join(ring, "type")
+    part = (F.col("j") - 1) / F.col("n")
+    centre, angle = 2 * F.pi() * F.col("t") / F.lit(max(1, k)), part * 6 * F.pi()
+    r = part * F.least(F.lit(scale * 0.3), F.col("n") * 10.0) + 20 * hash_unit(F.coalesce("name", F.lit("")))
+    x, y = scale / 2 * F.cos(centre) + r * F.cos(angle), scale / 2 * F.sin(centre) + r * F.sin(angle)
+    return placed.select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(scale * 4 * (hash_unit(F.coalesce("folder_id", F.lit(""))) - 0.5), 3).alias("z"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kgloom.operators import algorithms as A
 from kgloom.operators import links as L
 from kgloom.operators import relational as R
-from kgloom.plans.relational import both, by_folder, trade
+from kgloom.plans.relational import both, by_folder, written
 from kgloom.plans.sql import over
 from kgloom.sources import graph as G
 from kgloom.sources.stage import staged
@@ -119,25 +119,21 @@ def _wcc_sql(view: str, rounds: int = 16) -> str:
     return ", ".join(parts) + f", wcc AS (SELECT id, c AS component FROM w{rounds})"
 
 
-_TRADE = ", tr AS (SELECT src AS a, dst AS b FROM edges WHERE type <> 'LOCATED_IN' UNION SELECT dst, src FROM edges WHERE type <> 'LOCATED_IN')"
+_ALL = ", tr AS MATERIALIZED (SELECT a, b FROM adj)"
 
 
-def trading(s, d):
-    n, e = both(s, d)
-    return L.as_projection(n, trade(e))
-
-
-@query("g10_wcc", _TRADE + _wcc_sql("tr") + " SELECT * FROM wcc")
+@query("g10_wcc", _ALL + _wcc_sql("tr") + " SELECT * FROM wcc")
 def _(s, d):
-    return A.wcc(trading(s, d))
+    return A.wcc(undirected(s, d))
 
 
-@query("a14_island_summary", _TRADE + _wcc_sql("tr") + ", z AS (SELECT component, count(*) AS c FROM wcc GROUP BY 1) SELECT count(*) AS components, max(c) AS giant, CAST(sum(c) - max(c) AS BIGINT) AS isolated, count(*) FILTER (WHERE c = 1) AS singles FROM z")
+@query("a14_island_summary", _ALL + _wcc_sql("tr") + ", z AS (SELECT component, count(*) AS c FROM wcc GROUP BY 1) SELECT count(*) AS components, max(c) AS giant, CAST(sum(c) - max(c) AS BIGINT) AS isolated, count(*) FILTER (WHERE c = 1) AS singles, coalesce((SELECT string_agg(name, ', ' ORDER BY c DESC, f) FROM (SELECT name, c, f FROM (SELECT min(id) AS f, count(*) AS c FROM wcc GROUP BY component ORDER BY 2 DESC, 1 LIMIT 3 OFFSET 1) JOIN nodes ON id = f)), '') || CASE WHEN count(*) > 4 THEN ', and others' ELSE '' END AS sample FROM z")
 def _(s, d):
-    return R.island_summary(A.wcc(trading(s, d)))
+    n, e = both(s, d)
+    return R.island_summary(A.wcc(L.as_projection(n, written(e))), n)
 
 
-@query("a9_health_audit", _TRADE + _wcc_sql("tr") + """, v AS (
+@query("a9_health_audit", _ALL + _wcc_sql("tr") + """, v AS (
 SELECT 'connectivity' AS metric, max(c)::DOUBLE / (SELECT count(*) FROM nodes) AS value FROM (SELECT count(*) AS c FROM wcc GROUP BY component)
 UNION ALL SELECT 'density', round(2.0 * (SELECT count(*) FROM edges) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1.0)), 4)
 UNION ALL SELECT 'completeness', avg(CASE WHEN trim(coalesce(description, '')) <> '' THEN 1.0 ELSE 0 END) FROM nodes
@@ -145,7 +141,7 @@ UNION ALL SELECT 'balance', -sum(p * ln(p)) / ln(count(*)) FROM (SELECT count(*)
 SELECT metric, round(value, 4) AS value, CASE WHEN round(value, 4) >= 0.8 THEN 'healthy' WHEN round(value, 4) >= 0.5 THEN 'warning' ELSE 'critical' END AS status FROM v""")
 def _(s, d):
     n, e = both(s, d)
-    return R.health_audit(n, e, A.wcc(trading(s, d)))
+    return R.health_audit(n, e, A.wcc(undirected(s, d)))
 
 
 @query("g11_modularity", ", c AS (SELECT a, x.folder_id AS ca, y.folder_id AS cb FROM adj JOIN nodes x ON a = x.id JOIN nodes y ON b = y.id), t AS (SELECT count(*)::DOUBLE AS m2 FROM c) SELECT round(sum(i / m2 - (k / m2) * (k / m2)), 6) AS modularity FROM (SELECT ca, count(*) AS k, count(*) FILTER (WHERE ca = cb) AS i FROM c GROUP BY 1), t")
@@ -224,19 +220,27 @@ def _(s, d):
     return A.edge_betweenness(undirected(s, d), 8)
 
 
+@query("g24_girvan_newman")
+def _(s, d):
+    n, e = both(s, d)
+    n = staged(n.filter("type in ('Region', 'Nation', 'Supplier')"))
+    parts = A.girvan_newman(L.as_projection(n, staged(G.adjacency(G.scope_edges(e, n)))), 7)
+    return parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+
+
 _CONSTRAINT = """, w AS MATERIALIZED (SELECT a AS i, b AS j, 1.0::DOUBLE / count(*) OVER (PARTITION BY a) AS p FROM tr),
 ind AS (SELECT x.i, y.j, sum(x.p * y.p) AS r FROM w x JOIN w y ON x.j = y.i WHERE x.i <> y.j GROUP BY 1, 2)
 SELECT w.i AS id, round(sum((p + coalesce(r, 0)) * (p + coalesce(r, 0))), 5) AS "constraint" FROM w LEFT JOIN ind ON w.i = ind.i AND w.j = ind.j GROUP BY 1"""
 
 
-@query("g25_constraint", _TRADE + _CONSTRAINT)
+@query("g25_constraint", _ALL + _CONSTRAINT)
 def _(s, d):
-    return A.constraint(trading(s, d)).select("id", F.round("constraint", 5).alias("constraint"))
+    return A.constraint(undirected(s, d)).select("id", F.round("constraint", 5).alias("constraint"))
 
 
 @query("g25_brokers")
 def _(s, d):
-    g = trading(s, d)
+    g = undirected(s, d)
     return A.brokers(g, A.betweenness(g, 8).select("id", "score"))
 
 
@@ -248,14 +252,14 @@ def _(s, d):
 
 # --- links -------------------------------------------------------------------------------------------------------------
 
-_PAIRS = _TRADE + """, dg AS (SELECT a AS id, count(*) AS d FROM tr GROUP BY 1),
+_PAIRS = _ALL + """, dg AS (SELECT a AS id, count(*) AS d FROM tr GROUP BY 1),
 pr AS MATERIALIZED (SELECT x.a, y.b, count(*) AS cn, sum(CASE WHEN v.d > 1 THEN 1 / ln(v.d) ELSE 0 END) AS aa, sum(1.0::DOUBLE / v.d) AS ra FROM tr x JOIN tr y ON x.b = y.a JOIN dg v ON v.id = x.b WHERE x.a < y.b GROUP BY 1, 2),
 pu AS (SELECT pr.*, p.d AS da, q.d AS db FROM pr JOIN dg p ON p.id = pr.a JOIN dg q ON q.id = pr.b WHERE NOT EXISTS (SELECT 1 FROM tr z WHERE z.a = pr.a AND z.b = pr.b)),
 ap AS (SELECT p.id AS a, q.id AS b, p.d AS da, q.d AS db FROM dg p JOIN dg q ON p.id < q.id WHERE NOT EXISTS (SELECT 1 FROM tr z WHERE z.a = p.id AND z.b = q.id))"""
 
 
 def adj(s, d):
-    return trade(G.graph_edges(s, d))
+    return written(G.graph_edges(s, d))
 
 
 @query("l1_common_neighbors", _PAIRS + " SELECT a, b, cn AS score FROM pu ORDER BY cn DESC, a, b LIMIT 20")
@@ -266,7 +270,7 @@ def _(s, d):
 @query("l2_adamic_adar", _PAIRS + " SELECT a, b, x.name AS name_a, y.name AS name_b, x.type AS type_a, y.type AS type_b, round(aa, 3) AS score FROM pu JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b ORDER BY round(aa, 3) DESC, a, b LIMIT 20")
 def _(s, d):
     n, e = both(s, d)
-    top = L.lp_adamic_adar(trade(e))
+    top = L.lp_adamic_adar(written(e))
     name = lambda c: n.select(F.col("id").alias(c), F.col("name").alias(f"name_{c}"), F.col("type").alias(f"type_{c}"))
     return top.join(name("a"), "a").join(name("b"), "b")
 
@@ -286,16 +290,16 @@ def _(s, d):
     return L.lp_total_neighbors(adj(s, d))
 
 
-@query("l6_same_type", _PAIRS + " SELECT a, b, x.type FROM pu JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b WHERE x.type = y.type")
+@query("l6_same_type", "SELECT p.id AS a, q.id AS b, p.type, 1.0::DOUBLE AS score FROM nodes p JOIN nodes q ON p.type = q.type AND p.id < q.id WHERE NOT EXISTS (SELECT 1 FROM adj WHERE adj.a = p.id AND adj.b = q.id) ORDER BY 1, 2 LIMIT 20")
 def _(s, d):
     n, e = both(s, d)
-    return L.lp_same_type(n, trade(e))
+    return L.lp_same_type(n, written(e))
 
 
 @query("l7_score_pair", _PAIRS + """, q AS (SELECT src AS a, dst AS b FROM edges WHERE type = 'BOUGHT') SELECT q.a, q.b, coalesce(cn, 0) AS common_neighbors, round(coalesce(aa, 0), 3) AS adamic_adar, round(coalesce(ra, 0), 3) AS resource_allocation, p.d * w.d AS preferential_attachment, p.d + w.d - coalesce(cn, 0) AS total_neighbors, true AS already_connected FROM q LEFT JOIN pr ON pr.a = q.a AND pr.b = q.b JOIN dg p ON p.id = q.a JOIN dg w ON w.id = q.b""")
 def _(s, d):
     e = G.graph_edges(s, d)
-    return L.score_pair(trade(e), e.filter("type = 'BOUGHT'").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return L.score_pair(written(e), e.filter("type = 'BOUGHT'").select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
 @query("l8_ghost_lines", _PAIRS + " SELECT a, b, least(round(aa, 3), 1.0) AS probability FROM pu WHERE round(aa, 3) >= 0.5")
@@ -306,7 +310,7 @@ def _(s, d):
 @query("l9_between_types", _PAIRS + ", o AS (SELECT CASE WHEN x.type = 'Customer' THEN a ELSE b END AS a, CASE WHEN x.type = 'Customer' THEN b ELSE a END AS b, round(aa, 3) AS score FROM pu JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b WHERE (x.type = 'Customer' AND y.type = 'Supplier') OR (x.type = 'Supplier' AND y.type = 'Customer')) SELECT * FROM o ORDER BY score DESC, a, b LIMIT 20")
 def _(s, d):
     n, e = both(s, d)
-    return L.lp_between_types(n, trade(e), "Customer", "Supplier")
+    return L.lp_between_types(n, written(e), "Customer", "Supplier")
 
 
 @query("l10_bs_common_neighbors", _PAIRS + " SELECT a, b, least(cn / 10.0::DOUBLE, 1.0) AS confidence FROM pu WHERE cn > 1")
@@ -332,19 +336,19 @@ def _(s, d):
 @query("l14_discover")
 def _(s, d):
     n, e = both(s, d)
-    return L.discover(n, trade(e), min_confidence=0.2)
+    return L.discover(n, written(e))
 
 
 @query("a18_by_category")
 def _(s, d):
     n, e = both(s, d)
-    return R.by_category(L.discover(n, trade(e), min_confidence=0.2))
+    return R.by_category(L.discover(n, written(e)))
 
 
-@query("l15_pair_similarity", _PAIRS + ", s AS (SELECT pr.a, pr.b, cn::DOUBLE / (p.d + q.d - cn) AS j, cn::DOUBLE / least(p.d, q.d) AS o FROM pr JOIN dg p ON p.id = pr.a JOIN dg q ON q.id = pr.b WHERE pr.a LIKE 's%' AND pr.b LIKE 's%') SELECT a, b, round(j, 4) AS jaccard, round(o, 4) AS overlap, CAST(NULL AS DOUBLE) AS cosine, round((j + o) / 2, 4) AS combined FROM s")
+@query("l15_pair_similarity", _PAIRS + ", s AS (SELECT pr.a, pr.b, cn::DOUBLE / (p.d + q.d - cn) AS j, cn::DOUBLE / least(p.d, q.d) AS o FROM pr JOIN dg p ON p.id = pr.a JOIN dg q ON q.id = pr.b) SELECT a, b, round(j, 4) AS jaccard, round(o, 4) AS overlap, CAST(NULL AS DOUBLE) AS cosine, round((j + o) / 2, 4) AS combined FROM s")
 def _(s, d):
     a = adj(s, d)
-    return L.pair_similarity(a, R.two_hop_pairs(a).select("a", "b").distinct().filter("a like 's%' and b like 's%'"))
+    return L.pair_similarity(a, R.two_hop_pairs(a).select("a", "b").distinct())
 
 
 _SIM = ", sm AS (SELECT pr.a, pr.b, cn::DOUBLE / (p.d + q.d - cn) AS j FROM pr JOIN dg p ON p.id = pr.a JOIN dg q ON q.id = pr.b)"
@@ -410,6 +414,12 @@ def _(s, d):
     return L.chi_square(G.read_table(s, d, "lineitem"), "l_returnflag", "l_linestatus")
 
 
+@query("l24_chi_square_test")
+def _(s, d):
+    n = G.read_table(s, d, "lineitem").select("l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("returned"))
+    return L.chi_square_test(n, ["l_linenumber"], "returned").select("feature", F.round("statistic", 4).alias("statistic"), F.round("pValue", 6).alias("p_value"), "significant")
+
+
 @query("l24_pearson", "SELECT round(corr(l_quantity, l_extendedprice), 4) AS r FROM lineitem")
 def _(s, d):
     return L.correlation(G.read_table(s, d, "lineitem"), "l_quantity", "l_extendedprice")

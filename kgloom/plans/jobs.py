@@ -10,8 +10,8 @@ from kgloom.operators import learning as M
 from kgloom.operators import mutate as D
 from kgloom.operators import relational as R
 from kgloom.operators import retrieve as Q
-from kgloom.plans.graphs import trading, undirected
-from kgloom.plans.relational import both, trade
+from kgloom.plans.graphs import undirected
+from kgloom.plans.relational import both, written
 from kgloom.plans.sql import over
 from kgloom.sources import files as S
 from kgloom.sources import graph as G
@@ -99,11 +99,12 @@ def _(s, d):
     return D.stage_file(base, f.filter("status = 'completed'").select("file_id", F.lit("{}").alias("payload"), F.lit("approved").alias("status"))).select("file_id", "status")
 
 
-@query("s14_set_file_status", "SELECT file_id, CASE status WHEN 'processing' THEN 'failed' WHEN 'pending_review' THEN 'processing' ELSE status END AS status, CASE WHEN status = 'processing' THEN created_at END AS processed_at FROM files")
+@query("s14_set_file_status", "SELECT file_id, CASE status WHEN 'processing' THEN 'failed' WHEN 'pending_review' THEN 'processing' ELSE status END AS status, CASE WHEN status <> 'completed' THEN CAST(length(file_id) AS BIGINT) END AS node_count, CASE WHEN status <> 'completed' THEN 0 END AS relationship_count, CASE WHEN status = 'processing' THEN 'no text' END AS error_message, CASE WHEN status = 'processing' THEN created_at END AS processed_at FROM files")
 def _(s, d):
     f = G.files_table(s, d)
-    u = f.filter("status <> 'completed'").select("file_id", F.when(F.col("status") == "processing", "failed").otherwise("processing").alias("new_status"), F.col("created_at").alias("at"))
-    return D.set_file_status(f, u).select("file_id", "status", "processed_at")
+    failed = F.col("status") == "processing"
+    u = f.filter("status <> 'completed'").select("file_id", F.when(failed, "failed").otherwise("processing").alias("new_status"), F.length("file_id").cast("long").alias("node_count"), F.when(failed, "no text").alias("error_message"), F.col("created_at").alias("at"))
+    return D.set_file_status(f, u).select("file_id", "status", "node_count", "relationship_count", "error_message", "processed_at")
 
 
 _LEFT = ", k AS (SELECT id, list_filter(file_ids, lambda f: f <> 'shared' AND f <> 'cust') AS f FROM nodes WHERE len(list_filter(file_ids, lambda f: f <> 'cust')) > 0), n1 AS (SELECT id, list_filter(file_ids, lambda f: f <> 'cust') AS f FROM nodes WHERE len(list_filter(file_ids, lambda f: f <> 'cust')) > 0)"
@@ -362,7 +363,7 @@ def _(s, d):
 @query("r8_similar_to_seeds")
 def _(s, d):
     n, e = both(s, d)
-    return Q.similar_to_seeds(trade(e), n.filter("type = 'Supplier'"))
+    return Q.similar_to_seeds(written(e), n.filter("type = 'Supplier'"))
 
 
 @query("r9_predictions_for", "SELECT id, strength FROM edges WHERE type = 'SUPPLIED_BY' AND src IN (SELECT id FROM nodes WHERE name = 'red ring') ORDER BY strength DESC, id LIMIT 5")
@@ -386,7 +387,10 @@ def _(s, d):
     return Q.citations(Q.hybrid_search(n, e, questions(s, d)), n)
 
 
-@query("r12_layout", ", k AS (SELECT type, row_number() OVER (ORDER BY type) - 1 AS t, count(*) OVER () AS k FROM (SELECT DISTINCT type FROM nodes)), h AS (SELECT id, t, k, ('0x' || substr(md5(id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, ('0x' || substr(md5(id || '#'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS v, ('0x' || substr(md5(folder_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS f FROM nodes JOIN k USING (type)) SELECT id, round(100 * cos(2 * pi() * t / k) + 100.0::DOUBLE / 3 * sqrt(u) * cos(2 * pi() * v), 3) AS x, round(100 * sin(2 * pi() * t / k) + 100.0::DOUBLE / 3 * sqrt(u) * sin(2 * pi() * v), 3) AS y, round(400 * (f - 0.5::DOUBLE), 3) AS z FROM h")
+@query("r12_layout", """, k AS (SELECT type, row_number() OVER (ORDER BY type) - 1 AS t, count(*) OVER () AS k FROM (SELECT DISTINCT type FROM nodes)),
+h AS (SELECT id, t, k, row_number() OVER (PARTITION BY type ORDER BY id) - 1 AS j, count(*) OVER (PARTITION BY type) AS n, ('0x' || substr(md5(name), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, ('0x' || substr(md5(folder_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS f FROM nodes JOIN k USING (type)),
+g AS (SELECT *, j::DOUBLE / n * 6 * pi() AS w, j::DOUBLE / n * least(100 * 0.3::DOUBLE, n * 10) + 20 * u AS r FROM h)
+SELECT id, round(50 * cos(2 * pi() * t / k) + r * cos(w), 3) + 0.0::DOUBLE AS x, round(50 * sin(2 * pi() * t / k) + r * sin(w), 3) + 0.0::DOUBLE AS y, round(400 * (f - 0.5::DOUBLE), 3) + 0.0::DOUBLE AS z FROM g""")
 def _(s, d):
     return Q.layout_positions(G.graph_nodes(s, d))
 
@@ -401,12 +405,12 @@ def _(s, d):
 
 @query("m2_node2vec")
 def _(s, d):
-    return M.node2vec(trading(s, d), dim=16, walk_length=8, walks=2, window=4)
+    return M.node2vec(undirected(s, d), dim=16, walk_length=8, walks=2, window=4)
 
 
 @query("m3_m4_link_prediction")
 def _(s, d):
-    g = trading(s, d)
+    g = undirected(s, d)
     v = M.staged(M.fastrp(g, 32))
     model, _ = M.train_link_prediction(g, v)
     return M.predict_links(model, v, g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))

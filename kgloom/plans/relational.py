@@ -60,10 +60,10 @@ def _(s, d):
     return _joined(G.file_graph(n, e, "geo")[1])
 
 
-@query("s4_graph_view", f", s AS (SELECT id FROM nodes ORDER BY id LIMIT 500) SELECT {_E} FROM edges WHERE src IN (FROM s) AND dst IN (FROM s) ORDER BY id LIMIT 1000")
+@query("s4_graph_view", f", s AS (SELECT id FROM nodes ORDER BY id LIMIT 2500) SELECT {_E} FROM edges WHERE src IN (FROM s) AND dst IN (FROM s) ORDER BY id LIMIT 5000")
 def _(s, d):
     n, e = both(s, d)
-    return _joined(G.graph_view(n, e, 500)[1])
+    return _joined(G.graph_view(n, e, 2500)[1])
 
 
 @query("s5_projection", "SELECT src, dst, max(w) AS weight FROM (SELECT src, dst, coalesce(strength, 1.0) AS w FROM edges UNION ALL SELECT dst, src, coalesce(strength, 1.0) FROM edges) WHERE src <> dst GROUP BY 1, 2")
@@ -104,16 +104,22 @@ def _(s, d):
     return G.graph_nodes(s, d).select("id", C.clean_label(F.replace("description", F.lit(" "), F.lit("_F_"))).alias("label"))
 
 
-@query("p6_effective_type", "SELECT id, CASE WHEN type = 'Part' THEN 'Herb' WHEN type = 'Supplier' THEN 'Entityy' WHEN type = 'Region' THEN 'Region' WHEN length(type) > 6 THEN type ELSE 'Entity' END AS kind FROM nodes")
+@query("p6_effective_type", """, l AS (SELECT id, type, CASE type WHEN 'Part' THEN ['Entity', 'SomethingLong', 'Quality', 'Property'] WHEN 'Supplier' THEN ['Entity', 'Shop_F_f1', 'Store_F_f1', 'F_x'] WHEN 'Nation' THEN ['Entity', 'F_f2', 'Chunk'] WHEN 'Customer' THEN ['Entity', 'Unknown'] ELSE ['Herb'] END AS labels FROM nodes)
+SELECT id, CASE type WHEN 'Part' THEN 'Property' WHEN 'Supplier' THEN 'Store' WHEN 'Nation' THEN split_part('F_f2', '_F_', 1) WHEN 'Customer' THEN 'Entity' ELSE 'Region' END AS kind FROM l""")
 def _(s, d):
-    labels = F.when(F.col("type") == "Part", F.array(F.lit("SomethingLong"), F.lit("Herb"))).when(F.col("type") == "Supplier", F.array(F.lit("Entity"), F.lit("Entityy"))).otherwise(F.array(F.lit("Entity"), "type"))
-    return G.graph_nodes(s, d).select("id", C.effective_type(labels, F.when(F.col("type") == "Region", F.col("type"))).alias("kind"))
+    some = {"Part": ["Entity", "SomethingLong", "Quality", "Property"], "Supplier": ["Entity", "Shop_F_f1", "Store_F_f1", "F_x"], "Nation": ["Entity", "F_f2", "Chunk"], "Customer": ["Entity", "Unknown"], "Region": ["Herb"]}
+    labels = F.coalesce(*(F.when(F.col("type") == k, F.array(*map(F.lit, v))) for k, v in some.items()))
+    return G.graph_nodes(s, d).select("id", C.effective_type(labels, F.when(F.col("type") == "Region", F.lit("Region_F_f9"))).alias("kind"))
 
 
-@query("p7_display_name", "SELECT id, CASE WHEN type = 'Part' THEN description WHEN coalesce(description, '') = '' AND type <> 'Customer' THEN type WHEN type = 'Customer' THEN description END AS shown FROM nodes")
+@query("p7_display_name", """, v AS (SELECT id, type, CASE WHEN type = 'Customer' THEN 'Entity' ELSE type END AS kind, unnest([sha256(name), repeat(name, 100), '', description, concat_ws('-', 'aaaaaaaa', 'bbbb', 'cccc', 'dddd', 'eeeeeeeeeeee')]) AS v, unnest([1, 2, 3, 4, 5]) AS k FROM nodes),
+o AS (SELECT id, min_by(v, k) AS v FROM v WHERE v <> '' AND length(v) < 100 AND NOT (length(v) > 30 AND (length(v) - length(replace(v, '-', '')) >= 4 OR regexp_full_match(v, '[A-Za-z0-9]+'))) AND NOT (k = 4 AND type = 'Customer') GROUP BY 1)
+SELECT n.id, coalesce(o.v, CASE WHEN n.type <> 'Customer' THEN n.type END, n.id) AS shown FROM nodes n LEFT JOIN o USING (id)""")
 def _(s, d):
     n = G.graph_nodes(s, d)
-    return n.select("id", C.display_name([F.sha2("name", 256), F.repeat("name", 100), F.lit(""), F.col("description")], F.col("type"), F.col("id")).alias("shown"))
+    customer = F.col("type") == "Customer"
+    values = [F.sha2("name", 256), F.repeat("name", 100), F.lit(""), F.when(~customer, F.col("description")), F.lit("aaaaaaaa-bbbb-cccc-dddd-eeeeeeeeeeee")]
+    return n.select("id", C.display_name(values, F.when(customer, "Entity").otherwise(F.col("type")), F.col("id")).alias("shown"))
 
 
 @query("p8_extra_properties", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -195,22 +201,22 @@ def _(s, d):
     return R.hydrate_edges(e, n.filter("type <> 'Supplier'"))
 
 
-_SUB = ", sub AS (SELECT src AS a, dst AS b FROM edges WHERE type <> 'LOCATED_IN' UNION SELECT dst, src FROM edges WHERE type <> 'LOCATED_IN')"
+_SUB = ", sub AS MATERIALIZED (SELECT a, b FROM adj)"
 
 
-def trade(edges: DataFrame) -> DataFrame:
-    """The graph without the nations' hubs; written once, since pair measures read it several times."""
-    return staged(G.adjacency(edges.filter("type <> 'LOCATED_IN'")))
+def written(edges: DataFrame) -> DataFrame:
+    """The adjacency, written once, since pair measures read it several times."""
+    return staged(G.adjacency(edges))
 
 
 @query("j5_two_hop_pairs", _SUB + " SELECT x.a, y.b, count(*) AS n FROM sub x JOIN sub y ON x.b = y.a WHERE x.a < y.b GROUP BY 1, 2")
 def _(s, d):
-    return R.two_hop_pairs(trade(G.graph_edges(s, d))).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return R.two_hop_pairs(written(G.graph_edges(s, d))).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @query("j6_exclude_linked", _SUB + " SELECT DISTINCT x.a, y.b FROM sub x JOIN sub y ON x.b = y.a WHERE x.a < y.b AND NOT EXISTS (SELECT 1 FROM sub z WHERE z.a = x.a AND z.b = y.b)")
 def _(s, d):
-    a = trade(G.graph_edges(s, d))
+    a = written(G.graph_edges(s, d))
     return R.exclude_linked(R.two_hop_pairs(a).select("a", "b").distinct(), a)
 
 
@@ -219,8 +225,7 @@ def _(s, d):
     return R.typed_pairs(G.graph_nodes(s, d).filter("type in ('Nation', 'Supplier')"))
 
 
-@query("j8_cross_folder_bridges", """, p AS (SELECT name, folder_id, min(id) AS id FROM nodes GROUP BY 1, 2), q AS (SELECT name, folder_id AS folder_a, lead(folder_id) OVER w AS folder_b, id AS id_a, lead(id) OVER w AS id_b, count(*) OVER (PARTITION BY name) AS folders FROM p WINDOW w AS (PARTITION BY name ORDER BY folder_id))
-SELECT * FROM q WHERE folder_b IS NOT NULL""")
+@query("j8_cross_folder_bridges", ", p AS (SELECT name, folder_id, min(id) AS id FROM nodes GROUP BY 1, 2) SELECT x.name, x.folder_id AS folder_a, y.folder_id AS folder_b, x.id AS id_a, y.id AS id_b FROM p x JOIN p y ON x.name = y.name AND x.folder_id < y.folder_id")
 def _(s, d):
     return R.cross_folder_bridges(G.graph_nodes(s, d))
 
@@ -582,11 +587,27 @@ def _(s, d):
     return G.read_table(s, d, "orders").select("o_orderkey", C.grade(v).alias("grade"), C.health_status(v / 100).alias("status"))
 
 
-@query("f13_predicted_type", "SELECT e.id, CASE WHEN x.type = 'Customer' AND y.type = 'Part' THEN 'MAY_BUY' WHEN x.type = 'Part' AND y.type = 'Supplier' THEN 'MAY_BE_SUPPLIED_BY' WHEN x.type = 'Customer' AND y.type = 'Nation' THEN 'MAY_BE_LOCATED_IN' WHEN x.type = 'Supplier' AND y.type = 'Nation' THEN 'MAY_HOST' ELSE 'RELATED_TO' END AS predicted FROM edges e JOIN nodes x ON src = x.id JOIN nodes y ON dst = y.id")
+_KINDS = {"Customer": "Person", "Supplier": "Organization", "Nation": "Place", "Region": "Event", "Part": "Concept"}
+
+
+@query("f13_predicted_type", """, t AS (SELECT id, CASE type WHEN 'Customer' THEN 'Person' WHEN 'Supplier' THEN 'Organization' WHEN 'Nation' THEN 'Place' WHEN 'Region' THEN 'Event' ELSE 'Concept' END AS k FROM nodes),
+e2 AS (SELECT id, src, dst FROM edges UNION ALL SELECT o_orderkey::VARCHAR, 'c' || o_custkey, 'c' || o_custkey FROM orders UNION ALL SELECT 'p' || l_orderkey || '-' || l_linenumber, 'p' || l_partkey, 'p' || l_partkey FROM lineitem)
+SELECT e2.id, CASE WHEN x.k = 'Person' AND y.k = 'Person' THEN 'KNOWS' WHEN x.k = 'Person' AND y.k = 'Organization' OR x.k = 'Organization' AND y.k = 'Person' THEN 'WORKS_FOR' WHEN x.k = 'Person' AND y.k = 'Place' THEN 'LIVES_IN' WHEN x.k = 'Organization' AND y.k = 'Place' THEN 'LOCATED_IN' WHEN x.k = 'Place' AND y.k = 'Event' THEN 'OCCURRED_AT' ELSE 'RELATED_TO' END AS predicted FROM e2 JOIN t x ON src = x.id JOIN t y ON dst = y.id""")
+def _(s, d):
+    n, e = both(s, d)
+    kinds = n.select("id", F.element_at(F.create_map(*(F.lit(x) for kv in _KINDS.items() for x in kv)), F.col("type")).alias("kind"))
+    same = lambda t, id_, end: G.read_table(s, d, t).select(id_.alias("id"), end.alias("src"), end.alias("dst"))
+    e = e.select("id", "src", "dst").union(same("orders", F.col("o_orderkey").cast("string"), F.concat(F.lit("c"), "o_custkey"))).union(same("lineitem", F.concat(F.lit("p"), "l_orderkey", F.lit("-"), "l_linenumber"), F.concat(F.lit("p"), "l_partkey")))
+    j = e.join(kinds.select(F.col("id").alias("src"), F.col("kind").alias("x")), "src").join(kinds.select(F.col("id").alias("dst"), F.col("kind").alias("y")), "dst")
+    return j.select("id", C.predicted_type(F.col("x"), F.col("y")).alias("predicted"))
+
+
+@query("f13_predicted_own_pairs", "SELECT e.id, CASE WHEN x.type = 'Customer' AND y.type = 'Part' THEN 'MAY_BUY' WHEN x.type = 'Part' AND y.type = 'Supplier' THEN 'MAY_BE_SUPPLIED_BY' ELSE 'RELATED_TO' END AS predicted FROM edges e JOIN nodes x ON src = x.id JOIN nodes y ON dst = y.id")
 def _(s, d):
     n, e = both(s, d)
-    t = n.select("id", F.col("type"))
-    return e.select("id", "src", "dst").join(t.select(F.col("id").alias("src"), F.col("type").alias("x")), "src").join(t.select(F.col("id").alias("dst"), F.col("type").alias("y")), "dst").select("id", C.predicted_type(F.col("x"), F.col("y")).alias("predicted"))
+    t = n.select("id", "type")
+    j = e.select("id", "src", "dst").join(t.select(F.col("id").alias("src"), F.col("type").alias("x")), "src").join(t.select(F.col("id").alias("dst"), F.col("type").alias("y")), "dst")
+    return j.select("id", C.predicted_type(F.col("x"), F.col("y"), {("Customer", "Part"): "MAY_BUY", ("Supplier", "Part"): "MAY_BE_SUPPLIED_BY"}).alias("predicted"))
 
 
 @query("f14_array_edits", "SELECT id, CAST(len(CASE WHEN list_contains(file_ids, 'shared') THEN file_ids ELSE list_append(file_ids, 'shared') END) AS INTEGER) AS added, array_to_string(list_filter(file_ids, lambda f: f <> 'shared'), ',') AS dropped FROM nodes")

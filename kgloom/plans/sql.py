@@ -15,7 +15,8 @@ edges AS (
   UNION ALL SELECT 'c' || c_custkey || '-n' || c_nationkey, 'c' || c_custkey, 'n' || c_nationkey, 'LOCATED_IN', NULL, ['cust'] FROM customer
   UNION ALL SELECT 's' || s_suppkey || '-n' || s_nationkey, 's' || s_suppkey, 'n' || s_nationkey, 'LOCATED_IN', NULL, ['supp'] FROM supplier
   UNION ALL SELECT 'p' || l_partkey || '-s' || l_suppkey, 'p' || l_partkey, 's' || l_suppkey, 'SUPPLIED_BY', CAST(w AS DOUBLE), ['part'] FROM ps WHERE n = 1
-  UNION ALL SELECT 'c' || o_custkey || '-p' || l_partkey, 'c' || o_custkey, 'p' || l_partkey, 'BOUGHT', CAST(w AS DOUBLE), ['cust'] FROM cp WHERE n = 1),
+  UNION ALL SELECT 'c' || o_custkey || '-p' || l_partkey, 'c' || o_custkey, 'p' || l_partkey, 'BOUGHT', CAST(w AS DOUBLE), ['cust'] FROM cp WHERE n = 1
+  UNION ALL SELECT 'c' || o_custkey || '-s' || l_suppkey, 'c' || o_custkey, 's' || l_suppkey, 'SERVED_BY', CAST(1 AS DOUBLE), ['cust'] FROM cp JOIN ps USING (l_partkey) WHERE cp.n = 1 AND ps.n = 1),
 adj AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
 deg AS (SELECT a AS id, count(*) AS d FROM adj GROUP BY a),
 inc AS (SELECT id, sum(d) AS d FROM (SELECT src AS id, count(*) AS d FROM edges GROUP BY 1 UNION ALL SELECT dst, count(*) FROM edges GROUP BY 1) GROUP BY 1),
