@@ -252,7 +252,7 @@ def _(s, d):
 
 # --- links -------------------------------------------------------------------------------------------------------------
 
-_PAIRS = _ALL + """, dg AS (SELECT a AS id, count(*) AS d FROM tr GROUP BY 1),
+PAIRS = _ALL + """, dg AS (SELECT a AS id, count(*) AS d FROM tr GROUP BY 1),
 pr AS MATERIALIZED (SELECT x.a, y.b, count(*) AS cn, sum(CASE WHEN v.d > 1 THEN 1 / ln(v.d) ELSE 0 END) AS aa, sum(1.0::DOUBLE / v.d) AS ra FROM tr x JOIN tr y ON x.b = y.a JOIN dg v ON v.id = x.b WHERE x.a < y.b GROUP BY 1, 2),
 pu AS (SELECT pr.*, p.d AS da, q.d AS db FROM pr JOIN dg p ON p.id = pr.a JOIN dg q ON q.id = pr.b WHERE NOT EXISTS (SELECT 1 FROM tr z WHERE z.a = pr.a AND z.b = pr.b)),
 ap AS (SELECT p.id AS a, q.id AS b, p.d AS da, q.d AS db FROM dg p JOIN dg q ON p.id < q.id WHERE NOT EXISTS (SELECT 1 FROM tr z WHERE z.a = p.id AND z.b = q.id))"""
@@ -262,12 +262,12 @@ def adj(s, d):
     return written(G.graph_edges(s, d))
 
 
-@query("l1_common_neighbors", _PAIRS + " SELECT a, b, cn AS score FROM pu ORDER BY cn DESC, a, b LIMIT 20")
+@query("l1_common_neighbors", PAIRS + " SELECT a, b, cn AS score FROM pu ORDER BY cn DESC, a, b LIMIT 20")
 def _(s, d):
     return L.lp_common_neighbors(adj(s, d))
 
 
-@query("l2_adamic_adar", _PAIRS + " SELECT a, b, x.name AS name_a, y.name AS name_b, x.type AS type_a, y.type AS type_b, round(aa, 3) AS score FROM pu JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b ORDER BY round(aa, 3) DESC, a, b LIMIT 20")
+@query("l2_adamic_adar", PAIRS + " SELECT a, b, x.name AS name_a, y.name AS name_b, x.type AS type_a, y.type AS type_b, round(aa, 3) AS score FROM pu JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b ORDER BY round(aa, 3) DESC, a, b LIMIT 20")
 def _(s, d):
     n, e = both(s, d)
     top = L.lp_adamic_adar(written(e))
@@ -275,17 +275,17 @@ def _(s, d):
     return top.join(name("a"), "a").join(name("b"), "b")
 
 
-@query("l3_resource_allocation", _PAIRS + " SELECT a, b, round(ra, 3) AS score FROM pu ORDER BY 3 DESC, a, b LIMIT 20")
+@query("l3_resource_allocation", PAIRS + " SELECT a, b, round(ra, 3) AS score FROM pu ORDER BY 3 DESC, a, b LIMIT 20")
 def _(s, d):
     return L.lp_resource_allocation(adj(s, d))
 
 
-@query("l4_preferential_attachment", _PAIRS + " SELECT a, b, da * db AS score FROM ap ORDER BY 3 DESC, a, b LIMIT 20")
+@query("l4_preferential_attachment", PAIRS + " SELECT a, b, da * db AS score FROM ap ORDER BY 3 DESC, a, b LIMIT 20")
 def _(s, d):
     return L.lp_preferential_attachment(adj(s, d))
 
 
-@query("l5_total_neighbors", _PAIRS + " SELECT ap.a, ap.b, ap.da + ap.db - coalesce(cn, 0) AS score FROM ap LEFT JOIN pr ON ap.a = pr.a AND ap.b = pr.b ORDER BY 3 DESC, 1, 2 LIMIT 20")
+@query("l5_total_neighbors", PAIRS + " SELECT ap.a, ap.b, ap.da + ap.db - coalesce(cn, 0) AS score FROM ap LEFT JOIN pr ON ap.a = pr.a AND ap.b = pr.b ORDER BY 3 DESC, 1, 2 LIMIT 20")
 def _(s, d):
     return L.lp_total_neighbors(adj(s, d))
 
@@ -296,39 +296,39 @@ def _(s, d):
     return L.lp_same_type(n, written(e))
 
 
-@query("l7_score_pair", _PAIRS + """, q AS (SELECT src AS a, dst AS b FROM edges WHERE type = 'BOUGHT') SELECT q.a, q.b, coalesce(cn, 0) AS common_neighbors, round(coalesce(aa, 0), 3) AS adamic_adar, round(coalesce(ra, 0), 3) AS resource_allocation, p.d * w.d AS preferential_attachment, p.d + w.d - coalesce(cn, 0) AS total_neighbors, true AS already_connected FROM q LEFT JOIN pr ON pr.a = q.a AND pr.b = q.b JOIN dg p ON p.id = q.a JOIN dg w ON w.id = q.b""")
+@query("l7_score_pair", PAIRS + """, q AS (SELECT src AS a, dst AS b FROM edges WHERE type = 'BOUGHT') SELECT q.a, q.b, coalesce(cn, 0) AS common_neighbors, round(coalesce(aa, 0), 3) AS adamic_adar, round(coalesce(ra, 0), 3) AS resource_allocation, p.d * w.d AS preferential_attachment, p.d + w.d - coalesce(cn, 0) AS total_neighbors, true AS already_connected FROM q LEFT JOIN pr ON pr.a = q.a AND pr.b = q.b JOIN dg p ON p.id = q.a JOIN dg w ON w.id = q.b""")
 def _(s, d):
     e = G.graph_edges(s, d)
     return L.score_pair(written(e), e.filter("type = 'BOUGHT'").select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-@query("l8_ghost_lines", _PAIRS + " SELECT a, b, least(round(aa, 3), 1.0) AS probability FROM pu WHERE round(aa, 3) >= 0.5")
+@query("l8_ghost_lines", PAIRS + " SELECT a, b, least(round(aa, 3), 1.0) AS probability FROM pu WHERE round(aa, 3) >= 0.5")
 def _(s, d):
     return L.ghost_lines(adj(s, d))
 
 
-@query("l9_between_types", _PAIRS + ", o AS (SELECT CASE WHEN x.type = 'Customer' THEN a ELSE b END AS a, CASE WHEN x.type = 'Customer' THEN b ELSE a END AS b, round(aa, 3) AS score FROM pu JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b WHERE (x.type = 'Customer' AND y.type = 'Supplier') OR (x.type = 'Supplier' AND y.type = 'Customer')) SELECT * FROM o ORDER BY score DESC, a, b LIMIT 20")
+@query("l9_between_types", PAIRS + ", o AS (SELECT CASE WHEN x.type = 'Customer' THEN a ELSE b END AS a, CASE WHEN x.type = 'Customer' THEN b ELSE a END AS b, round(aa, 3) AS score FROM pu JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b WHERE (x.type = 'Customer' AND y.type = 'Supplier') OR (x.type = 'Supplier' AND y.type = 'Customer')) SELECT * FROM o ORDER BY score DESC, a, b LIMIT 20")
 def _(s, d):
     n, e = both(s, d)
     return L.lp_between_types(n, written(e), "Customer", "Supplier")
 
 
-@query("l10_bs_common_neighbors", _PAIRS + " SELECT a, b, least(cn / 10.0::DOUBLE, 1.0) AS confidence FROM pu WHERE cn > 1")
+@query("l10_bs_common_neighbors", PAIRS + " SELECT a, b, least(cn / 10.0::DOUBLE, 1.0) AS confidence FROM pu WHERE cn > 1")
 def _(s, d):
     return L.bs_common_neighbors(adj(s, d))
 
 
-@query("l11_bs_adamic_adar", _PAIRS + " SELECT a, b, round(least(aa / 5, 1.0), 3) AS confidence FROM pu WHERE round(aa, 3) > 0.5")
+@query("l11_bs_adamic_adar", PAIRS + " SELECT a, b, round(least(aa / 5, 1.0), 3) AS confidence FROM pu WHERE round(aa, 3) > 0.5")
 def _(s, d):
     return L.bs_adamic_adar(adj(s, d))
 
 
-@query("l12_bs_preferential", _PAIRS + " SELECT a, b, least(da * db / 100.0::DOUBLE, 1.0) AS confidence FROM (SELECT * FROM ap WHERE da > 2 AND db > 2 AND da * db > 10 ORDER BY da * db DESC, a, b LIMIT 50)")
+@query("l12_bs_preferential", PAIRS + " SELECT a, b, least(da * db / 100.0::DOUBLE, 1.0) AS confidence FROM (SELECT * FROM ap WHERE da > 2 AND db > 2 AND da * db > 10 ORDER BY da * db DESC, a, b LIMIT 50)")
 def _(s, d):
     return L.bs_preferential(adj(s, d))
 
 
-@query("l13_bs_jaccard", _PAIRS + " SELECT a, b, round(cn::DOUBLE / (da + db - cn), 3) AS confidence FROM pu WHERE cn > 1 AND round(cn::DOUBLE / (da + db - cn), 3) > 0.1")
+@query("l13_bs_jaccard", PAIRS + " SELECT a, b, round(cn::DOUBLE / (da + db - cn), 3) AS confidence FROM pu WHERE cn > 1 AND round(cn::DOUBLE / (da + db - cn), 3) > 0.1")
 def _(s, d):
     return L.bs_jaccard(adj(s, d))
 
@@ -345,26 +345,26 @@ def _(s, d):
     return R.by_category(L.discover(n, written(e)))
 
 
-@query("l15_pair_similarity", _PAIRS + ", s AS (SELECT pr.a, pr.b, cn::DOUBLE / (p.d + q.d - cn) AS j, cn::DOUBLE / least(p.d, q.d) AS o FROM pr JOIN dg p ON p.id = pr.a JOIN dg q ON q.id = pr.b) SELECT a, b, round(j, 4) AS jaccard, round(o, 4) AS overlap, CAST(NULL AS DOUBLE) AS cosine, round((j + o) / 2, 4) AS combined FROM s")
+@query("l15_pair_similarity", PAIRS + ", s AS (SELECT pr.a, pr.b, cn::DOUBLE / (p.d + q.d - cn) AS j, cn::DOUBLE / least(p.d, q.d) AS o FROM pr JOIN dg p ON p.id = pr.a JOIN dg q ON q.id = pr.b) SELECT a, b, round(j, 4) AS jaccard, round(o, 4) AS overlap, CAST(NULL AS DOUBLE) AS cosine, round((j + o) / 2, 4) AS combined FROM s")
 def _(s, d):
     a = adj(s, d)
     return L.pair_similarity(a, R.two_hop_pairs(a).select("a", "b").distinct())
 
 
-_SIM = ", sm AS (SELECT pr.a, pr.b, cn::DOUBLE / (p.d + q.d - cn) AS j FROM pr JOIN dg p ON p.id = pr.a JOIN dg q ON q.id = pr.b)"
+SIMILAR = ", sm AS (SELECT pr.a, pr.b, cn::DOUBLE / (p.d + q.d - cn) AS j FROM pr JOIN dg p ON p.id = pr.a JOIN dg q ON q.id = pr.b)"
 
 
-@query("l16_node_similarity", _PAIRS + _SIM + ", t AS (SELECT a, b, j FROM sm WHERE j >= 0.1 UNION ALL SELECT b, a, j FROM sm WHERE j >= 0.1), r AS (SELECT a, b, round(j, 4) AS similarity, row_number() OVER (PARTITION BY a ORDER BY j DESC, b) AS rank FROM t) SELECT * FROM r WHERE rank <= 10")
+@query("l16_node_similarity", PAIRS + SIMILAR + ", t AS (SELECT a, b, j FROM sm WHERE j >= 0.1 UNION ALL SELECT b, a, j FROM sm WHERE j >= 0.1), r AS (SELECT a, b, round(j, 4) AS similarity, row_number() OVER (PARTITION BY a ORDER BY j DESC, b) AS rank FROM t) SELECT * FROM r WHERE rank <= 10")
 def _(s, d):
     return L.node_similarity(adj(s, d))
 
 
-@query("l17_find_similar", _PAIRS + _SIM + ", t AS (SELECT CASE WHEN a = 's5' THEN b ELSE a END AS id, round(j, 4) AS similarity FROM sm WHERE a = 's5' OR b = 's5') SELECT * FROM t ORDER BY similarity DESC, id LIMIT 10")
+@query("l17_find_similar", PAIRS + SIMILAR + ", t AS (SELECT CASE WHEN a = 's5' THEN b ELSE a END AS id, round(j, 4) AS similarity FROM sm WHERE a = 's5' OR b = 's5') SELECT * FROM t ORDER BY similarity DESC, id LIMIT 10")
 def _(s, d):
     return L.find_similar(adj(s, d), "s5")
 
 
-@query("l18_similar_pairs", _PAIRS + _SIM + " SELECT a, b, round(j, 4) AS similarity FROM sm WHERE j >= 0.5 ORDER BY round(j, 4) DESC, a, b LIMIT 100")
+@query("l18_similar_pairs", PAIRS + SIMILAR + " SELECT a, b, round(j, 4) AS similarity FROM sm WHERE j >= 0.5 ORDER BY round(j, 4) DESC, a, b LIMIT 100")
 def _(s, d):
     return L.similar_pairs(adj(s, d))
 

@@ -10,7 +10,7 @@ from kgloom.operators import learning as M
 from kgloom.operators import mutate as D
 from kgloom.operators import relational as R
 from kgloom.operators import retrieve as Q
-from kgloom.plans.graphs import undirected
+from kgloom.plans.graphs import PAIRS, SIMILAR, undirected
 from kgloom.plans.relational import both, written
 from kgloom.plans.sql import over
 from kgloom.sources import files as S
@@ -360,10 +360,12 @@ def _(s, d):
     return Q.neighbor_triples(n, e, n.filter("type = 'Supplier'"))
 
 
-@query("r8_similar_to_seeds")
+@query("r8_similar_to_seeds", PAIRS + SIMILAR + """, t AS (SELECT a, b, j FROM sm WHERE j >= 0.3 UNION ALL SELECT b, a, j FROM sm WHERE j >= 0.3), r AS (SELECT a, b, round(j, 4) AS similarity, row_number() OVER (PARTITION BY a ORDER BY j DESC, b) AS rank FROM t),
+seeds AS (SELECT id FROM nodes WHERE description = 'AUTOMOBILE')
+SELECT b AS id, max(similarity) AS similarity FROM r WHERE rank <= 3 AND a IN (FROM seeds) AND b NOT IN (FROM seeds) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
 def _(s, d):
     n, e = both(s, d)
-    return Q.similar_to_seeds(written(e), n.filter("type = 'Supplier'"))
+    return Q.similar_to_seeds(written(e), n.filter("description = 'AUTOMOBILE'"))
 
 
 @query("r9_predictions_for", "SELECT id, strength FROM edges WHERE type = 'SUPPLIED_BY' AND src IN (SELECT id FROM nodes WHERE name = 'red ring') ORDER BY strength DESC, id LIMIT 5")

@@ -288,13 +288,13 @@ def _(s, d):
     return out.select("item_id", F.when(F.col("content").isNotNull(), F.col("chunk_id")).alias("chunk_id"), F.substring("content", 1, 20).alias("start"))
 
 
-@query("j16_link_relationships", """, e AS (SELECT lower(name) AS k, max(id) AS i FROM nodes WHERE type IN ('Part', 'Nation') GROUP BY 1)
+@query("j16_link_relationships", """, e AS (SELECT lower(name) AS k, max(id) AS i FROM nodes WHERE type IN ('Customer', 'Supplier', 'Nation') GROUP BY 1)
 SELECT x.id, a.i AS source_id, b.i AS target_id FROM edges x JOIN nodes s ON s.id = src JOIN nodes t ON t.id = dst JOIN e a ON a.k = lower(s.name) JOIN e b ON b.k = lower(t.name)""")
 def _(s, d):
     n, e = both(s, d)
     names = n.select("id", "name")
     rels = e.join(names.select(F.col("id").alias("src"), F.col("name").alias("source")), "src").join(names.select(F.col("id").alias("dst"), F.col("name").alias("target")), "dst").select("id", "source", "target")
-    return R.link_relationships(rels, n.filter("type in ('Part', 'Nation')").withColumn("seq", F.lit(0))).select("id", "source_id", "target_id")
+    return R.link_relationships(rels, n.filter("type in ('Customer', 'Supplier', 'Nation')").withColumn("seq", F.lit(0))).select("id", "source_id", "target_id")
 
 
 def by_folder(nodes: DataFrame) -> DataFrame:
