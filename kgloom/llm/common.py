@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -21,22 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder that the driver and all executors see.
-
-    It lies under spark.checkpoint.dir; where that is unset (local tests), a temporary folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='kgloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A fresh folder that the driver and all executors see: under spark.checkpoint.dir, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/kgloom-{uuid.uuid4().hex}"
 
 
+def _until_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = scratch(spark)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    _until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,9 @@ from kgloom.llm.common import BLANKS, plain, staged, table
 _LEAST = -9223372036854775808
 _KEY = np.dtype([("place", "<u8"), ("mark", "<u8")])
 _PACKETS = "batch long, shard int, keys binary, n_docs binary, max_doc binary"
-_INDEX = "shard int, hash binary, marks binary, counts binary, max_doc binary"
+_INDEX = "shard int, hash binary, marks binary, counts binary, max_doc binary, rest binary, rest_max_doc binary"
+#: A shard is dealt so many keys at most, going by the characters of all texts.
+_SHARD_KEYS = 1 << 20
 
 
 def _key(line: str, least: int) -> bytes | None:
@@ -72,13 +74,14 @@ def _indexing(min_docs: int) -> Callable[[pa.Table], pa.Table]:
         top = np.full(len(keys), _LEAST, np.int64)
         np.maximum.at(top, inverse, np.frombuffer(columns["max_doc"], np.int64))
         enough = count >= min_docs
-        # Two keys of one placing half (2^-64 each pair) can't both rest in the hash; the first keeps the slot.
+        # Two keys of one placing half (2^-64 each pair) can't both rest in the hash; all but the first are kept in a sorted list.
         places, first = np.unique(keys["place"][enough], return_index=True)
+        rest = np.setdiff1d(np.arange(int(enough.sum())), first)
         packed, index = perfect_hash.build(places)
         arrays = [np.zeros(len(places), t) for t in (np.uint64, np.int64, np.int64)]
         for array, values in zip(arrays, (keys["mark"], count, top), strict=True):
             array[index] = values[enough][first]
-        return pa.table({"shard": packets.column("shard")[:1].cast(pa.int32()), "hash": [packed], "marks": [arrays[0].tobytes()], "counts": [arrays[1].tobytes()], "max_doc": [arrays[2].tobytes()]})
+        return pa.table({"shard": packets.column("shard")[:1].cast(pa.int32()), "hash": [packed], "marks": [arrays[0].tobytes()], "counts": [arrays[1].tobytes()], "max_doc": [arrays[2].tobytes()], "rest": [keys[enough][rest].tobytes()], "rest_max_doc": [top[enough][rest].tobytes()]})
 
     return run
 
@@ -88,6 +91,7 @@ def _probe(packets: pa.Table, index: pa.Table) -> pa.Table:
     if packets.num_rows and index.num_rows:
         packed, marks, top = (index.column(c)[0].as_py() for c in ("hash", "marks", "max_doc"))
         marks, top = np.frombuffer(marks, np.uint64), np.frombuffer(top, np.int64)
+        rest, rest_top = np.frombuffer(index.column("rest")[0].as_py(), _KEY), np.frombuffer(index.column("rest_max_doc")[0].as_py(), np.int64)
         for batch, raw in zip(packets.column("batch").to_pylist(), packets.column("keys").to_pylist(), strict=True):
             keys = np.frombuffer(raw, _KEY)
             at = perfect_hash.lookup(packed, keys["place"])
@@ -95,6 +99,10 @@ def _probe(packets: pa.Table, index: pa.Table) -> pa.Table:
             hit = hit[marks[at[hit]] == keys["mark"][hit]]
             if len(hit):
                 batches.append(batch), found.append(keys[hit].tobytes()), tops.append(top[at[hit]].tobytes())
+            if len(rest):
+                at = np.minimum(np.searchsorted(rest, keys), len(rest) - 1)
+                hit = np.flatnonzero(rest[at] == keys)
+                batches.append(batch), found.append(keys[hit].tobytes()), tops.append(rest_top[at[hit]].tobytes())
     return pa.table({"batch": pa.array(batches, pa.int64()), "keys": pa.array(found, pa.binary()), "max_doc": pa.array(tops, pa.binary())})
 
 
@@ -138,8 +146,12 @@ def _dropping(least: int, text_col: str) -> Callable[[Iterator[pa.RecordBatch]],
 
 def line_index(df: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, shards: int | None) -> tuple[DataFrame, DataFrame]:
     """The staged packets and the staged index: one row of arrays for each shard."""
-    shards = shards or max(32, df.count() >> 17)
-    rows = plain(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)))
+    rows = plain(df, doc_id=id_col, text=text_col)
+    if not shards:
+        # A key has min_chars characters at least.
+        keys = (rows.agg(F.sum(F.char_length("text"))).first()[0] or 0) // max(1, min_chars)
+        shards = max(32, keys // _SHARD_KEYS)
+    rows = rows.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)))
     packets = staged(rows.mapInArrow(_digesting(shards, min_chars), _PACKETS))
     index = staged(packets.filter("shard >= 0").groupBy("shard").applyInArrow(_indexing(min_docs), _INDEX))
     return packets, index

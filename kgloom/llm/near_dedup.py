@@ -268,10 +268,7 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, ids: DataFrame, width: int, bits: int) -> DataFrame:
-    """(id, set) of at least the rows ``ids``.
-
-    48 bits of each hash: two different shingles of one pair are taken for equal once in about 10^8 pairs of texts.
-    """
+    """(id, set) of at least the rows ``ids``: the whole hashes, eight bytes for each shingle."""
     kept = rows.sparkSession.sparkContext.broadcast(_bitmap(ids, bits))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +276,7 @@ def _sets(rows: DataFrame, ids: DataFrame, width: int, bits: int) -> DataFrame:
             h = b.column("h").to_numpy()
             asked = b.filter(pa.array((kept.value[h >> 5] >> (h & 31).astype(np.uint32) & 1).astype(bool)))
             for at, texts in _groups(asked.column("text")):
-                got = [s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in shingle_sets(texts, width)]
+                got = [s.tobytes() for s in shingle_sets(texts, width)]
                 yield pa.RecordBatch.from_arrays([asked.column("doc_id").slice(at, len(texts)), pa.array(got, pa.binary())], ["id", "set"])
 
     return rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(bits))).mapInArrow(sets, "id long, set binary")
@@ -415,9 +412,7 @@ def _all_pairs(rows: DataFrame, classes: DataFrame, roots: DataFrame, regions: D
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
+    return np.frombuffer(raw, np.uint64)
 
 
 def near_dedup(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", bits: int = _BITMAP) -> DataFrame:

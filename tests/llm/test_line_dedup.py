@@ -1,7 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from kgloom.llm import line_dedup as ld
 from kgloom.llm import perfect_hash
 from kgloom.llm.common import BLANKS
 from kgloom.llm.line_dedup import line_dedup
@@ -49,3 +52,24 @@ def test_rows(spark):
     assert set(out.columns) == {"doc_id", "text", "shard", "n_lines", "n_dropped"}
     assert sorted(str((r.doc_id, r.text, r.n_lines, r.n_dropped)) for r in out.collect()) == brute(rows)
     assert line_dedup(df.limit(0)).count() == 0
+
+
+def test_keys_of_one_placing_half():
+    """Keys that differ in the other half only are all found, each with its own greatest id."""
+    keys = np.array([(7, 1), (7, 2), (7, 3), (9, 1)], ld._KEY)
+    n, top = np.array([5, 6, 4, 5], np.uint32), np.array([11, 12, 13, 14], np.int64)
+    packets = pa.table({"batch": pa.array([1], pa.int64()), "shard": pa.array([0], pa.int32()), "keys": [keys.tobytes()], "n_docs": [n.tobytes()], "max_doc": [top.tobytes()]})
+    index = ld._indexing(5)(packets)
+    hits = ld._probe(packets.select(["shard", "batch", "keys"]), index)
+    found = np.frombuffer(b"".join(hits.column("keys").to_pylist()), ld._KEY)
+    tops = np.frombuffer(b"".join(hits.column("max_doc").to_pylist()), np.int64)
+    assert sorted(zip(found.tolist(), tops.tolist(), strict=True)) == [((7, 1), 11), ((7, 2), 12), ((9, 1), 14)]
+
+
+def test_hot_line_over_many_batches(spark):
+    """A line in a third of 30,000 rows, dealt over many batches and shards, stays in the last row alone."""
+    hot = "this very line stands in a third of all the documents there are"
+    df = spark.range(0, 30000, 1, 16).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit(f"own line {hot[:5]} "), F.col("id"), F.lit(f"\n  {hot.upper()} \nend"))).otherwise(F.lit("short")).alias("text"))
+    out = ld.line_dedup(df, shards=64)
+    assert out.agg(F.sum("n_dropped"), F.count("*")).first() == (9999, 30000)
+    assert [r.doc_id for r in out.filter(F.lower("text").contains(hot)).collect()] == [29997]
