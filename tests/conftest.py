@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -12,7 +13,7 @@ def spark():
 
     s = (
         SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").config("spark.driver.host", "127.0.0.1").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").config("spark.driver.host", "127.0.0.1").config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='tests-')}").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
