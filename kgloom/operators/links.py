@@ -5,6 +5,8 @@ from __future__ import annotations
 import operator
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import ChiSquareTest
@@ -204,17 +206,48 @@ def similar_pairs(adj: DataFrame, cutoff: float = 0.5, k: int = 100) -> DataFram
     return _top(_jaccard_pairs(adj).filter(F.col("similarity") >= cutoff).select("a", "b", F.round("similarity", 4).alias("similarity")), "similarity", k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, blocks: int = 16) -> DataFrame:
-    """Exact cosine neighbours of a stated query set: (query, id, similarity, rank).
-
-    Queries (id, embedding) meet all vectors block by block; each block keeps its own k best, and those are ranked."""
-    q = queries.select(F.col("id").alias("query"), F.transform("embedding", lambda x: x.cast("double")).alias("q"))
-    v = vectors.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    pairs = v.join(q, F.col("id") != F.col("query")).select("query", "id", "block", cosine(F.col("q"), F.col("v")).alias("similarity"))
-    order = [F.desc(F.round("similarity", 6)), F.col("id")]
-    local = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query", "block").orderBy(*order))).filter(F.col("r") <= k)
-    r = F.row_number().over(Window.partitionBy("query").orderBy(*order))
-    return local.withColumn("rank", r).filter(F.col("rank") <= k).select("query", "id", F.round("similarity", 5).alias("similarity"), "rank")
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int, halved: bool = False, itself: bool = False, rows: int = 8192, asked: int = 512) -> DataFrame:
+    """(query, id, likeness, exact, rank): exact cosine neighbours in ``vectors`` (id, embedding) of a stated query set (id, embedding).
+
+    Both sides are dealt to blocks of about ``rows`` vectors and ``asked`` queries; each pair of blocks is one matrix product
+    that keeps its k best for each query, and those are ranked. Likeness is rounded to ``digits`` before ties go to
+    the lesser id (``exact`` isn't); ``halved`` maps it to 0..1. Vectors of length 0 are like nothing (0); null ones are left out."""
+    v, q = (df.filter("embedding is not null").select("id", F.transform("embedding", lambda x: x.cast("double")).alias("e")) for df in (vectors, queries))
+    n, m = (max(1, -(-df.count() // size)) for df, size in ((v, rows), (q, asked)))
+    own = lambda of: F.pmod(F.xxhash64("id"), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    both = v.select(own(n).alias("vb"), every(m).alias("qb"), F.lit(False).alias("asks"), "id", "e").union(q.select(every(n).alias("vb"), own(m).alias("qb"), F.lit(True), "id", "e"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        asks = block.column("asks").to_numpy()
+        ids = block.column("id").to_numpy()
+        e = np.stack(block.column("e").to_pandas().to_numpy()) if block.num_rows else np.zeros((0, 0))
+        e = e / np.where((norm := np.sqrt((e * e).sum(axis=1))) > 0, norm, np.inf)[:, None]
+        mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
+        theirs = theirs[np.argsort(ids[theirs], kind="stable")]
+        found = []
+        if len(theirs):
+            c = e[mine] @ e[theirs].T
+            c = (1 + c) / 2 if halved else c
+            near = np.floor(c * 10**digits + 0.5) / 10**digits
+            if not itself:
+                near[ids[mine][:, None] == ids[theirs]] = -np.inf
+            for i, row in enumerate(near):
+                best = np.argsort(-row, kind="stable")[:k]
+                found += [(ids[mine[i]], ids[theirs[j]], row[j], c[i, j]) for j in best if row[j] > -np.inf]
+        columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+        kind = block.schema.field("id").type
+        return pa.table({"query": pa.array(columns[0], kind), "id": pa.array(columns[1], kind), "likeness": pa.array(columns[2], pa.float64()), "exact": pa.array(columns[3], pa.float64())})
+
+    kind = v.schema["id"].dataType.simpleString()
+    local = both.groupBy("vb", "qb").applyInArrow(compare, f"query {kind}, id {kind}, likeness double, exact double")
+    r = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("likeness"), "id"))
+    return local.withColumn("rank", r).filter(F.col("rank") <= k)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Exact cosine neighbours of a stated query set (id, embedding), itself left out: (query, id, similarity, rank)."""
+    return nearest(vectors, queries, k, 6).select("query", "id", F.round("exact", 5).alias("similarity"), "rank")
 
 
 def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, distance: float = 1.2, tables: int = 8, bucket: float = 0.5) -> DataFrame:

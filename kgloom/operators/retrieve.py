@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kgloom.functions.columns import cosine, hash_unit, query_terms
-from kgloom.operators.links import node_similarity
+from kgloom.functions.columns import hash_unit, query_terms
+from kgloom.operators.links import nearest, node_similarity
 from kgloom.operators.relational import numbered
 from kgloom.sources.graph import adjacency
 
@@ -15,12 +15,8 @@ from kgloom.sources.graph import adjacency
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, scope: str | None = None, post_filter: bool = False, raw: bool = False) -> DataFrame:
     """(query, id, score, rank); the scope is a value of ``label``, applied before the top k unless ``post_filter``."""
     v = vectors if scope is None or post_filter else vectors.filter(F.col("label") == scope)
-    q = queries.select(F.col("id").alias("query"), F.col("embedding").alias("q"))
-    c = cosine(F.col("embedding"), F.col("q"))
-    s = v.join(q).select("query", "id", "label", F.round(c if raw else (1 + c) / 2, 5).alias("score"))
-    r = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    out = s.withColumn("rank", r).filter(F.col("rank") <= k)
-    return (out if scope is None or not post_filter else out.filter(F.col("label") == scope)).drop("label")
+    out = nearest(v, queries, k, 5, halved=not raw, itself=True).select("query", "id", F.col("likeness").alias("score"), "rank")
+    return out if scope is None or not post_filter else out.join(v.filter(F.col("label") == scope).select("id"), "id", "left_semi").select("query", "id", "score", "rank")
 
 
 def _tokens(df: DataFrame, id_: str, text) -> DataFrame:

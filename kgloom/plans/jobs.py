@@ -15,6 +15,7 @@ from kgloom.plans.relational import both, written
 from kgloom.plans.sql import over
 from kgloom.sources import files as S
 from kgloom.sources import graph as G
+from kgloom.sources.stage import scratch
 from kgloom.streaming import jobs as T
 
 QUERIES: dict = {}
@@ -99,6 +100,32 @@ def _(s, d):
     return D.stage_file(base, f.filter("status = 'completed'").select("file_id", F.lit("{}").alias("payload"), F.lit("approved").alias("status"))).select("file_id", "status")
 
 
+@query("s6_text_docs", "SELECT CAST(count(*) AS BIGINT) AS rows_, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    """Texts written as files with a mark between documents, read back as whole files."""
+    path = scratch(s)
+    G.read_table(s, d, "documents").filter("text is not null").select(F.concat("text", F.lit("\x01")).alias("value")).write.text(path)
+    docs = S.read_text_docs(s, f"{path}/part-*").select(F.explode(F.split("text", "\x01\n")).alias("text")).filter("text <> ''")
+    return docs.agg(F.count(F.lit(1)).alias("rows_"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query("s7_tabular_docs", "SELECT 'o_orderkey: ' || o_orderkey || ' | o_orderstatus: ' || o_orderstatus AS text FROM orders UNION ALL SELECT 'c_custkey: ' || c_custkey || ' | c_name: ' || c_name || ' | c_mktsegment: ' || c_mktsegment FROM customer")
+def _(s, d):
+    """Two tables written as CSV files of different headers into one folder."""
+    path = scratch(s)
+    G.read_table(s, d, "orders").select("o_orderkey", "o_orderstatus").write.option("header", True).csv(path)
+    G.read_table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment").write.mode("append").option("header", True).csv(path)
+    return S.read_tabular_docs(s, f"{path}/part-*").select("text")
+
+
+@query("s12_append_table", "SELECT folder_id, CAST(2 * count(*) AS BIGINT) AS n FROM nodes GROUP BY 1")
+def _(s, d):
+    path = scratch(s)
+    for _ in range(2):
+        S.append_table(G.graph_nodes(s, d).select("id", "folder_id"), path, "folder_id")
+    return s.read.parquet(path).groupBy("folder_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s14_set_file_status", "SELECT file_id, CASE status WHEN 'processing' THEN 'failed' WHEN 'pending_review' THEN 'processing' ELSE status END AS status, CASE WHEN status <> 'completed' THEN CAST(length(file_id) AS BIGINT) END AS node_count, CASE WHEN status <> 'completed' THEN 0 END AS relationship_count, CASE WHEN status = 'processing' THEN 'no text' END AS error_message, CASE WHEN status = 'processing' THEN created_at END AS processed_at FROM files")
 def _(s, d):
     f = G.files_table(s, d)

@@ -64,7 +64,7 @@ def test_streams_equal_batch(spark, tmp_path):
 
 def test_models(spark, tmp_path):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("label"))
-    model, score = M.train_node_classifier(v, folds=2)
+    model, score = M.train_node_classifier(v)
     assert 0 <= score <= 1
     M.save_model(model, str(tmp_path), "types")
     assert [r.name for r in M.list_models(spark, str(tmp_path)).collect()] == ["types"]
