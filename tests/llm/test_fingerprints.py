@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 
 from kgloom.llm import fingerprints as fp
 
@@ -18,6 +20,33 @@ def test_counts():
     assert fp.digests(texts) == [fp.digests([t])[0] for t in texts]
 
 
+def plain_digest(text):
+    """The digest with its length, checksum and quartile codes, worked out bucket by bucket."""
+    counts = brute(text)
+    ordered = sorted(counts)
+    quartiles = [ordered[len(counts) * k // 4 - 1] for k in (1, 2, 3)]
+    codes = [sum(c > q for q in quartiles) for c in counts]
+    octets = [codes[i] | codes[i + 1] << 2 | codes[i + 2] << 4 | codes[i + 3] << 6 for i in range(0, len(codes), 4)]
+    size = min(255, round(8 * math.log2(1 + len(text.encode()))))
+    return f"{size:02x}{sum(c * (2 * i + 1) for i, c in enumerate(counts)) % 256:02x}" + bytes(octets).hex(), codes, size
+
+
+def plain_likeness(a, b):
+    (_, x, m), (_, y, n) = plain_digest(a), plain_digest(b)
+    score = sum(6 if abs(p - q) == 3 else abs(p - q) for p, q in zip(x, y, strict=True)) + 2 * max(0, abs(m - n) - 1)
+    return max(0.0, 1 - score / (1.5 * fp.BUCKETS))
+
+
+def test_digest_and_likeness_recomputed():
+    random.seed(6)
+    texts = ["", "a", "abcd", "x" * 700, "été ñ " * 50] + ["".join(random.choices("abc def.\n", k=random.choice([9, 80, 900]))) for _ in range(25)]
+    prints = fp.digests(texts)
+    assert prints == [plain_digest(t)[0] for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(len(texts))]
+    got = fp.likeness([prints[i] for i, _ in pairs], [prints[j] for _, j in pairs])
+    assert all(abs(g - plain_likeness(texts[i], texts[j])) < 1e-12 for g, (i, j) in zip(got, pairs, strict=True))
+
+
 def test_likeness():
     a, b = fp.digests(["the quick brown fox " * 40, "ein ganz anderer Satz ohne Bezug " * 30])
     assert fp.likeness([a, a], [a, b])[0] == 1.0
