@@ -150,7 +150,14 @@ def _(s, d):
     return A.modularity(g, by_folder(g.nodes)).select(F.round("modularity", 6).alias("modularity"))
 
 
-@query("g12_k_core")
+def _core_sql(rounds: int = 16) -> str:
+    parts = [", k0 AS MATERIALIZED (SELECT nodes.id, coalesce(d, 0) AS core FROM nodes LEFT JOIN deg ON nodes.id = deg.id)"]
+    for i in range(rounds):
+        parts.append(f"h{i} AS (SELECT a, v, sum(count(*)) OVER (PARTITION BY a ORDER BY v DESC) AS n FROM (SELECT a, least(x.core, y.core) AS v FROM adj JOIN k{i} x ON x.id = a JOIN k{i} y ON y.id = b) GROUP BY a, v), k{i + 1} AS MATERIALIZED (SELECT k.id, least(k.core, coalesce(m, 0)) AS core FROM k{i} k LEFT JOIN (SELECT a, max(least(v, n)) AS m FROM h{i} GROUP BY 1) ON a = k.id)")
+    return ", ".join(parts) + f" SELECT id, CAST(core AS BIGINT) AS core FROM k{rounds}"
+
+
+@query("g12_k_core", _core_sql())
 def _(s, d):
     return A.k_core(undirected(s, d))
 
@@ -181,7 +188,9 @@ def _(s, d):
     return A.random_walks(g, g.nodes)
 
 
-@query("g18_dijkstra")
+@query("g18_dijkstra", """, w AS (SELECT src, dst, min(coalesce(strength, 1.0)) AS c FROM edges GROUP BY 1, 2),
+t(path, id, cost, hops) AS (SELECT 'c7', 'c7', 0.0::DOUBLE, 0 UNION ALL SELECT path || ' > ' || dst, dst, cost + c, hops + 1 FROM t JOIN w ON src = id)
+SELECT min_by(path, cost) AS path, min(cost) AS cost, min_by(hops, cost) AS hops FROM t WHERE id IN ('r0', 'r1') GROUP BY id""", recursive=True)
 def _(s, d):
     return A.dijkstra(directed(s, d), "c7", "r1").unionByName(A.dijkstra(directed(s, d), "c7", "r0"))
 
@@ -333,13 +342,21 @@ def _(s, d):
     return L.bs_jaccard(adj(s, d))
 
 
-@query("l14_discover")
+_DISCOVER = PAIRS + """, m AS (
+SELECT * FROM (SELECT a, b, least(cn / 10.0::DOUBLE, 1.0) AS confidence, 'common_neighbors' AS method, 0 AS k FROM pu WHERE cn > 1 AND cn >= 5 ORDER BY 3 DESC, a, b LIMIT 50)
+UNION ALL SELECT * FROM (SELECT a, b, round(least(aa / 5, 1.0), 3) AS confidence, 'adamic_adar', 1 FROM pu WHERE round(aa, 3) > 0.5 AND round(least(aa / 5, 1.0), 3) >= 0.5 ORDER BY 3 DESC, a, b LIMIT 50)
+UNION ALL SELECT * FROM (SELECT a, b, least(s / 100.0::DOUBLE, 1.0) AS confidence, 'preferential_attachment', 2 FROM (SELECT a, b, da * db AS s FROM ap WHERE da > 2 AND db > 2 AND da * db > 10 ORDER BY da * db DESC, a, b LIMIT 50) WHERE s >= 50 ORDER BY 3 DESC, a, b LIMIT 50)),
+f AS (SELECT a, b, confidence, method FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY k) AS n FROM m) WHERE n = 1 ORDER BY confidence DESC, a, b LIMIT 50),
+dc AS (SELECT a, b, confidence, method, 'RELATED_TO' AS predicted_type FROM f)"""
+
+
+@query("l14_discover", _DISCOVER + " SELECT * FROM dc")
 def _(s, d):
     n, e = both(s, d)
     return L.discover(n, written(e))
 
 
-@query("a18_by_category")
+@query("a18_by_category", _DISCOVER + " SELECT predicted_type, count(*) AS n, max(confidence) AS best FROM dc GROUP BY 1")
 def _(s, d):
     n, e = both(s, d)
     return R.by_category(L.discover(n, written(e)))
