@@ -566,14 +566,14 @@ def _(s, d):
     return e.join(nxt, "vec_id").select("vec_id", F.round(C.cosine(F.col("embedding"), F.col("other")), 5).alias("cosine"))
 
 
-@query("f8_f9_array_similarity", """, p AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.file_ids, y.file_ids)) AS i, len(list_distinct(list_concat(x.file_ids, y.file_ids))) AS u, least(len(x.file_ids), len(y.file_ids)) AS m FROM nodes x JOIN nodes y ON x.type = 'Nation' AND y.type = 'Supplier')
-SELECT a, b, round(CAST(i AS DOUBLE) / u, 6) AS j, round(CAST(i AS DOUBLE) / m, 6) AS o, round((CAST(i AS DOUBLE) / u + CAST(i AS DOUBLE) / m) / 2, 6) AS both_ FROM p""")
+@query("f8_f9_array_similarity", """, p AS (SELECT e.id, len(list_intersect(x.file_ids, y.file_ids)) AS i, len(list_distinct(list_concat(x.file_ids, y.file_ids))) AS u, least(len(x.file_ids), len(y.file_ids)) AS m FROM edges e JOIN nodes x ON src = x.id JOIN nodes y ON dst = y.id)
+SELECT id, round(CAST(i AS DOUBLE) / u, 6) AS j, round(CAST(i AS DOUBLE) / m, 6) AS o, round((CAST(i AS DOUBLE) / u + CAST(i AS DOUBLE) / m) / 2, 6) AS both_ FROM p""")
 def _(s, d):
-    n = G.graph_nodes(s, d)
-    x = n.filter("type = 'Nation'").select(F.col("id").alias("a"), F.col("file_ids").alias("fa"))
-    y = n.filter("type = 'Supplier'").select(F.col("id").alias("b"), F.col("file_ids").alias("fb"))
+    n, e = both(s, d)
+    end = lambda c, f: n.select(F.col("id").alias(c), F.col("file_ids").alias(f))
+    x = e.select("id", "src", "dst").join(end("src", "fa"), "src").join(end("dst", "fb"), "dst")
     j, o = C.jaccard_arr(F.col("fa"), F.col("fb")), C.overlap_arr(F.col("fa"), F.col("fb"))
-    return x.join(y).select("a", "b", F.round(j, 6).alias("j"), F.round(o, 6).alias("o"), F.round(C.combined_similarity(j, o, F.lit(None).cast("double")), 6).alias("both_"))
+    return x.select("id", F.round(j, 6).alias("j"), F.round(o, 6).alias("o"), F.round(C.combined_similarity(j, o, F.lit(None).cast("double")), 6).alias("both_"))
 
 
 @query("f10_f11_hashes", "SELECT id, round(CAST(('0x' || substr(md5(id), 1, 8)) AS BIGINT) / 4294967296.0, 6) AS u, substr(md5(array_to_string(list_sort(file_ids), ',')), 1, 8) AS scope FROM nodes")
