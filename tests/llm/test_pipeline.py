@@ -37,3 +37,24 @@ def test_run_and_empty_input(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, D)
     assert docs.count() == 0
+
+
+def test_clashing_columns_null_and_repeated_ids(spark):
+    """Columns named like what stages make come through as they were; null and repeated ids and null texts are each a row."""
+    docs = spark.read.parquet(f"{D}/documents.parquet").limit(60)
+    odd = docs.limit(3).select(F.lit(None).cast("long").alias("doc_id"), *docs.columns[1:]).union(docs.limit(2)).union(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    more = docs.union(odd)
+    names = ["language", "n_lines", "kept", "n_shingles", "language_accepted", "__kg_lost", "part", "rank", "h"]
+    for i, c in enumerate(names):
+        more = more.withColumn(c, F.lit(i))
+    kept = cp.staged(cp.language(spark, more, D))
+    assert kept.columns == more.columns and kept.filter("text is null").count() == 0
+    lines = cp.staged(cp.lines(spark, kept, D))
+    assert lines.columns == more.columns and lines.count() == kept.count()
+    near = cp.staged(cp.near_duplicates(spark, lines, D))
+    assert near.columns == more.columns and near.filter("doc_id is null").count() == lines.filter("doc_id is null").count()
+    for df in (kept, lines, near):
+        assert [r[0] for r in df.select(F.array(*names)).distinct().collect()] == [list(range(len(names)))]
+    assert cp.packing(spark, near, D).filter("start = 0").count() == near.count()
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert cp.language(spark, unlabelled, D).count() == docs.count()
