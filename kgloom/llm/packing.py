@@ -36,8 +36,7 @@ _NOT_SPACE = "[\x1c\x1d\x1e\x1f]"
 class WordIds:
     """Ids of texts by their words between white space; the normaliser and the split pattern work on each word by itself.
 
-    A batch's distinct words that aren't known yet are normalised, split by one run of the pattern, and merged together on
-    arrays. Words with very long parts, and texts with the strings of special tokens, go to the library.
+    A batch's distinct words that aren't known yet are normalised, split by one boundary scan, and merged together on arrays. Words with very long parts, and texts with the strings of special tokens, go to the library.
     """
 
     def __init__(self, path: str, size: int) -> None:
