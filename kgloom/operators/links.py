@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom.functions.columns import combined_similarity, cosine, predicted_type
-from kgloom.operators.relational import exclude_linked, first_seen, running_before, two_hop_pairs
+from kgloom.operators.relational import exclude_linked, first_seen, running_before
 from kgloom.sources.graph import Projection, adjacency
 from kgloom.sources.stage import staged
 

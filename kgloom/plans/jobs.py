@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgloom.operators import algorithms as A
 from kgloom.operators import ingest as I
 from kgloom.operators import learning as M
 from kgloom.operators import mutate as D
-from kgloom.operators import relational as R
 from kgloom.operators import retrieve as Q
 from kgloom.plans.graphs import PAIRS, SIMILAR, undirected
 from kgloom.plans.relational import both, written
