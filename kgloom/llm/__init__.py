@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("exact_dedup", "near_dedup", "license_scan", "line_dedup", "packing", "byte_bpe", "language_id", "quotation", "fingerprints", "token_counts", "decontaminate", "hard_negatives")
+_MODULES = ("exact_dedup", "near_dedup", "license_scan", "line_dedup", "packing", "byte_bpe", "language_id", "quotation", "fingerprints", "token_counts", "conversation_repair", "decontaminate", "hard_negatives")
 
 
 def queries() -> dict:
