@@ -12,6 +12,7 @@ stay tables that are joined.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ TEMPERATURES = tuple(2.0**-k for k in range(11))
 UNKNOWN = "und"
 #: Labels that are no two- or three-letter code aren't languages; so there are 18,252 languages at most.
 _CODE = "^[a-z]{2,3}$"
+#: Codes of no language (undetermined, several, uncoded, no linguistic content). They are neither fitted nor evidence.
+NO_LANGUAGE = ("und", "mul", "mis", "zxx")
 _BLOCK = 1 << 18
 
 
@@ -74,10 +77,10 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] | None = None, sample_ro
     """From rows (doc_id, text, lang): about ``sample_rows`` labelled rows of each language (all, where it has fewer), the same whatever the order of rows.
 
     Languages are counted over all labelled rows; labels count by their first subtag, lower-cased, and only two- or
-    three-letter ones. Only the fit of each language uses a sample; of those rows a quarter is held out and chooses the
+    three-letter ones that name a language (not ``NO_LANGUAGE``). Only the fit of each language uses a sample; of those rows a quarter is held out and chooses the
     temperature. Null or empty texts and labels are left out; an empty table gives a model without languages.
     """
-    rows = labelled.select("doc_id", "text", F.lower(F.substring_index(F.trim("lang"), "-", 1)).alias("lang")).filter((F.col("text") != "") & F.col("lang").rlike(_CODE))
+    rows = labelled.select("doc_id", "text", F.lower(F.substring_index(F.trim("lang"), "-", 1)).alias("lang")).filter((F.col("text") != "") & F.col("lang").rlike(_CODE) & ~F.col("lang").isin(*NO_LANGUAGE))
     if languages:
         rows = rows.filter(F.col("lang").isin(*languages))
     # A row is taken by its own hash, so nothing is ranked; the least hash is always taken, so no language comes out empty.
@@ -159,8 +162,10 @@ _EVIDENCE = "struct<n: bigint, vote: int, means: array<double>>"
 _DECISION = "struct<by_text: string, language: string, probability: double, accepted: boolean>"
 
 
-def _evidence(model: TextModel) -> Callable[[pa.Array], pa.Array]:
+def _evidence(model: TextModel, entities: bool) -> Callable[[pa.Array], pa.Array]:
     def run(texts: pa.Array) -> pa.Array:
+        if entities:
+            texts = pa.array([unescape(t) if t and "&" in t else t for t in texts.to_pylist()], pa.string())
         n, m = model.means(texts)
         means = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * m.shape[1], pa.int32()), pa.array(m.reshape(-1)))
         return pa.StructArray.from_arrays([pa.array(n), pa.array(model.votes(n, m), pa.int32()), means], ["n", "vote", "means"])
@@ -196,12 +201,17 @@ def _decision(model: TextModel, table_: np.ndarray, least: float) -> Callable[..
     return run
 
 
-def language_id(df: DataFrame, model: TextModel, text: Column, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, keep: list[str] | None = None, least: float = 0.5) -> DataFrame:
+def _declared(code: Column) -> Column:
+    return F.when(~code.isin(*NO_LANGUAGE) & (code != ""), code)
+
+
+def language_id(df: DataFrame, model: TextModel, text: Column, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, keep: list[str] | None = None, least: float = 0.5, entities: bool = False) -> DataFrame:
     """The columns ``keep`` (default: all) and language_by_text, language, language_probability, language_accepted.
 
     A row is accepted if its text scores above the language's floor and the fused probability is at least ``least``;
     otherwise its language is ``und`` (texts that are null, empty or blank always). Missing evidence (null declared language,
-    host or suffix) leaves the other evidence; unknown declared languages count together. Ties go to the language first in
+    host or suffix) leaves the other evidence, and so do declared codes of no language; unknown declared languages count together. Texts are read
+    whole, however long. With ``entities`` character references (&eacute;) are read as their characters. Ties go to the language first in
     the alphabet. Repeated rows count each time. An empty table gives an empty result; with no fitted language all rows
     are rejected. Input columns named like the output are replaced.
 
@@ -212,12 +222,12 @@ def language_id(df: DataFrame, model: TextModel, text: Column, declared: Column
     kept = [c for c in keep or df.columns if c not in out]
     null = F.lit(None).cast("string")
     shape = lambda c: F.lower(F.trim(c)) if c is not None else null
-    rows = df.select(*(F.col(f"`{c}`") for c in kept), text.alias("__kg_text"), F.substring_index(shape(declared), "-", 1).alias("__kg_declared"), shape(suffix).alias("__kg_suffix"), shape(host).alias("__kg_host"))
+    rows = df.select(*(F.col(f"`{c}`") for c in kept), text.alias("__kg_text"), _declared(F.substring_index(shape(declared), "-", 1)).alias("__kg_declared"), shape(suffix).alias("__kg_suffix"), shape(host).alias("__kg_host"))
     k = len(model.languages)
     if not k:
         return rows.select(*(F.col(f"`{c}`") for c in kept), F.lit(UNKNOWN).alias(out[0]), F.lit(UNKNOWN).alias(out[1]), F.lit(0.0).alias(out[2]), F.lit(False).alias(out[3]))
     # Called nondeterministic, so that filters on what they give don't make Catalyst evaluate them twice.
-    scored = F.arrow_udf(_evidence(model), _EVIDENCE).asNondeterministic()
+    scored = F.arrow_udf(_evidence(model, entities), _EVIDENCE).asNondeterministic()
     evidence = scored(F.col("__kg_text"))
     if keep:
         rows = staged(rows.withColumn("__kg_text", evidence))
@@ -255,13 +265,13 @@ def pages_language(pages: DataFrame, model: TextModel, least: float = 0.5) -> Da
     declared = F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)
     suffix = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?[^/:?#]*\.([A-Za-z]+)(?:[:/?#]|$)", 1)
     text = F.trim(F.regexp_replace(F.regexp_replace(F.col("html"), _MARKUP, " "), r"\s+", " "))
-    return language_id(pages, model, text, F.when(declared != "", declared), host, F.when(suffix != "", suffix), keep=["page_id"], least=least)
+    return language_id(pages, model, text, F.when(declared != "", declared), host, F.when(suffix != "", suffix), keep=["page_id"], least=least, entities=True)
 
 
 def documents_language(docs: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame:
     """All columns of documents (text, lang, source among them) and the languages; the source stands for the host.
 
-    Null, empty and blank texts are ``und``; null labels and sources leave the other evidence. Ids play no part, so they may
+    Null, empty and blank texts are ``und``; null labels, labels of no language and null sources leave the other evidence. Ids play no part, so they may
     be null or repeat. An empty table gives an empty result. Ties go as in ``language_id``.
     """
     return language_id(docs, model, F.col("text"), F.col("lang"), F.col("source"), least=least)

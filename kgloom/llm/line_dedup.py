@@ -102,14 +102,15 @@ def _probe(packets: pa.Table, index: pa.Table) -> pa.Table:
             if len(rest):
                 at = np.minimum(np.searchsorted(rest, keys), len(rest) - 1)
                 hit = np.flatnonzero(rest[at] == keys)
-                batches.append(batch), found.append(keys[hit].tobytes()), tops.append(rest_top[at[hit]].tobytes())
+                if len(hit):
+                    batches.append(batch), found.append(keys[hit].tobytes()), tops.append(rest_top[at[hit]].tobytes())
     return pa.table({"batch": pa.array(batches, pa.int64()), "keys": pa.array(found, pa.binary()), "max_doc": pa.array(tops, pa.binary())})
 
 
 def _decide(lists: pa.Table, hits: pa.Table) -> pa.Table:
     out_ids, out_keys = [], []
-    if lists.num_rows and hits.num_rows:
-        known = np.frombuffer(b"".join(hits.column("keys").to_pylist()), _KEY)
+    known = np.frombuffer(b"".join(hits.column("keys").to_pylist()), _KEY)
+    if lists.num_rows and len(known):
         top = np.frombuffer(b"".join(hits.column("max_doc").to_pylist()), np.int64)
         order = np.argsort(known)
         known, top = known[order], top[order]
@@ -162,8 +163,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
     Keys of at least ``min_chars`` code points found in at least ``min_docs`` rows lose all their lines except in the
     row with the largest id that holds them (in all rows with that id, should ids repeat; null ids lose against any).
-    A null or empty text is one empty line and comes out as an empty text. Shorter and blank lines always stay. An empty table
-    gives an empty result. Other columns pass through; input columns named n_lines or n_dropped are replaced.
+    A null or empty text is one empty line and comes out as an empty text. Texts are read whole, however long; memory follows
+    the longest. Shorter and blank lines always stay. An empty table gives an empty result. Other columns pass through; input columns named n_lines or n_dropped are replaced.
     """
     df = df.drop("n_lines", "n_dropped")
     packets, index = line_index(df, id_col, text_col, min_docs, min_chars, shards)

@@ -33,6 +33,16 @@ from kgloom.llm.pair_merging import LONG, Known, PairMerger, joined, spread
 _NOT_SPACE = "[\x1c\x1d\x1e\x1f]"
 
 
+_UNASSIGNED: list[np.ndarray] = []
+
+
+def _unassigned() -> np.ndarray:
+    """By code point, whether it has no category in Python's tables."""
+    if not _UNASSIGNED:
+        _UNASSIGNED.append(np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)]))
+    return _UNASSIGNED[0]
+
+
 class WordIds:
     """Ids of texts by their words between white space; the normaliser and the split pattern work on each word by itself.
 
@@ -87,7 +97,9 @@ class WordIds:
         ids = self.single[octets]
         ids[cuts[1:] - 1] = self.last[octets[cuts[1:] - 1]]
         begin, sizes = cuts[:-1][~closing], sizes[~closing]
-        long = np.unique(word[sizes > 4 * LONG])
+        # What this Python's tables don't know as assigned the library's may: such words are the library's as well.
+        newer = np.cumsum(cps == 10)[_unassigned()[cps]]
+        long = np.union1d(word[sizes > 4 * LONG], newer)
         here = ~np.isin(word, long)
         flat, n = self.pairs.merge(spread(ids, begin[here], sizes[here]), sizes[here])
         n = np.bincount(word[here], n, len(words)).astype(np.int64)

@@ -150,3 +150,39 @@ def test_rare_languages(spark):
     assert fitted.languages == sorted([*rare, "en"])
     out = li.documents_language(few.withColumn("source", F.lit(None).cast("string")), fitted).collect()
     assert len(out) == 20 and all(r.language_accepted and r.language == r.lang for r in out)
+
+
+def test_labels_of_no_language(spark, model):
+    """Texts labelled und, mul, mis or zxx are judged by the rest of the evidence: none is lost and nothing is NaN."""
+    docs = spark.read.parquet(f"{D}/documents.parquet").filter("doc_id % 5 = 1")
+    codes = F.array(*map(F.lit, ["und", "mul", "mis", "zxx", "und-Latn", "UND"]))
+    half = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.get(codes, (F.col("doc_id") % 6).cast("int"))).otherwise(F.col("lang")))
+    assert set(li.fit(half).languages) == set(model.languages)
+    want = {r.doc_id: (r.language, r.language_accepted) for r in li.documents_language(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 1, F.col("lang"))), model).collect()}
+    got = li.documents_language(half, model).collect()
+    assert {r.doc_id: (r.language, r.language_accepted) for r in got} == want
+    assert not any(math.isnan(r.language_probability) for r in got)
+    assert sum(r.language_accepted for r in got) > 0.97 * len(got)
+
+
+def test_pages_against_recount(spark, model):
+    """Host, suffix, declared language and markup of pages, recomputed in Python."""
+    import html as h
+    import re
+
+    pages = spark.read.parquet(f"{D}/pages.parquet").limit(60).collect()
+    rows = [(r.page_id, r.url, r.html) for r in pages] + [(900, "https://u@Ex.DE:80/x", "<html lang='und'><p>der die das und ist nicht &uuml;ber " * 9), (901, None, "<HTML class=a LANG=en-GB><script>x</script>the and of that is with " * 9), (902, "nohost", None)]
+    ready = []
+    for _, url, page in rows:
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", url or "")
+        host = m[1].strip().lower() if m else None
+        s = re.match(r".*\.([A-Za-z]+)$", host or "")
+        d = re.search(r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z]{2,3})", page or "")
+        text = None if page is None else h.unescape(re.sub(r"\s+", " ", re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", " ", page)).strip(" "))
+        declared = d[1].lower() if d and d[1].lower() not in li.NO_LANGUAGE else None
+        ready.append((text, declared, host, s[1] if s else None))
+    want = brute(ready, model, 0.5)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.language, r.language_probability) for r in li.pages_language(df, model).collect()}
+    for (page_id, *_), (language, probability) in zip(rows, want, strict=True):
+        assert got[page_id][0] == language and got[page_id][1] == pytest.approx(probability, abs=1e-9), page_id

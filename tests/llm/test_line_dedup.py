@@ -73,3 +73,24 @@ def test_hot_line_over_many_batches(spark):
     out = ld.line_dedup(df, shards=64)
     assert out.agg(F.sum("n_dropped"), F.count("*")).first() == (9999, 30000)
     assert [r.doc_id for r in out.filter(F.lower("text").contains(hot)).collect()] == [29997]
+
+
+def test_keys_of_one_placing_half_and_batches_that_miss(spark, monkeypatch):
+    """All kept keys share a placing half, so all but one are in the overflow list; most batches hold none of them."""
+    digest = ld.xxhash.xxh3_128_digest
+    monkeypatch.setattr(ld, "_key", lambda line, least: bytes(8) + digest(line.strip(ld.BLANKS).encode().lower())[8:] if len(line.strip(ld.BLANKS)) >= least else None)
+    lines = [f"a repeated line of more than forty characters number {i}" for i in range(3)]
+    texts = [lines[i % 3] if i < 30 else f"a line of its own with more than forty characters, number {i}" for i in range(60)]
+    rows = pa.table({"doc_id": pa.array(range(60), pa.int64()), "text": texts})
+    digests = [pa.Table.from_batches(ld._digesting(1, 40)(iter([b]))) for b in rows.to_batches(max_chunksize=6)]
+    packets = pa.concat_tables([t.set_column(0, "batch", pa.array([n] * t.num_rows, pa.int64())) for n, t in enumerate(digests)])
+    asked = packets.filter(pa.compute.greater_equal(packets.column("shard"), 0))
+    index = ld._indexing(5)(asked)
+    hits = ld._probe(asked, index)
+    lost = []
+    for n in range(len(digests)):
+        own = packets.filter(pa.compute.and_(pa.compute.equal(packets.column("batch"), n), pa.compute.less(packets.column("shard"), 0)))
+        lost += ld._decide(own, hits.filter(pa.compute.equal(hits.column("batch"), n))).column("doc_id").to_pylist()
+    assert sorted(lost) == list(range(27))
+    nothing = pa.table({"batch": pa.array([0], pa.int64()), "keys": pa.array([b""]), "max_doc": pa.array([b""])})
+    assert ld._decide(packets.filter(pa.compute.less(packets.column("shard"), 0)), nothing).num_rows == 0

@@ -77,3 +77,14 @@ def test_tables(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     padding, n = check(packing.op5_packing(spark, "/root/testdata/sf0.001").collect(), texts, 2048)
     assert padding <= 0.02 * 2048 * n, (padding, n)
+
+
+def test_all_code_points_equal_the_library():
+    """Also those that this Python's tables don't know as assigned."""
+    words = packing.WordIds(PATH, 1000)
+    library = Tokenizer.from_file(PATH)
+    points = [c for c in range(0x34000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 20000):
+        texts = [f"a{chr(c)}b {chr(c)}1{chr(c)}" for c in points[at : at + 20000]]
+        for t, got, e in zip(texts, words.encode_column(packing.pa.array(texts)), library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert got.tolist() == e.ids, ascii(t)
