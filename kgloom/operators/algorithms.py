@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kgloom.operators import paths
 from kgloom.sources.graph import Projection
 from kgloom.sources.stage import staged
 
@@ -79,71 +80,86 @@ def distances(edges: DataFrame, sources: DataFrame, max_hops: int | None = None)
     return seen
 
 
-def _dependencies(g: Projection, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(s, id, delta) and (s, src, dst, flow): dependency accumulation, one level of all sources at a time."""
-    dist = staged(distances(g.edges, sources))
-    deepest = dist.agg(F.max("d")).first()[0] or 0
-    e = g.edges.select("src", "dst").distinct()
-    # Tree edges v -> w with d(w) = d(v) + 1.
-    up = dist.select("s", F.col("id").alias("src"), F.col("d").alias("dv"), F.col("sigma").alias("sv"))
-    down = dist.select("s", F.col("id").alias("dst"), F.col("d").alias("dw"), F.col("sigma").alias("sw"))
-    steps = staged(up.join(e, "src").join(down, ["s", "dst"]).filter("dw = dv + 1").select("s", "src", "dst", "dw", (F.col("sv") / F.col("sw")).alias("part")))
-    delta = dist.select("s", "id").limit(0).withColumn("delta", F.lit(0.0))
-    flows = None
-    for d in range(deepest, 0, -1):
-        at = steps.filter(F.col("dw") == d).join(delta.select("s", F.col("id").alias("dst"), "delta"), ["s", "dst"], "left")
-        flow = staged(at.select("s", "src", "dst", (F.col("part") * (1 + F.coalesce("delta", F.lit(0.0)))).alias("flow")))
-        flows = flow if flows is None else flows.union(flow)
-        delta = delta.union(flow.groupBy("s", F.col("src").alias("id")).agg(F.sum("flow").alias("delta")))
-    return delta, flows if flows is not None else steps.select("s", "src", "dst", F.col("part").alias("flow"))
-
-
 def pivots(g: Projection, n: int) -> DataFrame:
     """The ``n`` nodes that come first by hash; all where n is 0."""
     ids = g.nodes.select("id")
     return ids if not n else ids.orderBy(F.xxhash64("id"), "id").limit(n)
 
 
-def betweenness(g: Projection, sampling_size: int = 0) -> DataFrame:
-    """Exact where sampling_size is 0 (state: sources x nodes), else from as many pivots, scaled up."""
-    chosen = staged(pivots(g, sampling_size))
-    delta, _ = _dependencies(g, chosen)
-    scale = 1.0
-    if sampling_size:
-        scale = g.nodes.count() / max(1, chosen.count())
+def betweenness(g: Projection, sampling_size: int = 0, error: float = 0.0) -> DataFrame:
+    """Exact over all sources, block by block; from ``sampling_size`` sources, scaled up; or with ``error`` from as many sources
+    as guarantee that no score is off by more than that share of the node pairs (``paths.betweenness_within``)."""
     half = 0.5 if g.undirected else 1.0
-    sums = delta.filter("s <> id").groupBy("id").agg(F.sum("delta").alias("x"))
-    return _named(g, g.nodes.select("id").join(sums, "id", "left").select("id", (F.coalesce("x", F.lit(0.0)) * scale * half).alias("score")))
+    if error:
+        sums, _, _ = paths.betweenness_within(g, error)
+    elif sampling_size:
+        chosen = staged(pivots(g, sampling_size))
+        scale = g.nodes.count() / max(1, chosen.count())
+        sums = paths.betweenness_exact(g, sources=chosen)[0].withColumn("total", F.col("total") * scale)
+    else:
+        sums, _ = paths.betweenness_exact(g)
+    return _named(g, g.nodes.select("id").join(sums, "id", "left").select("id", (F.coalesce("total", F.lit(0.0)) * half).alias("score")))
 
 
-def edge_betweenness(g: Projection, sampling_size: int = 0) -> DataFrame:
-    """(src, dst, score) with src < dst, of an undirected projection."""
-    _, flows = _dependencies(g, staged(pivots(g, sampling_size)))
+def edge_betweenness(g: Projection) -> DataFrame:
+    """(src, dst, score) with src < dst of all edges of an undirected projection, exact."""
+    flows = paths.betweenness_exact(g)[1]
     return flows.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg((F.sum("flow") / 2).alias("score"))
 
 
-def girvan_newman(g: Projection, target: int) -> DataFrame:
-    """(id, component) after edges of greatest betweenness have gone until there are ``target`` components.
-
-    Each removal takes a full betweenness of what is left: nodes times edges, for every edge that goes."""
-    edges = g.edges
-    while True:
-        now = Projection(g.nodes, edges, True)
-        parts = staged(wcc(now))
-        if parts.select("component").distinct().count() >= target or edges.isEmpty():
-            return parts
-        worst = edge_betweenness(now).orderBy(F.desc(F.round("score", 9)), "src", "dst").limit(1)
-        both = worst.select("src", "dst").union(worst.select("dst", "src"))
-        edges = staged(edges.join(both, ["src", "dst"], "left_anti"))
-
-
-def closeness(g: Projection, wasserman_faust: bool = True, sources: DataFrame | None = None) -> DataFrame:
-    """Score over the nodes that each source reaches; positive scores only."""
-    n = g.nodes.count()
-    per = distances(g.edges, sources if sources is not None else g.nodes).groupBy(F.col("s").alias("id")).agg(F.sum("d").alias("far"), (F.count(F.lit(1)) - 1).alias("reached"))
+def girvan_newman(g: Projection, target: int) -> tuple[DataFrame, DataFrame]:
+    """(splits, id, component) for each number of components on the way to ``target``, and (splits, src, dst, score, modularity).
+
+    The first table is the dendrogram: what each node belonged to after each split. The second names the edge whose removal made the
+    split (null for the graph as it was) and the partition's modularity in the whole graph, by which the best cut is taken.
+    Edges of greatest betweenness go first, of those the least. Removing an edge changes shortest paths in its component
+    only: scores of the other components are kept, and the one is searched again.
+    """
+    spark = g.nodes.sparkSession
+    whole = staged(g.edges.filter("src <> dst").select("src", "dst", F.lit(1.0).alias("weight")).distinct())
+    left, parts = whole, staged(wcc(Projection(g.nodes, whole, True)))
+    scores = staged(edge_betweenness(Projection(g.nodes, whole, True)))
+    n = parts.select("component").distinct().count()
+
+    def state(edge: tuple | None) -> tuple[DataFrame, DataFrame]:
+        m = modularity(Projection(g.nodes, whole, True), parts.withColumnRenamed("component", "cluster"))
+        one = spark.createDataFrame([(n, *(edge or (None, None, None)))], "splits int, src string, dst string, score double")
+        return parts.select(F.lit(n).alias("splits"), "id", "component"), one.crossJoin(m)
+
+    found = [state(None)]
+    while n < target:
+        worst = scores.orderBy(F.desc(F.round("score", 9)), "src", "dst").first()
+        if worst is None:
+            break
+        left = staged(left.filter(~(((F.col("src") == worst["src"]) & (F.col("dst") == worst["dst"])) | ((F.col("src") == worst["dst"]) & (F.col("dst") == worst["src"])))))
+        own = parts.join(parts.filter(F.col("id") == worst["src"]).select("component"), "component", "left_semi").select("id")
+        inner = Projection(own, left.join(own.withColumnRenamed("id", "src"), "src", "left_semi"), True)
+        pieces = staged(wcc(inner))
+        again = edge_betweenness(inner)
+        scores = staged(scores.join(own.withColumnRenamed("id", "src"), "src", "left_anti").unionByName(again))
+        if pieces.select("component").distinct().count() > 1:
+            parts = staged(parts.join(pieces.select("id"), "id", "left_anti").unionByName(pieces))
+            n += 1
+            found.append(state((worst["src"], worst["dst"], float(worst["score"]))))
+    levels, splits = found[0]
+    for a, b in found[1:]:
+        levels, splits = levels.unionByName(a), splits.unionByName(b)
+    return levels, splits
+
+
+def best_cut(levels: DataFrame, splits: DataFrame) -> DataFrame:
+    """(id, component) of the split of greatest modularity, the first of several."""
+    best = splits.orderBy(F.desc(F.round("modularity", 9)), "splits").limit(1).select("splits")
+    return levels.join(F.broadcast(best), "splits", "left_semi").select("id", "component")
+
+
+def closeness(g: Projection, wasserman_faust: bool = True, sources: DataFrame | None = None, lg: int | None = None) -> DataFrame:
+    """Score over the nodes that each source reaches; positive scores only. Exact, block by block of sources (all nodes where none are
+    given); with ``lg`` all nodes from sketches of 2^lg bytes that travel along edges (``paths.hyperball``), off by about 1.04 / sqrt(2^lg)."""
+    per = paths.hyperball(g, lg) if lg else paths.closeness_exact(g, sources)
     score = F.col("reached") / F.col("far")
     if wasserman_faust:
-        score = score * F.col("reached") / F.lit(max(1, n - 1))
+        score = score * F.col("reached") / F.lit(max(1, g.nodes.count() - 1))
     return _named(g, per.filter("far > 0").select("id", score.alias("score")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kgloom.operators import algorithms as A
 from kgloom.operators import links as L
+from kgloom.operators import paths as P
 from kgloom.operators import relational as R
 from kgloom.plans.relational import both, by_folder, written
 from kgloom.plans.sql import over
@@ -71,17 +72,64 @@ def _(s, d):
     return A.hits(directed(s, d)).select("id", F.round("hub", 5).alias("hub"), F.round("auth", 5).alias("auth"))
 
 
+def _levels_sql(depth: int = 12) -> str:
+    """f0, f1, ...: sources, nodes and numbers of shortest paths by distance."""
+    parts = [", tr AS MATERIALIZED (SELECT a, b FROM adj), f0 AS MATERIALIZED (SELECT id AS s, id, 1.0::DOUBLE AS p FROM nodes)"]
+    for i in range(1, depth + 1):
+        old = " ".join(f"ANTI JOIN f{j} USING (s, id)" for j in range(max(0, i - 2), i))
+        parts.append(f"f{i} AS MATERIALIZED (SELECT * FROM (SELECT s, b AS id, sum(p) AS p FROM f{i - 1} JOIN tr ON id = a GROUP BY 1, 2) {old})")
+    return ", ".join(parts)
+
+
+def _dependency_sql(depth: int = 12) -> str:
+    """d0, d1, ...: the same with dependencies; bt: half of each node's sum; eb: half of the flow over each edge."""
+    parts = [f"{_levels_sql(depth)}, d{depth} AS MATERIALIZED (SELECT s, id, p, 0.0::DOUBLE AS d FROM f{depth})"]
+    for i in range(depth - 1, -1, -1):
+        parts.append(f"h{i} AS MATERIALIZED (SELECT v.s, v.id, w.id AS w, v.p * (1 + w.d) / w.p AS x FROM d{i + 1} w JOIN tr ON a = w.id JOIN f{i} v ON v.s = w.s AND v.id = b), d{i} AS MATERIALIZED (SELECT s, id, p, coalesce(x, 0) AS d FROM f{i} LEFT JOIN (SELECT s, id, sum(x) AS x FROM h{i} GROUP BY 1, 2) USING (s, id))")
+    sums, flows = (" UNION ALL ".join(t.format(i) for i in r) for t, r in (("SELECT id, sum(d) AS d FROM d{} GROUP BY 1", range(1, depth + 1)), ("SELECT least(id, w) AS src, greatest(id, w) AS dst, sum(x) AS x FROM h{} GROUP BY 1, 2", range(depth))))
+    parts.append(f"bt AS (SELECT nodes.id, coalesce(sum(d), 0) / 2 AS score FROM nodes LEFT JOIN ({sums}) z ON nodes.id = z.id GROUP BY 1)")
+    parts.append(f"eb AS (SELECT src, dst, sum(x) / 2 AS score FROM ({flows}) GROUP BY 1, 2)")
+    return ", ".join(parts)
+
+
+_SCORES: dict[tuple[str, str], tuple] = {}
+
+
+def betweenness(s, d):
+    """Exact scores of the nodes and edges of the folder's graph, written once a session: several queries rank by them."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _SCORES:
+        g = undirected(s, d)
+        nodes, edges = P.betweenness_exact(g)
+        nodes = g.nodes.select("id").join(nodes, "id", "left").select("id", (F.coalesce("total", F.lit(0.0)) / 2).alias("score"))
+        edges = edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg((F.sum("flow") / 2).alias("score"))
+        _SCORES[key] = staged(nodes), staged(edges)
+    return _SCORES[key]
+
+
+def _even(c):
+    """Rounded where no score lies half-way."""
+    return F.round(F.col(c) + 3e-5, 3).alias(c)
+
+
+@query("g3_betweenness", _dependency_sql() + " SELECT id, round(score + 3e-5, 3) AS score FROM bt")
+def _(s, d):
+    return betweenness(s, d)[0].select("id", _even("score"))
+
+
 @query("g3_betweenness_sampled")
 def _(s, d):
-    return A.betweenness(undirected(s, d), sampling_size=16)
+    return A.betweenness(undirected(s, d), error=0.05)
 
 
-@query("g4_closeness", """, q AS (SELECT 'r0' AS s UNION ALL SELECT 'r1' UNION ALL SELECT 'r2' UNION ALL SELECT 'r3' UNION ALL SELECT 'r4'),
-t(s, id, d) AS (SELECT s, s, 0 FROM q UNION SELECT s, b, d + 1 FROM t JOIN adj ON id = a WHERE d < 9), m AS (SELECT s, id, min(d) AS d FROM t GROUP BY 1, 2)
-SELECT s AS id, round((count(*) - 1) * (count(*) - 1.0) / (sum(d) * ((SELECT count(*) FROM nodes) - 1.0)), 6) AS score FROM m GROUP BY 1""", recursive=True)
+@query("g4_closeness", _levels_sql() + ", z AS (" + " UNION ALL ".join(f"SELECT s, {i} AS d FROM f{i}" for i in range(1, 13)) + ") SELECT s AS id, round(count(*) * count(*)::DOUBLE / (sum(d) * ((SELECT count(*) FROM nodes) - 1.0)), 6) AS score FROM z GROUP BY 1")
 def _(s, d):
-    g = undirected(s, d)
-    return A.closeness(g, sources=g.nodes.filter("type = 'Region'")).select("id", F.round("score", 6).alias("score"))
+    return A.closeness(undirected(s, d)).select("id", F.round("score", 6).alias("score"))
+
+
+@query("g4_closeness_sketched")
+def _(s, d):
+    return A.closeness(undirected(s, d), lg=12)
 
 
 @query("g6_degree_centrality", "SELECT nodes.id, d AS degree FROM nodes JOIN deg ON nodes.id = deg.id ORDER BY d DESC, nodes.id LIMIT 10")
@@ -218,23 +266,32 @@ def _(s, d):
     return A.trace_outcomes(e, n.filter("type = 'Customer'"), ["BOUGHT", "SUPPLIED_BY"])
 
 
-@query("g23_cluster_bridges")
+@query("g23_cluster_bridges", _dependency_sql() + " SELECT bt.id, round(score + 3e-5, 3) AS score, folder_id AS cluster FROM bt JOIN nodes ON bt.id = nodes.id ORDER BY round(score, 6) DESC, 1 LIMIT 20")
 def _(s, d):
-    g = undirected(s, d)
-    return A.cluster_bridges(by_folder(g.nodes), A.betweenness(g, 8).select("id", "score"))
+    return A.cluster_bridges(by_folder(G.graph_nodes(s, d)), betweenness(s, d)[0]).select("id", _even("score"), "cluster")
 
 
-@query("g24_edge_betweenness")
+@query("g24_edge_betweenness", _dependency_sql() + " SELECT src, dst, round(score + 3e-5, 3) AS score FROM eb")
 def _(s, d):
-    return A.edge_betweenness(undirected(s, d), 8)
+    return betweenness(s, d)[1].select("src", "dst", _even("score"))
 
 
-@query("g24_girvan_newman")
-def _(s, d):
+def _split(s, d):
     n, e = both(s, d)
     n = staged(n.filter("type in ('Region', 'Nation', 'Supplier')"))
-    parts = A.girvan_newman(L.as_projection(n, staged(G.adjacency(G.scope_edges(e, n)))), 7)
-    return parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return A.girvan_newman(L.as_projection(n, staged(G.adjacency(G.scope_edges(e, n)))), 7)
+
+
+@query("g24_girvan_newman")
+def _(s, d):
+    return A.best_cut(*_split(s, d)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query("g24_dendrogram")
+def _(s, d):
+    levels, splits = _split(s, d)
+    sizes = levels.groupBy("splits", "component").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.join(splits.select("splits", F.round("modularity", 6).alias("modularity")), "splits")
 
 
 _CONSTRAINT = """, w AS MATERIALIZED (SELECT a AS i, b AS j, 1.0::DOUBLE / count(*) OVER (PARTITION BY a) AS p FROM tr),
@@ -247,10 +304,13 @@ def _(s, d):
     return A.constraint(undirected(s, d)).select("id", F.round("constraint", 5).alias("constraint"))
 
 
-@query("g25_brokers")
+_BROKERS = _CONSTRAINT.rsplit(")\nSELECT", 1)[0] + """), cs AS (SELECT w.i AS id, sum((p + coalesce(r, 0)) * (p + coalesce(r, 0))) AS x FROM w LEFT JOIN ind ON w.i = ind.i AND w.j = ind.j GROUP BY 1)
+SELECT id, round(x, 5) AS "constraint", round(score + 3e-5, 3) AS score FROM cs JOIN bt USING (id) ORDER BY round(x, 6), round(score, 6) DESC, id LIMIT 10"""
+
+
+@query("g25_brokers", _dependency_sql() + _BROKERS)
 def _(s, d):
-    g = undirected(s, d)
-    return A.brokers(g, A.betweenness(g, 8).select("id", "score"))
+    return A.brokers(undirected(s, d), betweenness(s, d)[0]).select("id", F.round("constraint", 5).alias("constraint"), _even("score"))
 
 
 @query("g25_holes", ", e2 AS (SELECT x.folder_id AS c_src, y.folder_id AS c_dst FROM adj JOIN nodes x ON a = x.id JOIN nodes y ON b = y.id), z AS (SELECT folder_id AS f, count(*)::DOUBLE AS n FROM nodes GROUP BY 1) SELECT c_src, c_dst, count(*) AS n, round(count(*) / (p.n * q.n), 8) AS density FROM e2 JOIN z p ON p.f = c_src JOIN z q ON q.f = c_dst WHERE c_src < c_dst GROUP BY 1, 2, p.n, q.n ORDER BY 4, 1, 2 LIMIT 10")

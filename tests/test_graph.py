@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kgloom.operators import algorithms as A
 from kgloom.operators import links as L
+from kgloom.operators import paths as P
 from kgloom.sources.graph import Projection
 
 
@@ -64,6 +65,56 @@ def test_betweenness_and_closeness(spark, pairs):
             assert math.isclose(got[v], (len(d) - 1) ** 2 / (sum(d.values()) * 14))
 
 
+def test_blocks_samples_and_sketches(spark, pairs):
+    """Small blocks give what one block gives; samples of all sources are exact; sketches of few nodes count them exactly."""
+    n, g = near(pairs), make(spark, pairs, 15)
+    whole, flows = P.betweenness_exact(g)
+    for block in (4, 7):
+        some, parts = P.betweenness_exact(g, block)
+        assert {r.id: round(r.total, 9) for r in some.collect()} == {r.id: round(r.total, 9) for r in whole.collect()}
+        assert {(r.src, r.dst): round(r.flow, 9) for r in parts.collect()} == {(r.src, r.dst): round(r.flow, 9) for r in flows.collect()}
+    assert {(r.src, r.dst) for r in flows.collect()} == {(f"v{a:02}", f"v{b:02}") for a in n for b in n[a]}
+    sampled, taken, bound = P.betweenness_within(g, 0.01, first=4)
+    assert (taken, bound) == (15, 0.0)
+    assert {r.id: round(r.total, 9) for r in sampled.collect()} == {r.id: round(r.total, 9) for r in whole.collect()}
+    want = {f"v{v:02}": (sum(d := search(n, v)[0].values()), len(d) - 1) for v in range(15)}
+    assert {r.id: (r.far, r.reached) for r in P.hyperball(g).collect()} == want
+    assert {r.id: (r.far, r.reached) for r in P.closeness_exact(g, block=4).collect()} == {k: v for k, v in want.items() if v[1]}
+
+
+def test_directed_levels(spark):
+    """Edges one way, a cycle, and a second shortest path."""
+    g = make(spark, [(0, 1), (1, 2), (0, 3), (3, 2), (2, 4), (4, 0), (4, 5)], 6, False)
+    n = {0: [1, 3], 1: [2], 3: [2], 2: [4], 4: [0, 5], 5: []}
+    score = defaultdict(float)
+    found = {s: search(n, s) for s in range(6)}
+    for s, t in itertools.permutations(range(6), 2):
+        for v in {*range(6)} - {s, t}:
+            ds, ss = found[s]
+            if t in ds and v in ds and t in found[v][0] and ds[v] + found[v][0][t] == ds[t]:
+                score[v] += ss[v] * found[v][1][t] / ss[t]
+    got = {int(r.id[1:]): r.score for r in A.betweenness(g).collect()}
+    assert all(math.isclose(got[v], score[v], abs_tol=1e-9) for v in range(6))
+
+
+def test_sampled_betweenness_is_within_its_bound(spark):
+    """1,500 nodes round two hubs: fewer sources than all, an error within the bound, and the same result twice."""
+    random.seed(5)
+    edges = {tuple(sorted((random.choice([0, 1, random.randrange(1500)]), v))) for v in range(2, 1500) for _ in range(2)}
+    nodes = spark.createDataFrame([(f"v{i:04}", "n", "T") for i in range(1500)], "id string, name string, type string")
+    rows = [(f"v{a:04}", f"v{b:04}", 1.0) for a, b in edges if a != b]
+    g = Projection(nodes, spark.createDataFrame(rows + [(b, a, w) for a, b, w in rows], "src string, dst string, weight double"), True)
+    exact = {r.id: r.total for r in P.betweenness_exact(g)[0].collect()}
+    sampled, taken, bound = P.betweenness_within(g, 0.15, first=128)
+    got = {r.id: r.total for r in sampled.collect()}
+    assert taken < 1500 and 0 < bound <= 0.15
+    worst = max(abs(got.get(k, 0) - exact.get(k, 0)) / (1500 * 1499) for k in {*got, *exact})
+    assert worst <= bound
+    balls, whole = ({r.id: (r.far, r.reached) for r in df.collect()} for df in (P.hyperball(g), P.closeness_exact(g)))
+    assert balls.keys() >= whole.keys()
+    assert max(abs(balls[k][0] / whole[k][0] - 1) for k in whole) < 0.05
+
+
 def test_core_triangles_components(spark, pairs):
     n, g = near(pairs), make(spark, pairs, 15)
     core, left, k = {}, {v: set(n[v]) for v in range(15)}, 0
@@ -91,7 +142,12 @@ def test_communities(spark):
         assert sorted(sorted(int(r.id[1:]) for r in rows) for rows in _grouped(out)) == [list(r) for r in groups]
         assert A.modularity(g, out).first()[0] > 0.5
     tail = make(spark, [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 3)], 6)
-    assert {r.component for r in A.girvan_newman(tail, 2).collect()} == {"v00", "v03"}
+    levels, splits = A.girvan_newman(tail, 3)
+    assert {(r.splits, r.component) for r in levels.collect()} >= {(1, "v00"), (2, "v00"), (2, "v03")}
+    assert {r.component for r in A.best_cut(levels, splits).collect()} == {"v00", "v03"}
+    first = splits.filter("splits = 2").first()
+    assert (first.src, first.dst, first.score) == ("v02", "v03", 9.0) and abs(first.modularity - (2 * (6 / 14 - 0.25))) < 1e-12
+    assert levels.filter("splits = 3").select("component").distinct().count() == 3
     top = A.edge_betweenness(tail).orderBy(F.desc("score")).first()
     assert (top.src, top.dst, top.score) == ("v02", "v03", 9.0)
 
