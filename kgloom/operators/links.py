@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import operator
 from collections.abc import Callable
 
@@ -24,36 +25,106 @@ def degree(adj: DataFrame) -> DataFrame:
     return adj.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("d"))
 
 
-def pair_scores(adj: DataFrame, linked: bool = False) -> DataFrame:
-    """(a, b, common, adamic_adar, resource, da, db) of pairs a < b that share a neighbour; one wedge join for all measures."""
+#: Nodes of more neighbours have no order of neighbours made, so none is sorted in one task; all their neighbours count as light.
+_HEAVY = 4096
+_AA = F.when(F.col("dv") > 1, 1 / F.ln("dv")).otherwise(0.0)
+_WEIGHTS = {"common": F.lit(1.0), "adamic_adar": _AA, "resource": 1 / F.col("dv")}
+
+
+def _weighted(adj: DataFrame) -> DataFrame:
+    """(a, v, da, dv): each node's neighbours with both degrees."""
     d = degree(adj)
-    weighted = adj.join(d.withColumnRenamed("id", "b"), "b").select("a", "b", F.col("d").alias("dv"))
-    left, right = weighted.select(F.col("b").alias("via"), "a", "dv"), adj.select(F.col("a").alias("via"), "b")
-    wedges = left.join(right, "via").filter("a < b")
-    aa = F.when(F.col("dv") > 1, 1 / F.ln("dv")).otherwise(0.0)
-    pairs = wedges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.sum(aa).alias("adamic_adar"), F.sum(1 / F.col("dv")).alias("resource"))
-    if not linked:
-        pairs = exclude_linked(pairs, adj)
-    return pairs.join(d.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(d.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+    both = adj.join(d.withColumnRenamed("id", "b"), "b").withColumnRenamed("d", "dv").join(d.select(F.col("id").alias("a"), F.col("d").alias("da")), "a")
+    return both.select("a", F.col("b").alias("v"), "da", "dv")
+
+
+def _sums(common: DataFrame) -> DataFrame:
+    """All measures of pairs from their common neighbours (a, b, da, db, dv)."""
+    return common.groupBy("a", "b", "da", "db").agg(F.count(F.lit(1)).alias("common"), F.sum(_AA).alias("adamic_adar"), F.sum(1 / F.col("dv")).alias("resource"))
+
+
+def _of_pairs(weighted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All measures of the pairs (a, b, da, db): the end of fewer neighbours is looked up, and its neighbours in the other's."""
+    light = F.col("da") <= F.col("db")
+    ends = pairs.select("a", "b", "da", "db", F.when(light, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(light, F.col("b")).otherwise(F.col("a")).alias("y"))
+    out = ends.join(weighted.select(F.col("a").alias("x"), "v", "dv"), "x").join(weighted.select(F.col("a").alias("y"), "v"), ["y", "v"])
+    return _sums(out)
+
+
+def _candidates(weighted: DataFrame, measure: str, need: Column, reach: Column | None = None) -> DataFrame:
+    """(a, b, da, db) with a < b of all pairs whose ``measure`` may reach both ends' ``need`` (of ``da``).
+
+    Neighbours are ordered by degree, light ones first. The first common neighbour of a pair and what follows it in either end's order
+    bound the measure, so that neighbour is among those from which on an end's weights still sum up to its need. A hub comes last
+    everywhere, and its wedges are formed only for ends that it could carry alone. ``reach`` further limits da and db.
+    """
+    small = weighted.filter(F.col("da") <= _HEAVY)
+    rest = F.sum(_WEIGHTS[measure]).over(Window.partitionBy("a").orderBy(F.desc("dv"), F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = small.withColumn("rest", rest).filter(F.col("rest") >= need - 1e-9).drop("rest").unionByName(weighted.filter(F.col("da") > _HEAVY))
+    left, right = kept.select("v", "a", "da"), kept.select("v", F.col("a").alias("b"), F.col("da").alias("db"))
+    pairs = left.join(right, "v").filter("a < b")
+    return (pairs.filter(reach) if reach is not None else pairs).select("a", "b", "da", "db").distinct()
+
+
+def pair_scores(adj: DataFrame, linked: bool = False, measure: str = "common", need: Column | None = None, reach: Column | None = None) -> DataFrame:
+    """(a, b, common, adamic_adar, resource, da, db) of pairs a < b that share a neighbour.
+
+    With ``need`` at least those pairs whose ``measure`` reaches it (``_candidates``); without, one wedge join of all.
+    """
+    if need is None:
+        w = _weighted(adj)
+        left, right = w.select("v", "a", "da", "dv"), w.select("v", F.col("a").alias("b"), F.col("da").alias("db"))
+        pairs = _sums(left.join(right, "v").filter("a < b"))
+        pairs = pairs if linked else exclude_linked(pairs, adj)
+    else:
+        w = staged(_weighted(adj))
+        found = _candidates(w, measure, need, reach)
+        pairs = _of_pairs(w, found if linked else exclude_linked(found, adj))
+    return pairs.select("a", "b", "common", "adamic_adar", "resource", "da", "db")
 
 
 def _top(df: DataFrame, score: str, k: int) -> DataFrame:
     return df.orderBy(F.desc(score), "a", "b").limit(k)
 
 
+def _top_pairs(adj: DataFrame, k: int, measure: str, keep: Callable[[DataFrame], DataFrame] = lambda p: p, first: int = 16) -> DataFrame:
+    """(a, b, score) of the first ``k`` unlinked pairs that ``keep`` keeps by ``measure``, rounded to three digits, ties by ids.
+
+    What the neighbours of few neighbours carry is a lower bound of a pair's score; the k-th best of the most promising of these
+    pairs, scored in full, bounds the answer from below, and only pairs that can reach it are formed (``_candidates``).
+    Where light neighbours give fewer than k pairs, heavier ones join them.
+    """
+    w = staged(_weighted(adj))
+    most = w.agg(F.max("dv")).first()[0] or 0
+    score = F.round(F.col(measure).cast("double"), 3).alias("score")
+    scored = lambda pairs: keep(exclude_linked(pairs, adj)).select("a", "b", score)
+    while True:
+        light = w.filter(F.col("dv") <= first)
+        some = _sums(light.select("v", "a", "da", "dv").join(light.select("v", F.col("a").alias("b"), F.col("da").alias("db")), "v").filter("a < b"))
+        if first >= most:
+            return _top(scored(some), "score", k)
+        best = keep(exclude_linked(some, adj)).orderBy(F.desc(measure), "a", "b").limit(16 * k).select("a", "b", "da", "db")
+        found = _of_pairs(w, best).select(score).orderBy(F.desc("score")).limit(k).collect()
+        if len(found) == k:
+            break
+        first *= 8
+    # Half a unit of the last digit below the k-th: all pairs that round to as much are in.
+    return _top(scored(_of_pairs(w, keep(_candidates(w, measure, F.lit(found[-1][0] - 5e-4))))), "score", k)
+
+
 def lp_common_neighbors(adj: DataFrame, k: int = 20) -> DataFrame:
     """L1"""
-    return _top(pair_scores(adj).select("a", "b", F.col("common").alias("score")), "score", k)
+    return _top_pairs(adj, k, "common").select("a", "b", F.col("score").cast("long").alias("score"))
 
 
 def lp_adamic_adar(adj: DataFrame, k: int = 20) -> DataFrame:
     """L2"""
-    return _top(pair_scores(adj).select("a", "b", F.round("adamic_adar", 3).alias("score")), "score", k)
+    return _top_pairs(adj, k, "adamic_adar")
 
 
 def lp_resource_allocation(adj: DataFrame, k: int = 20) -> DataFrame:
     """L3"""
-    return _top(pair_scores(adj).select("a", "b", F.round("resource", 3).alias("score")), "score", k)
+    return _top_pairs(adj, k, "resource")
 
 
 def _hub_pairs(adj: DataFrame, k: int, scored: Callable[[DataFrame], DataFrame], bound: Callable[[int, int], int], first: int = 64) -> DataFrame:
@@ -122,26 +193,36 @@ def score_pair(adj: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def ghost_lines(adj: DataFrame, threshold: float = 0.5) -> DataFrame:
     """L8"""
-    return pair_scores(adj).filter(F.round("adamic_adar", 3) >= threshold).select("a", "b", F.least(F.round("adamic_adar", 3), F.lit(1.0)).alias("probability"))
+    return pair_scores(adj, measure="adamic_adar", need=F.lit(threshold - 5e-4)).filter(F.round("adamic_adar", 3) >= threshold).select("a", "b", F.least(F.round("adamic_adar", 3), F.lit(1.0)).alias("probability"))
 
 
 def lp_between_types(nodes: DataFrame, adj: DataFrame, source: str, target: str, k: int = 20) -> DataFrame:
     """From source type to target type."""
-    t = nodes.select("id", "type")
-    p = pair_scores(adj).select("a", "b", F.round("adamic_adar", 3).alias("score")).join(t.select(F.col("id").alias("a"), F.col("type").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("type").alias("tb")), "b")
-    p = p.filter(((F.col("ta") == source) & (F.col("tb") == target)) | ((F.col("ta") == target) & (F.col("tb") == source)))
-    flip = F.col("ta") != source
-    return _top(p.select(F.when(flip, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(flip, F.col("a")).otherwise(F.col("b")).alias("b"), "score"), "score", k)
+    t = nodes.filter(F.col("type").isin(source, target)).select("id", "type")
+
+    def between(pairs: DataFrame) -> DataFrame:
+        typed = pairs.join(t.select(F.col("id").alias("a"), F.col("type").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("type").alias("tb")), "b")
+        return typed.filter(((F.col("ta") == source) & (F.col("tb") == target)) | ((F.col("ta") == target) & (F.col("tb") == source)))
+
+    # Ties go by the ids in the order source, target, so pairs are turned before they are ranked.
+    def turned(pairs: DataFrame) -> DataFrame:
+        p = between(pairs)
+        flip = F.col("ta") != source
+        return p.withColumns({"a": F.when(flip, F.col("b")).otherwise(F.col("a")), "b": F.when(flip, F.col("a")).otherwise(F.col("b")), "da": F.when(flip, F.col("db")).otherwise(F.col("da")), "db": F.when(flip, F.col("da")).otherwise(F.col("db"))}).drop("ta", "tb")
+
+    return _top_pairs(adj, k, "adamic_adar", turned)
 
 
-def bs_common_neighbors(adj: DataFrame) -> DataFrame:
-    """L10"""
-    return pair_scores(adj).filter("common > 1").select("a", "b", F.least(F.col("common") / 10, F.lit(1.0)).alias("confidence"))
+def bs_common_neighbors(adj: DataFrame, least: float = 0.0) -> DataFrame:
+    """L10, as far as the confidence is at least ``least``."""
+    n = max(2, math.ceil(10 * least - 1e-9))
+    return pair_scores(adj, need=F.lit(n)).filter(F.col("common") >= n).select("a", "b", F.least(F.col("common") / 10, F.lit(1.0)).alias("confidence"))
 
 
-def bs_adamic_adar(adj: DataFrame) -> DataFrame:
-    """L11"""
-    return pair_scores(adj).filter(F.round("adamic_adar", 3) > 0.5).select("a", "b", F.round(F.least(F.col("adamic_adar") / 5, F.lit(1.0)), 3).alias("confidence"))
+def bs_adamic_adar(adj: DataFrame, least: float = 0.0) -> DataFrame:
+    """L11, as far as the confidence is at least ``least``."""
+    pairs = pair_scores(adj, measure="adamic_adar", need=F.lit(max(0.5, 5 * (min(least, 1.0) - 5e-4)))).filter(F.round("adamic_adar", 3) > 0.5)
+    return pairs.select("a", "b", F.round(F.least(F.col("adamic_adar") / 5, F.lit(1.0)), 3).alias("confidence")).filter(F.col("confidence") >= least)
 
 
 def bs_preferential(adj: DataFrame, k: int = 50) -> DataFrame:
@@ -153,13 +234,14 @@ def bs_preferential(adj: DataFrame, k: int = 50) -> DataFrame:
 def bs_jaccard(adj: DataFrame) -> DataFrame:
     """L13"""
     j = F.col("common") / (F.col("da") + F.col("db") - F.col("common"))
-    return pair_scores(adj).filter("common > 1").select("a", "b", F.round(j, 3).alias("confidence")).filter("confidence > 0.1")
+    # At 0.1 or more a tenth of either neighbourhood is common.
+    return pair_scores(adj, need=F.greatest(F.lit(2), F.col("da") / 10), reach=(F.col("da") <= 10 * F.col("db")) & (F.col("db") <= 10 * F.col("da"))).filter("common > 1").select("a", "b", F.round(j, 3).alias("confidence")).filter("confidence > 0.1")
 
 
 def discover(nodes: DataFrame, adj: DataFrame, min_confidence: float = 0.5, limit: int = 50) -> DataFrame:
     """L14, F13, A18's input: the three searches, each limited, the first that finds a pair keeps it."""
     a = lambda df, m: df.filter(F.col("confidence") >= min_confidence).orderBy(F.desc("confidence"), "a", "b").limit(limit).withColumn("method", F.lit(m))
-    found = first_seen([a(bs_common_neighbors(adj), "common_neighbors"), a(bs_adamic_adar(adj), "adamic_adar"), a(bs_preferential(adj, limit), "preferential_attachment")], ["a", "b"])
+    found = first_seen([a(bs_common_neighbors(adj, min_confidence), "common_neighbors"), a(bs_adamic_adar(adj, min_confidence), "adamic_adar"), a(bs_preferential(adj, limit), "preferential_attachment")], ["a", "b"])
     found = found.orderBy(F.desc("confidence"), "a", "b").limit(limit)
     t = nodes.select("id", "type")
     out = found.join(t.select(F.col("id").alias("a"), F.col("type").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("type").alias("tb")), "b")
@@ -180,13 +262,16 @@ def pair_similarity(adj: DataFrame, pairs: DataFrame, vectors: DataFrame | None
     return s.select("a", "b", F.round(j, 4).alias("jaccard"), F.round(o, 4).alias("overlap"), F.round(c, 4).alias("cosine"), F.round(combined_similarity(j, o, c), 4).alias("combined"))
 
 
-def _jaccard_pairs(adj: DataFrame) -> DataFrame:
-    return pair_scores(adj, linked=True).select("a", "b", (F.col("common") / (F.col("da") + F.col("db") - F.col("common"))).alias("similarity"))
+def _jaccard_pairs(adj: DataFrame, cutoff: float) -> DataFrame:
+    """(a, b, similarity) of all pairs at ``cutoff`` or more: that share of the larger neighbourhood is common, so the smaller has as many."""
+    reach = (F.col("da") * cutoff <= F.col("db")) & (F.col("db") * cutoff <= F.col("da"))
+    pairs = pair_scores(adj, linked=True, need=F.greatest(F.lit(1.0), F.col("da") * cutoff), reach=reach)
+    return pairs.select("a", "b", (F.col("common") / (F.col("da") + F.col("db") - F.col("common"))).alias("similarity")).filter(F.col("similarity") >= cutoff)
 
 
 def node_similarity(adj: DataFrame, top_k: int = 10, cutoff: float = 0.1) -> DataFrame:
     """Each node's most similar nodes by neighbourhood; both directions."""
-    p = _jaccard_pairs(adj).filter(F.col("similarity") >= cutoff)
+    p = staged(_jaccard_pairs(adj, cutoff))
     both = p.union(p.select("b", "a", "similarity"))
     r = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
     return both.withColumn("rank", r).filter(F.col("rank") <= top_k).select("a", "b", F.round("similarity", 4).alias("similarity"), "rank")
@@ -203,7 +288,7 @@ def find_similar(adj: DataFrame, id_: str, k: int = 10) -> DataFrame:
 
 def similar_pairs(adj: DataFrame, cutoff: float = 0.5, k: int = 100) -> DataFrame:
     """L18"""
-    return _top(_jaccard_pairs(adj).filter(F.col("similarity") >= cutoff).select("a", "b", F.round("similarity", 4).alias("similarity")), "similarity", k)
+    return _top(_jaccard_pairs(adj, cutoff).select("a", "b", F.round("similarity", 4).alias("similarity")), "similarity", k)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int, halved: bool = False, itself: bool = False, rows: int = 8192, asked: int = 512) -> DataFrame:

@@ -74,10 +74,10 @@ def _(s, d):
 
 def _levels_sql(depth: int = 12) -> str:
     """f0, f1, ...: sources, nodes and numbers of shortest paths by distance."""
-    parts = [", tr AS MATERIALIZED (SELECT a, b FROM adj), f0 AS MATERIALIZED (SELECT id AS s, id, 1.0::DOUBLE AS p FROM nodes)"]
+    parts = [", nn AS MATERIALIZED (SELECT id AS name, row_number() OVER (ORDER BY id)::INTEGER AS id FROM nodes), nt AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM adj JOIN nn x ON x.name = a JOIN nn y ON y.name = b), f0 AS MATERIALIZED (SELECT id AS s, id, 1.0::DOUBLE AS p FROM nn)"]
     for i in range(1, depth + 1):
         old = " ".join(f"ANTI JOIN f{j} USING (s, id)" for j in range(max(0, i - 2), i))
-        parts.append(f"f{i} AS MATERIALIZED (SELECT * FROM (SELECT s, b AS id, sum(p) AS p FROM f{i - 1} JOIN tr ON id = a GROUP BY 1, 2) {old})")
+        parts.append(f"f{i} AS MATERIALIZED (SELECT * FROM (SELECT s, b AS id, sum(p) AS p FROM f{i - 1} JOIN nt ON id = a GROUP BY 1, 2) {old})")
     return ", ".join(parts)
 
 
@@ -85,10 +85,10 @@ def _dependency_sql(depth: int = 12) -> str:
     """d0, d1, ...: the same with dependencies; bt: half of each node's sum; eb: half of the flow over each edge."""
     parts = [f"{_levels_sql(depth)}, d{depth} AS MATERIALIZED (SELECT s, id, p, 0.0::DOUBLE AS d FROM f{depth})"]
     for i in range(depth - 1, -1, -1):
-        parts.append(f"h{i} AS MATERIALIZED (SELECT v.s, v.id, w.id AS w, v.p * (1 + w.d) / w.p AS x FROM d{i + 1} w JOIN tr ON a = w.id JOIN f{i} v ON v.s = w.s AND v.id = b), d{i} AS MATERIALIZED (SELECT s, id, p, coalesce(x, 0) AS d FROM f{i} LEFT JOIN (SELECT s, id, sum(x) AS x FROM h{i} GROUP BY 1, 2) USING (s, id))")
+        parts.append(f"h{i} AS MATERIALIZED (SELECT v.s, v.id, w.id AS w, v.p * (1 + w.d) / w.p AS x FROM d{i + 1} w JOIN nt ON a = w.id JOIN f{i} v ON v.s = w.s AND v.id = b), d{i} AS MATERIALIZED (SELECT s, id, p, coalesce(x, 0) AS d FROM f{i} LEFT JOIN (SELECT s, id, sum(x) AS x FROM h{i} GROUP BY 1, 2) USING (s, id))")
     sums, flows = (" UNION ALL ".join(t.format(i) for i in r) for t, r in (("SELECT id, sum(d) AS d FROM d{} GROUP BY 1", range(1, depth + 1)), ("SELECT least(id, w) AS src, greatest(id, w) AS dst, sum(x) AS x FROM h{} GROUP BY 1, 2", range(depth))))
-    parts.append(f"bt AS (SELECT nodes.id, coalesce(sum(d), 0) / 2 AS score FROM nodes LEFT JOIN ({sums}) z ON nodes.id = z.id GROUP BY 1)")
-    parts.append(f"eb AS (SELECT src, dst, sum(x) / 2 AS score FROM ({flows}) GROUP BY 1, 2)")
+    parts.append(f"bt AS (SELECT name AS id, coalesce(sum(d), 0) / 2 AS score FROM nn LEFT JOIN ({sums}) z ON nn.id = z.id GROUP BY 1)")
+    parts.append(f"eb AS (SELECT least(x.name, y.name) AS src, greatest(x.name, y.name) AS dst, sum(z.x) / 2 AS score FROM ({flows}) z JOIN nn x ON x.id = src JOIN nn y ON y.id = dst GROUP BY 1, 2)")
     return ", ".join(parts)
 
 
@@ -122,7 +122,7 @@ def _(s, d):
     return A.betweenness(undirected(s, d), error=0.05)
 
 
-@query("g4_closeness", _levels_sql() + ", z AS (" + " UNION ALL ".join(f"SELECT s, {i} AS d FROM f{i}" for i in range(1, 13)) + ") SELECT s AS id, round(count(*) * count(*)::DOUBLE / (sum(d) * ((SELECT count(*) FROM nodes) - 1.0)), 6) AS score FROM z GROUP BY 1")
+@query("g4_closeness", _levels_sql() + ", z AS (" + " UNION ALL ".join(f"SELECT s, {i} AS d FROM f{i}" for i in range(1, 13)) + ") SELECT name AS id, round(count(*) * count(*)::DOUBLE / (sum(d) * ((SELECT count(*) FROM nodes) - 1.0)), 6) AS score FROM z JOIN nn ON s = nn.id GROUP BY 1")
 def _(s, d):
     return A.closeness(undirected(s, d)).select("id", F.round("score", 6).alias("score"))
 
@@ -308,7 +308,7 @@ _BROKERS = _CONSTRAINT.rsplit(")\nSELECT", 1)[0] + """), cs AS (SELECT w.i AS id
 SELECT id, round(x, 5) AS "constraint", round(score + 3e-5, 3) AS score FROM cs JOIN bt USING (id) ORDER BY round(x, 6), round(score, 6) DESC, id LIMIT 10"""
 
 
-@query("g25_brokers", _dependency_sql() + _BROKERS)
+@query("g25_brokers", _dependency_sql() + ", tr AS MATERIALIZED (SELECT a, b FROM adj)" + _BROKERS)
 def _(s, d):
     return A.brokers(undirected(s, d), betweenness(s, d)[0]).select("id", F.round("constraint", 5).alias("constraint"), _even("score"))
 
