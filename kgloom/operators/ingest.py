@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom.functions.columns import merge_maps
 from kgloom.operators.relational import link_relationships, valid_edges
+from kgloom.operators.textjoin import alike
 
 #: Entity and relationship types that every folder starts with.
 DEFAULT_ENTITY_TYPES = ("Person", "Organization", "Location", "Concept", "Event", "Product")
@@ -126,14 +127,14 @@ def reconcile_entities(ents: DataFrame, existing: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("known", "canonical").alias("canonical"), F.col("known").isNotNull().alias("matched"))
 
 
-def fuzzy_matches(ents: DataFrame, threshold: float = 0.85, block: int = 4) -> DataFrame:
-    """Pairs of one type and name start with a small edit distance: (a, b, likeness). Equal names are one entity already."""
+def fuzzy_matches(ents: DataFrame, threshold: float = 0.85, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Pairs of one type whose names are alike at the threshold: (a, b, likeness). Equal names are one entity already.
+
+    ``judge`` is the caller's: it gets (a, b, type, na, nb, likeness) and keeps what it takes for the same entity.
+    """
     x = ents.groupBy(F.lower("name").alias("name"), "type").agg(F.min("id").alias("id"))
-    key = F.substring("name", 1, block)
-    a = x.select(F.col("id").alias("a"), F.col("name").alias("na"), "type", key.alias("k"))
-    b = x.select(F.col("id").alias("b"), F.col("name").alias("nb"), "type", key.alias("k"))
-    like = 1 - F.levenshtein("na", "nb") / F.greatest(F.length("na"), F.length("nb"))
-    return a.join(b, ["type", "k"]).filter("na < nb").select("a", "b", F.round(like, 4).alias("likeness")).filter(F.col("likeness") >= threshold)
+    pairs = alike(x, threshold)
+    return (judge(pairs) if judge else pairs).select("a", "b", "likeness")
 
 
 def validate_entities(ents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -161,8 +162,10 @@ def needs_review(summary: DataFrame, auto_approve: bool, policy: str = "issues")
     return summary.withColumn("needs_review", need)
 
 
-def embed(df: DataFrame, text: str, dim: int = 256, out: str = "embedding") -> DataFrame:
-    """I17's default embedder: hashed, weighted words of unit length."""
+def embed(df: DataFrame, text: str, dim: int = 256, out: str = "embedding", embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Hashed, weighted words of unit length; or what ``embedder``, the caller's, makes of the text column (a pandas_udf, say)."""
+    if embedder:
+        return df.withColumn(out, embedder(F.coalesce(text, F.lit(""))))
     words = df.withColumn("_w", F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     p = Pipeline(stages=[HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dim), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_n")])
     return p.fit(words).transform(words).withColumn(out, vector_to_array("_n")).drop("_w", "_tf", "_idf", "_n")

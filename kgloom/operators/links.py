@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom.functions.columns import combined_similarity, cosine, predicted_type
-from kgloom.operators.relational import exclude_linked, first_seen, running_before
+from kgloom.operators.relational import exclude_linked, first_seen, numbered, running_before
 from kgloom.sources.graph import Projection, adjacency
 from kgloom.sources.stage import staged
 
@@ -27,8 +27,13 @@ def degree(adj: DataFrame) -> DataFrame:
 
 #: Nodes of more neighbours have no order of neighbours made, so none is sorted in one task; all their neighbours count as light.
 _HEAVY = 4096
-_AA = F.when(F.col("dv") > 1, 1 / F.ln("dv")).otherwise(0.0)
-_WEIGHTS = {"common": F.lit(1.0), "adamic_adar": _AA, "resource": 1 / F.col("dv")}
+
+
+def _weight(measure: str) -> Column:
+    """What a common neighbour of ``dv`` neighbours adds to a measure."""
+    if measure == "adamic_adar":
+        return F.when(F.col("dv") > 1, 1 / F.ln("dv")).otherwise(0.0)
+    return 1 / F.col("dv") if measure == "resource" else F.lit(1.0)
 
 
 def _weighted(adj: DataFrame) -> DataFrame:
@@ -40,7 +45,7 @@ def _weighted(adj: DataFrame) -> DataFrame:
 
 def _sums(common: DataFrame) -> DataFrame:
     """All measures of pairs from their common neighbours (a, b, da, db, dv)."""
-    return common.groupBy("a", "b", "da", "db").agg(F.count(F.lit(1)).alias("common"), F.sum(_AA).alias("adamic_adar"), F.sum(1 / F.col("dv")).alias("resource"))
+    return common.groupBy("a", "b", "da", "db").agg(F.count(F.lit(1)).alias("common"), F.sum(_weight("adamic_adar")).alias("adamic_adar"), F.sum(_weight("resource")).alias("resource"))
 
 
 def _of_pairs(weighted: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -59,7 +64,7 @@ def _candidates(weighted: DataFrame, measure: str, need: Column, reach: Column |
     everywhere, and its wedges are formed only for ends that it could carry alone. ``reach`` further limits da and db.
     """
     small = weighted.filter(F.col("da") <= _HEAVY)
-    rest = F.sum(_WEIGHTS[measure]).over(Window.partitionBy("a").orderBy(F.desc("dv"), F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rest = F.sum(_weight(measure)).over(Window.partitionBy("a").orderBy(F.desc("dv"), F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     kept = small.withColumn("rest", rest).filter(F.col("rest") >= need - 1e-9).drop("rest").unionByName(weighted.filter(F.col("da") > _HEAVY))
     left, right = kept.select("v", "a", "da"), kept.select("v", F.col("a").alias("b"), F.col("da").alias("db"))
     pairs = left.join(right, "v").filter("a < b")
@@ -360,7 +365,63 @@ def degree_distribution(degrees: DataFrame, least: int = 1) -> DataFrame:
     return fit.crossJoin(gaps.agg(F.max("gap").alias("ks"))).select(F.col("total").alias("nodes"), F.round("mean", 4).alias("mean"), "most", F.round("alpha", 4).alias("alpha"), F.round("ks", 4).alias("ks"))
 
 
-power_law_test = degree_distribution
+def _resampling(parts: dict[str, np.ndarray], alpha: float, least: int, n: int, below: int, seed: int) -> Callable:
+    """For each sample number: the distance of a fresh sample's own best fit, half drawn from the data below ``least``, half from the law."""
+
+    def run(batches):
+        values, weights = parts["degree"], parts["n"].astype(float)
+        small = values < least
+        for b in batches:
+            found = []
+            for i in b.column("id").to_pylist():
+                rng = np.random.default_rng([seed, i])
+                low = rng.binomial(n, below / n)
+                drawn = rng.choice(values[small], low, p=weights[small] / weights[small].sum()) if low else np.zeros(0, np.int64)
+                law = np.floor((least - 0.5) * (1 - rng.random(n - low)) ** (-1 / (alpha - 1)) + 0.5)
+                v, c = np.unique(np.minimum(np.concatenate([drawn, law]), 2.0**53), return_counts=True)
+                found.append(_best_fit(v, c)[2])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.float64())], ["id", "ks"])
+
+    return run
+
+
+def _best_fit(values: np.ndarray, counts: np.ndarray) -> tuple[float, int, float]:
+    """(alpha, least, distance) of a power law from the lower bound whose distance is least, over distinct values and their counts."""
+    best = (math.nan, 0, math.inf)
+    logs = counts * np.log(values)
+    # One distinct value, or two, is no tail.
+    for i in range(len(values) - 2):
+        n, x = counts[i:].sum(), values[i] - 0.5
+        total = logs[i:].sum() - n * math.log(x)
+        alpha = 1 + n / total if total > 0 else math.inf
+        if not math.isfinite(alpha):
+            continue
+        gap = np.abs(np.cumsum(counts[i:]) / n - (1 - ((values[i:] + 0.5) / x) ** (1 - alpha))).max()
+        if gap < best[2] - 1e-12:
+            best = (alpha, int(values[i]), float(gap))
+    return best
+
+
+def power_law_test(degrees: DataFrame, samples: int = 200, significance: float = 0.05, seed: int = 42) -> DataFrame:
+    """One row (alpha, least, ks, tail, p_value, plausible) for the hypothesis that degrees (id, degree) follow a power law.
+
+    The lower bound is the degree from which the law fits best (Kolmogorov-Smirnov distance); the p-value is the share of samples of as many
+    degrees, drawn from the fitted law above the bound and from the data below it, each with its own best fit, that fit worse. The
+    samples are drawn in parallel; the driver and each task hold the table of distinct degrees and their numbers, and a task one
+    sample at a time, compressed to distinct degrees. Degrees under 1 are left out; an empty table gives no row.
+    """
+    spark = degrees.sparkSession
+    rows = degrees.filter("degree >= 1").groupBy("degree").agg(F.count(F.lit(1)).alias("n")).orderBy("degree").collect()
+    kind = "alpha double, least long, ks double, tail long, p_value double, plausible boolean"
+    values, counts = (np.array([r[c] for r in rows], np.float64) for c in ("degree", "n"))
+    if not rows:
+        return spark.createDataFrame([], kind)
+    alpha, least, ks = _best_fit(values, counts)
+    n, below = int(counts.sum()), int(counts[values < least].sum())
+    if not math.isfinite(alpha):
+        return spark.createDataFrame([(None, None, None, n, 0.0, False)], kind)
+    drawn = spark.range(0, samples, 1, min(samples, spark.sparkContext.defaultParallelism)).mapInArrow(_resampling({"degree": values, "n": counts}, alpha, least, n, below, seed), "id long, ks double")
+    return drawn.agg(F.avg((F.col("ks") >= ks).cast("double")).alias("p")).select(F.round(F.lit(alpha), 4).alias("alpha"), F.lit(least).cast("long").alias("least"), F.round(F.lit(ks), 4).alias("ks"), F.lit(n - below).cast("long").alias("tail"), F.col("p").alias("p_value"), (F.col("p") >= significance).alias("plausible"))
 
 
 def completeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -389,6 +450,53 @@ def missing_transitive(edges: DataFrame) -> DataFrame:
     return chain.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")).join(e.select(F.col("src").alias("a"), F.col("dst").alias("c")), ["a", "c"], "left_anti")
 
 
+def missing_semantic(vectors: DataFrame, edges: DataFrame, queries: DataFrame, least: float = 0.7, k: int = 10) -> DataFrame:
+    """(a, b, similarity): nearest neighbours of the queries, a stated set, at ``least`` or more that no edge links."""
+    near = knn(vectors, queries, k).filter(F.col("similarity") >= least).select(F.col("query").alias("a"), F.col("id").alias("b"), "similarity")
+    return near.join(adjacency(edges), ["a", "b"], "left_anti")
+
+
+def knn_graph(vectors: DataFrame, k: int = 10, rounds: int = 12, still: float = 0.001) -> DataFrame:
+    """(id, neighbor, similarity, rank): an approximate nearest-neighbour graph of all vectors by descent along neighbours.
+
+    Every node begins with neighbours picked by hash. Each round it meets the neighbours of its neighbours, and of those that hold it as
+    one, and keeps the best 2 k, of which the first k are returned; a node that very many hold is met by the 4 k of them that come
+    first by hash. Rounds end when less than ``still`` of the lists changed. No more than 36 k^2 pairs a node are formed in a round.
+    Vectors are (id, embedding); null and zero ones are left out.
+    """
+    asked, k = k, 2 * k
+    v = vectors.filter("embedding is not null").select("id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
+    v = staged(v.withColumn("n", norm).filter("n > 0").select("id", F.transform("e", lambda x: x / F.col("n")).alias("e")))
+    places = staged(numbered(v.select("id"), [], [F.col("id")], "n").select("id", (F.col("n") - 1).alias("slot")))
+    n = places.count()
+    own = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbor")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        x = pairs.join(v.withColumnRenamed("e", "ea"), "id").join(v.select(F.col("id").alias("neighbor"), F.col("e").alias("eb")), "neighbor")
+        dot = F.aggregate(F.zip_with("ea", "eb", lambda p, q: p * q), F.lit(0.0), lambda s, y: s + y)
+        return x.select("id", "neighbor", dot.alias("similarity"))
+
+    def first(rows: DataFrame) -> DataFrame:
+        return staged(rows.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k))
+
+    picks = places.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select("id", F.pmod(F.xxhash64("id", "j"), F.lit(max(n, 1))).alias("slot"))
+    lists = first(scored(picks.join(places.withColumnRenamed("id", "neighbor"), "slot").filter("id <> neighbor").select("id", "neighbor").distinct()))
+    for r in range(rounds):
+        link = lists.select("id", "neighbor")
+        held = link.select(F.col("neighbor").alias("id"), F.col("id").alias("neighbor"))
+        held = held.withColumn("h", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("neighbor", F.lit(r)), "neighbor"))).filter(F.col("h") <= 2 * k).select("id", "neighbor")
+        both = staged(link.union(held).distinct())
+        met = both.join(both.select(F.col("id").alias("neighbor"), F.col("neighbor").alias("next")), "neighbor").filter("id <> next").select("id", F.col("next").alias("neighbor")).union(held).distinct()
+        fresh = scored(met.join(link, ["id", "neighbor"], "left_anti"))
+        now = first(lists.select("id", "neighbor", "similarity").unionByName(fresh))
+        moved = now.join(link, ["id", "neighbor"], "left_anti").count()
+        lists = now
+        if moved <= still * max(1, n * k):
+            break
+    return lists.filter(F.col("rank") <= asked)
+
+
 def type_lift(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """How much more often two types are linked than their shares suggest."""
     t = nodes.select("id", "type")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom.functions.columns import clean_label, grade, health_status
+from kgloom.operators.textjoin import contained
 from kgloom.sources.graph import adjacency, first_per
 from kgloom.sources.stage import staged
 
@@ -210,10 +211,11 @@ def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def match_states(states: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(state, id) where either text holds the other. ``states`` is a small list of phrases (it is broadcast by size)."""
+    """(state, id) where either text holds the other."""
     n = nodes.select("id", F.lower("name").alias("_n"))
     s = states.select("state", F.lower("state").alias("_s"))
-    return n.join(s, F.contains(F.col("_n"), F.col("_s")) | F.contains(F.col("_s"), F.col("_n"))).select("state", "id")
+    both = contained(n, "_n", s, "_s").select("state", "id").union(contained(s, "_s", n, "_n").select("state", "id"))
+    return both.distinct()
 
 
 def find_interventions(matched: DataFrame, edges: DataFrame, to_property: str, to_intervention: str, k: int = 10) -> DataFrame:

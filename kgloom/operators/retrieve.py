@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from kgloom.functions.columns import hash_unit, query_terms
 from kgloom.operators.links import degree, nearest
 from kgloom.operators.relational import numbered
+from kgloom.operators.textjoin import contained
 from kgloom.sources.graph import adjacency
 
 
@@ -43,7 +44,7 @@ def lexical_search(nodes: DataFrame, questions: DataFrame, score: float = 0.85,
     """Entities whose name or description holds a term of the question; (query, id, score), k by id."""
     terms = questions.select("query", F.explode(query_terms(F.col("q"))).alias("term")).filter("term <> ''")
     n = nodes.select("id", F.lower(F.concat_ws(" ", "name", "description")).alias("t"))
-    hit = n.join(terms, F.contains(F.col("t"), F.col("term"))).select("query", "id").distinct()
+    hit = contained(n, "t", terms, "term").select("query", "id").distinct()
     r = F.row_number().over(Window.partitionBy("query").orderBy("id"))
     return hit.withColumn("r", r).filter(F.col("r") <= k).select("query", "id", F.lit(score).alias("score"))
 
@@ -52,7 +53,7 @@ def neighbor_search(nodes: DataFrame, edges: DataFrame, questions: DataFrame, sc
     """Neighbours of entities that match a term."""
     terms = questions.select("query", F.explode(query_terms(F.col("q"))).alias("term")).filter("term <> ''")
     n = nodes.select("id", F.lower("name").alias("t"))
-    hit = n.join(terms, F.contains(F.col("t"), F.col("term"))).select("query", "id").distinct()
+    hit = contained(n, "t", terms, "term").select("query", "id").distinct()
     near = hit.join(adjacency(edges), F.col("id") == F.col("a")).select("query", F.col("b").alias("id")).distinct()
     r = F.row_number().over(Window.partitionBy("query").orderBy("id"))
     return near.withColumn("r", r).filter(F.col("r") <= k).select("query", "id", F.lit(score).alias("score"))

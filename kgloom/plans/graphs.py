@@ -486,6 +486,23 @@ def _(s, d):
     return L.co_mentions(lines.select(F.concat(F.lit("c"), "o_custkey").alias("chunk_id"), F.concat(F.lit("p"), "l_partkey").alias("id")), G.graph_edges(s, d), 4)
 
 
+@query("l23_missing_semantic", ", v AS (SELECT 's' || vec_id AS id, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.id AS a, v.id AS b, list_cosine_similarity(q.e, v.e) AS c FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.id <> v.id), r AS (SELECT a, b, round(c, 5) AS similarity, row_number() OVER (PARTITION BY a ORDER BY round(c, 6) DESC, b) AS rank FROM p) SELECT a, b, similarity FROM r WHERE rank <= 10 AND similarity >= 0.3 AND NOT EXISTS (SELECT 1 FROM adj WHERE adj.a = r.a AND adj.b = r.b)")
+def _(s, d):
+    v = G.read_table(s, d, "embeddings").select(F.concat(F.lit("s"), "vec_id").alias("id"), "vec_id", "embedding")
+    return L.missing_semantic(v.select("id", "embedding"), G.graph_edges(s, d), v.filter("vec_id % 50 = 0").select("id", "embedding"), 0.3)
+
+
+@query("l23_knn_graph")
+def _(s, d):
+    return L.knn_graph(G.read_table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+
+
+@query("l24_power_law_test")
+def _(s, d):
+    n, e = both(s, d)
+    return L.power_law_test(R.degrees(n, e, "distinct"))
+
+
 @query("l24_chi_square", ", n AS (SELECT l_returnflag AS x, l_linestatus AS y, count(*) AS n FROM lineitem GROUP BY 1, 2), r AS (SELECT x, sum(n) AS r FROM n GROUP BY 1), c AS (SELECT y, sum(n) AS c FROM n GROUP BY 1), e AS (SELECT r.x, c.y, coalesce(n, 0) AS n, r * c / (SELECT sum(n)::DOUBLE FROM n) AS e FROM r CROSS JOIN c LEFT JOIN n ON n.x = r.x AND n.y = c.y) SELECT round(sum((n - e) * (n - e) / e), 4) AS statistic, (count(DISTINCT x) - 1) * (count(DISTINCT y) - 1) AS degrees FROM e")
 def _(s, d):
     return L.chi_square(G.read_table(s, d, "lineitem"), "l_returnflag", "l_linestatus")

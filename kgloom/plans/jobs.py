@@ -265,9 +265,9 @@ def _(s, d):
     return I.reconcile_entities(n.withColumn("id", F.concat(F.lit("x"), "id")).withColumn("seq", F.lit(0)), n.filter("type <> 'Supplier'"))
 
 
-@query("i12_fuzzy_matches", ", x AS (SELECT lower(name) AS n, type, min(id) AS id FROM nodes WHERE type <> 'Customer' GROUP BY 1, 2) SELECT a.id AS a, b.id AS b, round(1 - levenshtein(a.n, b.n)::DOUBLE / greatest(length(a.n), length(b.n)), 4) AS likeness FROM x a JOIN x b ON a.type = b.type AND substr(a.n, 1, 4) = substr(b.n, 1, 4) AND a.n < b.n WHERE round(1 - levenshtein(a.n, b.n)::DOUBLE / greatest(length(a.n), length(b.n)), 4) >= 0.85")
+@query("i12_fuzzy_matches", ", x AS (SELECT lower(name) AS n, type, min(id) AS id FROM nodes GROUP BY 1, 2) SELECT a.id AS a, b.id AS b, round(1 - levenshtein(a.n, b.n)::DOUBLE / greatest(length(a.n), length(b.n)), 4) AS likeness FROM x a JOIN x b ON a.type = b.type AND a.n < b.n WHERE round(1 - levenshtein(a.n, b.n)::DOUBLE / greatest(length(a.n), length(b.n)), 4) >= 0.85")
 def _(s, d):
-    return I.fuzzy_matches(G.graph_nodes(s, d).filter("type <> 'Customer'"))
+    return I.fuzzy_matches(G.graph_nodes(s, d))
 
 
 _VAL = "WITH c AS (SELECT item_id, text, doc_id FROM benchmark LEFT JOIN (SELECT doc_id, text AS content FROM documents) d ON d.doc_id = item_id), v AS (SELECT item_id AS id, CASE WHEN item_id % 7 = 0 THEN 'missing_name' WHEN NOT coalesce(contains(lower(d.text), lower(substr(b.text, 1, 12))) OR contains(d.text, substr(b.text, 1, 50)), false) THEN 'no_evidence' END AS issue FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id) SELECT id, issue, CASE issue WHEN 'missing_name' THEN 'critical' WHEN 'no_evidence' THEN 'warning' END AS severity, CASE issue WHEN 'missing_name' THEN 0.0::DOUBLE WHEN 'no_evidence' THEN 0.6::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM v"
@@ -438,8 +438,7 @@ def _(s, d):
 @query("m3_m4_link_prediction")
 def _(s, d):
     g = undirected(s, d)
-    v = M.staged(M.fastrp(g, 32))
-    model, _ = M.train_link_prediction(g, v)
+    model, v, _ = M.train_link_prediction(g, lambda left: M.fastrp(left, 32))
     return M.predict_links(model, v, g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
