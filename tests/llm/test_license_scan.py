@@ -100,3 +100,32 @@ def test_classifier_against_recomputation(spark, model):
         assert abs(1 / (1 + math.exp(-(math.log((1 - other) / other) * model.slope + model.shift))) - r.probability) < 2e-6
         shares = {k: max(len(set(n(2)) & set(ls._pairs(t))) / len(ls._pairs(t)) for t in some) for k, some in ls.TEMPLATES.items()}
         assert abs(shares[r.family] - r.likeness) < 2e-6 and r.likeness >= 0.6
+
+
+def test_versions_modifiers_and_several_licences(spark, model):
+    """The version and all modifiers decide; what no family has is unknown or nothing; two licences of one text are both named."""
+    said = [
+        ({"lgpl"}, "Licensed under the GNU Lesser General Public License, version 2.1"), ({"cc-by-nc-sa-4.0"}, "Licensed under CC BY-NC-SA 4.0"), ({"cc-by-nd-4.0"}, "This work is licensed under CC BY-ND 4.0."),
+        ({"gpl-2.0"}, "Distributed under the GNU GPL version 2 or later"), ({"cc-by-sa-4.0"}, "This work is CC BY-SA 4.0"), ({"gpl-3.0"}, "released under GPLv3"), ({"epl-2.0"}, "Licensed under the Eclipse Public License, version 2.0."),
+        ({"mit", "apache-2.0"}, "Dual licensed under the MIT license or the Apache License, Version 2.0"), ({"bsl-1.0"}, "Distributed under the Boost Software License, Version 1.0."),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(said)], "doc_id long, text string")
+    got: dict = {}
+    for r in ls.license_scan(df, model).collect():
+        got.setdefault(r.doc_id, set()).add(r.family)
+    assert [got.get(i) for i in range(len(said))] == [f for f, _ in said]
+    others = ["Licensed under CC BY-ND 3.0", "This work is licensed under the GNU General Public License, version 1.", "Licensed under the Apache License, Version 1.1."]
+    named = {r.family for r in ls.license_scan(spark.createDataFrame(list(enumerate(others)), "doc_id long, text string"), model).collect()}
+    assert named <= {ls.UNKNOWN}
+
+
+def test_family_is_the_best_class(spark, model):
+    """Families recomputed from the coefficients: the classifier names, templates only confirm."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    beta, intercept = model.model.coefficientMatrix.toArray(), model.model.interceptVector.toArray()
+    tf = HashingTF(numFeatures=ls._DIMENSIONS, binary=True)
+    for r in ls.license_scan(docs, model).limit(60).collect():
+        w = [x for x in re.split(ls._BREAK, r.paragraph.lower()) if x]
+        n = lambda k: [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)]  # noqa: B023, E731
+        z = beta[:, sorted({tf.indexOf(t) for t in n(1) + n(2) + n(3)})].sum(axis=1) + intercept
+        assert ls._CLASSES[int(np.argmax(z[:-1]))] == r.family
