@@ -14,6 +14,7 @@ from kgloom.plans.sql import over
 from kgloom.sources import files as S
 from kgloom.sources import graph as G
 from kgloom.sources.stage import scratch
+from kgloom.sources.views import register_views
 from kgloom.streaming import jobs as T
 
 QUERIES: dict = {}
@@ -449,6 +450,30 @@ def _(s, d):
     return M.predict_types(model, v)
 
 
+# --- the graph in Spark SQL ------------------------------------------------------------------------------------------------
+
+
+def viewed(s, d):
+    n, e = both(s, d)
+    register_views(s, n, e, "kg_")
+    return s
+
+
+@query("v1_sql_neighbours", "SELECT n.id, n.name, n.type FROM adj JOIN nodes n ON n.id = b WHERE a = 's5'")
+def _(s, d):
+    return viewed(s, d).sql("SELECT * FROM kg_neighbours('s5')")
+
+
+@query("v2_sql_expand", ", t(id, d) AS (SELECT 'c7', 0 UNION SELECT b, d + 1 FROM t JOIN adj ON id = a WHERE d < 2) SELECT id, min(d) AS hops FROM t GROUP BY 1", recursive=True)
+def _(s, d):
+    return viewed(s, d).sql("SELECT * FROM kg_expand('c7', 2)")
+
+
+@query("v3_sql_path", ", t(p, id, d) AS (SELECT 'c7', 'c7', 0 UNION ALL SELECT p || ' > ' || b, b, d + 1 FROM t JOIN adj ON id = a WHERE d < 4 AND id <> 's5') SELECT p AS path, d AS hops FROM t WHERE id = 's5' ORDER BY d, p LIMIT 1", recursive=True)
+def _(s, d):
+    return viewed(s, d).sql("SELECT * FROM kg_path('c7', 's5')")
+
+
 # --- streaming jobs in their batch form ----------------------------------------------------------------------------------
 
 
