@@ -1,6 +1,8 @@
 """Entry points, files, streams and models."""
 
 import json
+import os
+import random
 
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
@@ -62,6 +64,60 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sum(seen) == events.count()
 
 
+def test_replayed_batches_merge_once(spark, tmp_path):
+    """A batch that is played again, whole or after a death half-way, is there once."""
+    rows = spark.range(20)
+    merge = T.merged_once(str(tmp_path / "t"))
+    merge(rows, 0), merge(rows, 0), merge(spark.range(20, 25), 1)
+    (tmp_path / "t/batch=2").mkdir()
+    (tmp_path / "t/batch=2/part-0.parquet").write_bytes(b"torn")
+    merge(spark.range(25, 30), 2)
+    assert sorted(r.id for r in T.ingested(spark, str(tmp_path / "t")).collect()) == list(range(30))
+    spark.range(50).write.parquet(str(tmp_path / "in"))
+    stream = T.read_stream(spark, str(tmp_path / "in"), rows)
+    for _ in range(2):
+        T.ingest_stream(stream, T.merged_once(str(tmp_path / "s")), str(tmp_path / "ck")).awaitTermination(120)
+    # The checkpoint is lost: the source is read from the beginning, and its first batch is known.
+    T.ingest_stream(stream, T.merged_once(str(tmp_path / "s")), str(tmp_path / "ck2")).awaitTermination(120)
+    assert T.ingested(spark, str(tmp_path / "s")).count() == 50
+
+
+def test_silent_members_drop_out(spark, tmp_path):
+    """Signs in shuffled order over several files; a last sign far ahead moves the watermark past the silent ones' timers."""
+    random.seed(3)
+    kinds = ["signup", "view", "click", "error"]
+    rows = [(i, 1_700_000_000 + i * 7 + random.randint(0, 200), random.choice(kinds), random.randrange(12), f'{{"k": {random.randrange(3)}}}') for i in range(240)]
+    end = max(r[1] for r in rows) + 900
+    schema = "event_id long, s long, event_type string, user_id long, props string"
+    frame = lambda x: spark.createDataFrame(x, schema).select("event_id", F.timestamp_seconds("s").alias("ts"), "event_type", "user_id", "props")
+    order = sorted(rows, key=lambda r: r[0] // 60 * 60 + random.random() * 59)
+    for n, part in enumerate([order[:80], order[80:160], order[160:], [(999, end, "view", 99, '{"k": 9}')], [(1000, end + 1, "view", 99, '{"k": 9}')]]):
+        frame(part).coalesce(1).write.parquet(str(tmp_path / f"w{n}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        next((tmp_path / f"w{n}").glob("part-*")).rename(tmp_path / f"in/{n}.parquet")
+        os.utime(tmp_path / f"in/{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    seen: dict = {}
+    try:
+        like = frame(rows)
+        source = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        ttl = 600
+        q = T.presence_stream(source, ttl * 1000, "10 minutes").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True)
+        q.foreachBatch(lambda df, n: seen.update({n: [tuple(r) for r in df.collect()]})).start().awaitTermination(240)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    now: dict = {}
+    for n in sorted(seen):
+        rooms: dict = {}
+        for room, present, members in seen[n]:
+            rooms.setdefault(room, []).append((members, present))
+        # Timers of one batch go off in order, so a room's fewest members are its latest.
+        now |= {room: min(x) for room, x in rooms.items()}
+    watermark = end - 600
+    want = {r.room: (r.seen, r.present) for r in T.presence_at(frame(rows), f"{__import__('datetime').datetime.fromtimestamp(watermark, __import__('datetime').timezone.utc):%Y-%m-%d %H:%M:%S}", f"{ttl} seconds").collect()}
+    assert {k: v for k, v in now.items() if k in "012"} == {k: want.get(k, (0, 0)) for k in "012"}
+
+
 def test_models(spark, tmp_path):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("label"))
     model, score = M.train_node_classifier(v)
