@@ -21,6 +21,15 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+def _region_names(content: bytes) -> str:
+    """A caller's parser: what a file of the regions says, as text."""
+    import io
+
+    import pyarrow.parquet as pq
+
+    return "\n".join(sorted(pq.read_table(io.BytesIO(content)).column("r_name").to_pylist()))
+
+
 def query(name: str, sql: str | None = None, recursive: bool = False):
     def add(f):
         QUERIES[name] = f
@@ -39,6 +48,11 @@ def joined(c: str):
     return F.array_join(F.array_sort(c), ",").alias(c)
 
 
+@query("s8_read_binary_docs", "SELECT string_agg(r_name, chr(10) ORDER BY r_name) AS text FROM region")
+def _(s, d):
+    return S.read_binary_docs(s, f"{d}/region.parquet", _region_names).select("text")
+
+
 # --- files and exports -------------------------------------------------------------------------------------------------
 
 
@@ -450,6 +464,14 @@ def _(s, d):
     return M.predict_types(model, v)
 
 
+@query("m7_list_models", "SELECT 'label1' AS name, count(*) AS n FROM embeddings WHERE label = 1")
+def _(s, d):
+    v, folder = vectors(s, d), scratch(s)
+    M.save_model(M.one_label(v, "1"), folder, "label1")
+    n = v.filter("label = '1'").agg(F.count(F.lit(1)).alias("n"))
+    return M.list_models(s, folder).crossJoin(n).select("name", "n")
+
+
 # --- the graph in Spark SQL ------------------------------------------------------------------------------------------------
 
 
@@ -477,6 +499,15 @@ def _(s, d):
 # --- streaming jobs in their batch form ----------------------------------------------------------------------------------
 
 
+@query("t1_ingest_stream", "SELECT doc_id, lang, length(text) AS n_chars FROM documents")
+def _(s, d):
+    target = scratch(s)
+    stream = T.read_stream(s, f"{d}/documents.parquet", G.read_table(s, d, "documents"))
+    merge = T.merged_once(f"{target}/merged", lambda df: df.select("doc_id", "lang", F.char_length("text").cast("long").alias("n_chars")))
+    T.ingest_stream(stream, merge, f"{target}/checkpoint").awaitTermination()
+    return T.ingested(s, f"{target}/merged").select("doc_id", "lang", "n_chars")
+
+
 @query("t2_latest_progress", "SELECT user_id, event_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE k = 1")
 def _(s, d):
     return T.latest_progress(G.read_table(s, d, "events"))
