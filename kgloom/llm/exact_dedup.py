@@ -54,7 +54,7 @@ def exact_dedup(
     Of equal texts the row with the most code points in the original text stays, then the smallest id.
     Null texts count as empty and equal each other and texts of blanks only. Repeated rows each count; a row whose id
     repeats the kept id is kept too. Null ids lose against any id; where all ids of a class are null, keep_id is null
-    and kept is true. An empty table gives an empty result. Other columns are ignored.
+    and kept is true. Texts are read whole, however long. An empty table gives an empty result. Other columns are ignored.
     """
     rows = plain(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", squeezed(F.col("text")).alias("norm"))
     rows = rows.withColumn("digest", digest(F.col("norm")))

@@ -138,7 +138,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint.
 
-    Null texts count as empty; equal texts have equal fingerprints. Null and repeated ids pass through; an empty table gives an
+    Null texts count as empty; equal texts have equal fingerprints; texts are read whole, however long. Null and repeated ids pass through; an empty table gives an
     empty result; other columns are ignored.
     """
 

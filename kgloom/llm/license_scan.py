@@ -10,11 +10,14 @@ family's templates alone confirm it: enough word pairs of one must stand in the
 version and all its modifiers, word by word. Where the pairs stand and the name doesn't, the licence is unknown. What names a confirmed
 licence is then taken out of the paragraph, and the rest is classified again, so a paragraph of several licences gives each.
 
-Every paragraph of every text is scored.
+A result needs ``confirm`` of a template's pairs, so of any larger share of its pairs than the rest one must be there. ``_needed`` picks
+a few words, rare in the corpus, that stand in so many pairs of every template; paragraphs without any of them can give no
+result whatever the classifier says, and aren't scored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -128,11 +131,11 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 
 class LicenseModel:
-    """The classifier, its calibration, the probability from which a paragraph counts, and what the calibration's rows say:
-    the share that it gets wrong at that probability."""
+    """The classifier, its calibration, the probability from which a paragraph counts, what the calibration's rows say (the
+    share that it gets wrong at that probability), and in how many sampled paragraphs the templates' words stand."""
 
-    def __init__(self, model: LogisticRegressionModel, slope: float, shift: float, least: float, error: float) -> None:
-        self.model, self.slope, self.shift, self.least, self.error = model, slope, shift, least, error
+    def __init__(self, model: LogisticRegressionModel, slope: float, shift: float, least: float, error: float, common: dict[str, int]) -> None:
+        self.model, self.slope, self.shift, self.least, self.error, self.common = model, slope, shift, least, error, common
 
 
 def fit(df: DataFrame, sample_rows: int = 400, sample_paragraphs: int = 3000, least: float = 0.5, text_col: str = "text", id_col: str = "doc_id") -> LicenseModel:
@@ -149,8 +152,12 @@ def fit(df: DataFrame, sample_rows: int = 400, sample_paragraphs: int = 3000, le
     sample = staged(sample.select("paragraph", _onward(own, own, 2).alias("own")))
     notices = F.transform(F.split(F.lit(";".join("|".join(_pairs(t)) for _, t in _NOTICES)), ";"), lambda t: F.split(t, "[|]"))
     sample = sample.withColumn("notice", F.explode(notices)).groupBy("paragraph").agg(F.max(F.size(F.array_intersect("notice", "own")) / F.size("notice")).alias("share")).filter("share < 0.5").select("paragraph", (F.pmod(F.xxhash64("paragraph"), F.lit(3)) == 0).alias("held"))
+    known = sorted({w for _, t in _NOTICES for w in _split(t)})
+    # A row for each word of the templates at most.
+    common = {r["w"]: r["n"] for r in sample.select(F.explode(F.array_intersect(words(F.col("paragraph")), _list(known))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     # Each notice alone, with words dropped, and with other text around it; copies weigh against the other class.
-    variants = _templates(spark).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(44))))
+    # Short ones aren't thinned, so they need fewer copies.
+    variants = _templates(spark).withColumn("n", F.explode(F.sequence(F.lit(0), F.when(F.size(F.split("notice", " ")) < 9, F.lit(14)).otherwise(F.lit(44)))))
     kept = F.array_join(F.filter(F.split("notice", " "), lambda w: (F.col("n") < 15) | (F.size(F.split("notice", " ")) < 9) | (F.pmod(F.xxhash64(w, "n"), F.lit(10)) > 0)), " ")
     around = F.when(F.col("n") % 5 == 1, F.concat(F.lit("copyright 2020 the authors "), kept)).when(F.col("n") % 5 == 2, F.concat(kept, F.lit(" see the file for details"))).when(F.col("n") % 5 == 3, F.concat(F.lit("this program is free software "), kept, F.lit(" see the license for more details"))).otherwise(kept)
     variants = variants.select("family", around.alias("paragraph"), (F.col("n") % 3 == 2).alias("held"))
@@ -165,11 +172,31 @@ def fit(df: DataFrame, sample_rows: int = 400, sample_paragraphs: int = 3000, le
     scale = LogisticRegression(maxIter=50, regParam=0.001, standardization=False).fit(held)
     slope, shift = (float(f"{x:.9g}") for x in (scale.coefficients[0], scale.intercept))
     wrong = held.select(F.avg(((_calibrated(F.col("logit"), slope, shift) >= least) != (F.col("label") == 1)).cast("int"))).first()[0]
-    return LicenseModel(model, slope, shift, least, float(wrong or 0.0))
+    return LicenseModel(model, slope, shift, least, float(wrong or 0.0), common)
+
+
+def _split(text: str) -> list[str]:
+    return [x for x in re.split(_BREAK, text) if x]
+
+
+def _needed(common: dict[str, int], confirm: float) -> list[str]:
+    """Words of which a paragraph has one at least if ``confirm`` of any template's pairs stand in it: rare ones first, long ones of these."""
+    taken: set[str] = set()
+    for _, t in _NOTICES:
+        pairs = [p.split(" ") for p in _pairs(t)]
+        # Likeness is rounded to six digits.
+        spare = len(pairs) - math.ceil((confirm - 1e-6) * len(pairs))
+        left = [p for p in pairs if not taken & {*p}]
+        for w in sorted({w for p in left for w in p}, key=lambda w: (common.get(w, 0), -len(w), w)):
+            if len(left) < len(pairs) - spare:
+                break
+            taken.add(w)
+            left = [p for p in left if w not in p]
+    return sorted(taken)
 
 
 def _pairs(text: str) -> list[str]:
-    w = [x for x in re.split(_BREAK, text) if x]
+    w = _split(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
 
 
@@ -234,7 +261,9 @@ def license_scan(df: DataFrame, model: LicenseModel, confirm: float = 0.6, id_co
     in the alphabet is taken. Repeated rows give repeated results; null ids pass through. An empty table gives an empty
     result; other columns are ignored.
     """
-    units = paragraphs(plain(df, doc_id=id_col, text=text_col)).withColumn("shown", F.col("paragraph"))
+    needed = _list(_needed(model.common, confirm))
+    rows = plain(df, doc_id=id_col, text=text_col).filter(F.arrays_overlap(words(F.col("text")), needed))
+    units = paragraphs(rows).filter(F.arrays_overlap(words(F.col("paragraph")), needed)).withColumn("shown", F.col("paragraph"))
     parts: list[DataFrame] = []
     while True:
         first = not parts

@@ -421,7 +421,7 @@ def near_dedup(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "
     Rows are linked when 100 * intersection >= percent * union of their shingle sets; component_id is the smallest id
     that links reach, kept is doc_id = component_id. A text of fewer words than ``width`` is one shingle; texts without
     words (null, empty, blanks only) have empty sets and are linked with nothing. Rows with a null id are linked with nothing
-    and kept. Rows that repeat an id are one node, linked with whatever any of them is linked with. An empty table gives an empty result; other columns are ignored.
+    and kept. Rows that repeat an id are one node, linked with whatever any of them is linked with. Texts are read whole, however long. An empty table gives an empty result; other columns are ignored.
     """
     rows = plain(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = staged(rows.mapInArrow(_signing(width), "doc_id long, n_shingles long, set_key binary, sign binary"))

@@ -220,8 +220,8 @@ def pack(df: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col:
 
     A document's ids are those of the tokenizers file at ``path`` without special tokens, then ``end_id``; a null text
     counts as empty and gives the closing id alone. Sequences have at most ``window`` ids; offsets are gapless from 0.
-    Sequence ids are gapless from 0. Each row is a document of its own, also where ids repeat or are null. An empty
-    table gives an empty result; other columns are ignored. ``table_size`` bounds the words whose ids a worker keeps.
+    Sequence ids are gapless from 0. Each row is a document of its own, also where ids repeat or are null. Texts are
+    encoded whole, however long. Pieces of one length are placed in the order of parts and rows. An empty table gives an empty result; other columns are ignored. ``table_size`` bounds the words whose ids a worker keeps.
     """
     rows = plain(df, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()

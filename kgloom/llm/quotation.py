@@ -54,8 +54,8 @@ def link_quotes(df: DataFrame) -> DataFrame:
 
     Messages that are the same in all four columns are one row with ``copies``; different messages of one turn share
     the turn and are ordered by role and text. Null texts count as empty, null roles as 'unknown'; a null conversation is
-    a conversation of its own, null turns come first and are never quoted nor linked. An empty table gives an empty result;
-    other columns are ignored.
+    a conversation of its own, null turns come first and are never quoted nor linked. Texts are read whole,
+    however long. An empty table gives an empty result; other columns are ignored.
     """
     rows = plain(df, conv_id="conv_id", turn="turn", role="role", text="text")
     rows = rows.groupBy("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).agg(F.count(F.lit(1)).alias("copies"))
@@ -138,7 +138,7 @@ def quoting(conversations: DataFrame) -> DataFrame:
     blanks of the quote after each full stop are line ends."""
     own = plain(conversations, conv_id="conv_id", turn="turn", role="role", text="text")
     before = own.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.max("text").alias("quoted"))
-    quote = F.concat(F.lit("> "), F.regexp_replace(F.regexp_replace("quoted", r"\\. ", ".\n"), "\n", "\n> "), F.lit("\n"))
+    quote = F.concat(F.lit("> "), F.regexp_replace(F.regexp_replace("quoted", r"\. ", ".\n"), "\n", "\n> "), F.lit("\n"))
     enough = F.size(F.split(normalised(F.col("quoted")), " ")) >= WORDS
     return own.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", F.concat(F.when(enough, quote).otherwise(""), "text").alias("text"))
 

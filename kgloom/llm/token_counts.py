@@ -88,8 +88,8 @@ def token_counts(df: DataFrame, path: str, limit: int = 4096, id_col: str = "doc
     """One row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     The counts are those of the sentencepiece model at ``path`` without begin or end tokens; strings of special tokens
-    inside a text are ordinary text. Null texts count as empty: no bytes, no tokens. Null and repeated ids are passed
-    through; an empty table gives an empty result; other columns are ignored. ``table_size`` bounds the kept units.
+    inside a text are ordinary text. Null texts count as empty: no bytes, no tokens. Texts are counted whole,
+    however long. Null and repeated ids are passed through; an empty table gives an empty result; other columns are ignored. ``table_size`` bounds the kept units.
     """
     rows = plain(df, doc_id=id_col, text=text_col)
     return rows.mapInArrow(_counting(path, limit, table_size), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
