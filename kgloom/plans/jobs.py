@@ -501,8 +501,10 @@ def _(s, d):
 
 @query("t1_ingest_stream", "SELECT doc_id, lang, length(text) AS n_chars FROM documents")
 def _(s, d):
-    target = scratch(s)
-    stream = T.read_stream(s, f"{d}/documents.parquet", G.read_table(s, d, "documents"))
+    target, docs_ = scratch(s), G.read_table(s, d, "documents")
+    # A stream reads a folder of files; the table may be a single one.
+    docs_.write.parquet(f"{target}/in")
+    stream = T.read_stream(s, f"{target}/in", docs_)
     merge = T.merged_once(f"{target}/merged", lambda df: df.select("doc_id", "lang", F.char_length("text").cast("long").alias("n_chars")))
     T.ingest_stream(stream, merge, f"{target}/checkpoint").awaitTermination()
     return T.ingested(s, f"{target}/merged").select("doc_id", "lang", "n_chars")
