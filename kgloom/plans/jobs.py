@@ -234,6 +234,18 @@ def _(s, d):
 SQL["i1_detect_sections"] = _SEC.replace("count(*) FILTER (WHERE NOT hd) AS n_lines, ", "")
 
 
+_CHUNKS = _SEC[: _SEC.index("SELECT doc_id, CAST(section")].rstrip() + r""",
+sec AS (SELECT doc_id, CAST(section AS BIGINT) AS section, string_agg(raw, chr(10) ORDER BY line) AS content FROM s WHERE NOT hd GROUP BY 1, 2),
+pieces AS (SELECT doc_id, section, list_filter(list_transform(string_split(regexp_replace(content, '([.!?])(?:\n[ \t\n\x0B\f\r]*\n|[ \t\n\x0B\f\r]+)|\n[ \t\n\x0B\f\r]*\n', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS v FROM sec),
+se AS (SELECT doc_id, section, unnest(v) AS sentence, unnest(range(len(v))) AS seq FROM pieces),
+fold AS (SELECT doc_id, section, list_reduce(list_transform(v, lambda x: {'used': length(x), 'at': 0::BIGINT, 'numbers': [0::BIGINT]}), lambda a, b:
+  CASE WHEN a.used + 1 + b.used > 1000 THEN {'used': b.used, 'at': a.at + 1, 'numbers': list_append(a.numbers, a.at + 1)} ELSE {'used': a.used + 1 + b.used, 'at': a.at, 'numbers': list_append(a.numbers, a.at)} END).numbers AS numbers FROM pieces WHERE len(v) > 0),
+dealt AS (SELECT doc_id, section, unnest(numbers) AS chunk, unnest(range(len(numbers))) AS seq FROM fold),
+ch AS (SELECT *, max(chunk) OVER (PARTITION BY doc_id, section) AS last FROM (SELECT doc_id, section, chunk, string_agg(sentence, ' ' ORDER BY seq) AS content FROM se JOIN dealt USING (doc_id, section, seq) GROUP BY 1, 2, 3)),
+ck AS (SELECT doc_id, section, chunk, content FROM ch WHERE length(content) >= 100 OR last = 0 OR chunk < last),
+tails AS (SELECT *, right(lag(content) OVER (PARTITION BY doc_id, section ORDER BY chunk), 100) AS tail FROM ck),
+ov AS (SELECT doc_id || '-' || section || '-' || chunk AS chunk_id, tail IS NOT NULL AS has_overlap, CASE WHEN tail IS NULL THEN content ELSE '[...] ' || CASE WHEN contains(tail, '. ') THEN substr(tail, strpos(tail, '. ') + 2) ELSE tail END || ' ' || content END AS content FROM tails)"""
+
 @query("i2_tabular_layout", "SELECT doc_id, CAST(len(string_split(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], '|')) AS INTEGER) AS columns, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) - 1 AS INTEGER) AS rows FROM documents WHERE text LIKE '%|%'")
 def _(s, d):
     return I.tabular_layout(docs(s, d).filter("text like '%|%'"), r"\|").select("doc_id", "columns", "rows")
@@ -244,16 +256,25 @@ def _(s, d):
     return I.split_sentences(I.detect_sections(docs(s, d))).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("chars"))
 
 
+SQL["i4_sentences"] = _CHUNKS + " SELECT doc_id, count(*) AS n, CAST(sum(length(sentence)) AS BIGINT) AS chars FROM se GROUP BY 1"
+
+
 @query("i5_chunks")
 def _(s, d):
     return I.chunk(I.detect_sections(docs(s, d))).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
+SQL["i5_chunks"] = _CHUNKS + " SELECT doc_id, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM ck GROUP BY 1"
+
+
 @query("i6_overlap")
 def _(s, d):
     return I.chunked(docs(s, d)).select("chunk_id", "has_overlap", F.length("content").alias("chars"))
 
 
+SQL["i6_overlap"] = _CHUNKS + " SELECT chunk_id, has_overlap, length(content) AS chars FROM ov"
+
+
 @query("i7_define_schema", "SELECT DISTINCT 'entity' AS kind, type FROM nodes UNION SELECT 'entity', unnest(['Person', 'Organization', 'Location', 'Concept', 'Event', 'Product']) UNION SELECT 'relationship', unnest(['RELATED_TO', 'PART_OF', 'LOCATED_IN', 'WORKS_FOR'])")
 def _(s, d):
     return I.define_schema(G.graph_nodes(s, d).select(F.lit("entity").alias("kind"), "type"))
@@ -264,11 +285,19 @@ def frequent_words(s, d):
     return words.groupBy("name").agg(F.count("*").alias("n")).filter("n >= 8").select("name")
 
 
+_MENTIONS = _CHUNKS + r""",
+fw AS (SELECT name FROM (SELECT unnest(list_distinct(string_split_regex(lower(text), '[^\p{L}\p{N}]+'))) AS name FROM documents) WHERE length(name) >= 9 GROUP BY 1 HAVING count(*) >= 8),
+mt AS (SELECT chunk_id, name, count(*) AS n FROM (SELECT chunk_id, unnest(string_split_regex(lower(substr(content, 1, 3000)), '[^\p{L}\p{N}]+')) AS name FROM ov) JOIN fw USING (name) GROUP BY 1, 2)"""
+
+
 @query("i8_extract_mentions")
 def _(s, d):
     return I.extract_mentions(I.chunked(docs(s, d)), frequent_words(s, d))
 
 
+SQL["i8_extract_mentions"] = _MENTIONS + " SELECT chunk_id, name, n FROM mt"
+
+
 @query("i10_dedup_batch", "SELECT id, min(id) OVER (PARTITION BY lower(trim(name)), lower(type)) AS canonical FROM nodes")
 def _(s, d):
     return I.dedup_batch(G.graph_nodes(s, d).withColumn("seq", F.lit(0)).withColumn("name", F.concat(F.lit(" "), F.upper("name")))).select("id", "canonical")
@@ -334,6 +363,9 @@ def _(s, d):
     return I.ingest(docs(s, d), frequent_words(s, d), n, "f0")[2]
 
 
+SQL["i18_ingest"] = _MENTIONS + ", co AS (SELECT a.name AS source, b.name AS target, count(*) AS n FROM mt a JOIN mt b USING (chunk_id) WHERE a.name < b.name GROUP BY 1, 2 HAVING count(*) >= 2) SELECT source, target, n, substr(sha256(source || '|Concept|f0'), 1, 16) AS source_id, substr(sha256(target || '|Concept|f0'), 1, 16) AS target_id FROM co"
+
+
 # --- retrieval ---------------------------------------------------------------------------------------------------------
 
 
@@ -388,7 +420,13 @@ def _(s, d):
     return Q.hybrid_search(*both(s, d), questions(s, d))
 
 
-@query("r6_entity_profiles")
+@query("r6_entity_profiles", """, m AS (SELECT src AS a, dst AS b, type FROM edges UNION SELECT dst, src, type FROM edges), o AS (SELECT a AS id, b, type FROM m WHERE a[1] IN ('n', 's')),
+k AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY type, b) <= 25),
+w AS (SELECT id, c FROM (SELECT DISTINCT k.id, m.b AS c FROM k JOIN m ON m.a = k.b WHERE m.b <> k.id) x WHERE NOT EXISTS (FROM o WHERE o.id = x.id AND o.b = x.c) QUALIFY row_number() OVER (PARTITION BY id ORDER BY c) <= 20),
+lines AS (SELECT k.id, k.type || ': ' || string_agg(n.name, ', ' ORDER BY n.name) AS line FROM k JOIN nodes n ON n.id = k.b GROUP BY k.id, k.type),
+near AS (SELECT id, string_agg(line, chr(10) ORDER BY line) AS t FROM lines GROUP BY 1),
+far AS (SELECT w.id, 'beyond: ' || string_agg(n.name, ', ' ORDER BY n.name) AS t FROM w JOIN nodes n ON n.id = w.c GROUP BY 1)
+SELECT id, concat_ws(chr(10), near.t, far.t) AS text FROM near LEFT JOIN far USING (id)""")
 def _(s, d):
     n, e = both(s, d)
     return Q.entity_profiles(n, e, n.filter("type in ('Nation', 'Supplier')"))
