@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom.operators import paths
+from kgloom.operators.relational import numbered
 from kgloom.sources.graph import Projection
 from kgloom.sources.stage import staged
 
@@ -208,7 +209,7 @@ def _moves(edges: DataFrame, start: DataFrame, gamma: float, rounds: int) -> Dat
     degree = staged(edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")))
     m2 = degree.agg(F.sum("k")).first()[0] or 1.0
     loops = edges.filter("src <> dst")
-    labels = staged(start)
+    labels, moved = staged(start), 0
     for r in range(rounds):
         sizes = labels.join(degree, "id").groupBy("cluster").agg(F.sum("k").alias("held"))
         near = loops.join(labels.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("w"))
@@ -220,8 +221,9 @@ def _moves(edges: DataFrame, start: DataFrame, gamma: float, rounds: int) -> Dat
         stay = F.coalesce("stay", -gamma * F.col("k") * (F.col("held") - F.col("k")) / m2)
         move = alone.filter((F.col("b.gain") > stay + 1e-9) & (F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2)).select("id", F.col("b.cluster").alias("to"))
         after = staged(labels.join(move, "id", "left").select("id", F.coalesce("to", "cluster").alias("cluster"), F.col("to").isNotNull().alias("moved")))
-        moved = after.filter("moved").count()
+        moved = (0 if r % 2 == 0 else moved) + after.filter("moved").count()
         labels = after.select("id", "cluster")
+        # Each node has its turn in one of two rounds.
         if not moved and r % 2:
             break
     return labels
@@ -233,24 +235,40 @@ def _level(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return staged(edges.join(a, "src").join(b, "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("weight").alias("weight")))
 
 
-def louvain(g: Projection, gamma: float = 1.0, levels: int = 6, rounds: int = 12, refine: bool = False) -> DataFrame:
-    """(id, cluster). Levels of synchronous moves and aggregation, until a level moves nothing.
+def louvain_levels(g: Projection, gamma: float = 1.0, rounds: int = 12, refine: bool = False) -> DataFrame:
+    """(level, id, cluster): every node's cluster after each level of moves and aggregation, from 1; a cluster bears its least node's id.
 
-    With ``refine`` (G8) each cluster is split into its connected pieces before aggregation."""
+    A level moves synchronously for at most ``rounds`` half-sweeps, which ends moves that undo each other; levels go on until
+    one leaves as many clusters as it found. With ``refine`` (G8) each cluster is split into its connected pieces before aggregation.
+    A graph in which nothing moves has one level, each node by itself."""
     edges = staged(g.edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     assign = staged(g.nodes.select("id", F.col("id").alias("cluster")))
-    for _ in range(levels):
+    held, out = None, None
+    for level in count(1):
         ends = edges.select(F.col("src").alias("id")).distinct()
         labels = _moves(edges, ends.withColumn("cluster", F.col("id")), gamma, rounds)
         if refine:
             inner = edges.join(labels.select(F.col("id").alias("src"), F.col("cluster").alias("x")), "src").join(labels.select(F.col("id").alias("dst"), F.col("cluster").alias("y")), "dst").filter("x = y")
             labels = staged(wcc(Projection(ends, inner.select("src", "dst"), True)).withColumnRenamed("component", "cluster"))
-        if labels.filter("id <> cluster").isEmpty():
+        now = labels.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("c")).first()
+        if now["c"] == (now["n"] if held is None else held):
             break
+        held = now["c"]
         assign = staged(assign.join(labels.select(F.col("id").alias("cluster"), F.col("cluster").alias("to")), "cluster", "left").select("id", F.coalesce("to", "cluster").alias("cluster")))
         edges = _level(edges, labels)
+        out = _clusters(assign, level) if out is None else out.union(_clusters(assign, level))
+    return _clusters(assign, 1) if out is None else out
+
+
+def _clusters(assign: DataFrame, level: int) -> DataFrame:
     names = assign.groupBy("cluster").agg(F.min("id").alias("first"))
-    return assign.join(names, "cluster").select("id", F.col("first").alias("cluster"))
+    return assign.join(names, "cluster").select(F.lit(level).alias("level"), "id", F.col("first").alias("cluster"))
+
+
+def louvain(g: Projection, gamma: float = 1.0, rounds: int = 12, refine: bool = False) -> DataFrame:
+    """(id, cluster): the last of ``louvain_levels``."""
+    levels = staged(louvain_levels(g, gamma, rounds, refine))
+    return levels.filter(F.col("level") == levels.agg(F.max("level")).first()[0]).select("id", "cluster")
 
 
 def leiden(g: Projection, gamma: float = 1.0) -> DataFrame:
@@ -313,9 +331,8 @@ def bfs(g: Projection, source: str) -> DataFrame:
 
 def random_walks(g: Projection, sources: DataFrame, length: int = 10, count: int = 1, seed: int = 42) -> DataFrame:
     """(walk, step, id): the next node is picked by a hash of seed, walk and step; walks end where no edge leaves."""
-    w = Window.partitionBy("src").orderBy("dst")
-    ranked = staged(g.edges.select("src", "dst").distinct().withColumn("k", F.row_number().over(w) - 1))
-    e = ranked.join(ranked.groupBy("src").agg(F.count(F.lit(1)).alias("deg")), "src")
+    # Numbered by ranges: a hub's neighbours are spread over tasks.
+    ranked = staged(numbered(g.edges.select("src", "dst").distinct(), ["src"], [F.col("dst")], "k").withColumn("k", F.col("k") - 1))
     at = sources.select("id").join(g.edges.sparkSession.range(count).select(F.col("id").alias("n"))).select(F.concat_ws("#", "id", "n").alias("walk"), F.lit(0).alias("step"), "id")
     out = at = staged(at)
     deg = staged(ranked.groupBy("src").agg(F.count(F.lit(1)).alias("deg")))

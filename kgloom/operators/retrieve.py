@@ -11,6 +11,7 @@ from kgloom.operators.links import degree, nearest
 from kgloom.operators.relational import numbered
 from kgloom.operators.textjoin import contained
 from kgloom.sources.graph import adjacency
+from kgloom.sources.stage import staged
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, scope: str | None = None, post_filter: bool = False, raw: bool = False) -> DataFrame:
@@ -89,11 +90,18 @@ def neighbor_triples(nodes: DataFrame, edges: DataFrame, ids: DataFrame, k: int
 
 
 def entity_profiles(nodes: DataFrame, edges: DataFrame, ids: DataFrame, first: int = 25, second: int = 20) -> DataFrame:
-    """(id, text): neighbours by relation, then neighbours at two hops; cut before they are gathered."""
-    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "type").union(edges.select("dst", "src", "type")).distinct()
+    """(id, text): neighbours by relation, then neighbours at two hops; cut before they are gathered.
+
+    Of each way on only the first neighbours are read: at most the entity itself and its own neighbours are left out of what
+    it shows beyond, so none after place ``second`` + 1 + its degree can be among the first ``second``. The work grows with the edges, not
+    with pairs of a hub's neighbours."""
+    e = staged(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "type").union(edges.select("dst", "src", "type")).distinct())
     one = ids.select("id").join(e, F.col("id") == F.col("a")).select("id", "b", "type")
-    kept = one.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("type", "b"))).filter(F.col("r") <= first)
-    two = kept.select("id", F.col("b").alias("a"), F.col("b").alias("via")).join(e.select("a", F.col("b").alias("c")), "a").filter("c <> id").select("id", "c").distinct().join(one.select("id", F.col("b").alias("c")), ["id", "c"], "left_anti")
+    kept = staged(numbered(one, ["id"], [F.col("type"), F.col("b")], "r").filter(F.col("r") <= first))
+    ranked = numbered(e.select("a", F.col("b").alias("c")).distinct(), ["a"], [F.col("c")], "at")
+    reach = one.groupBy("id").agg((F.countDistinct("b") + second + 1).alias("reach"))
+    ways = kept.select("id", F.col("b").alias("a")).distinct().join(reach, "id")
+    two = ways.join(ranked, "a").filter("at <= reach and c <> id").select("id", "c").distinct().join(one.select("id", F.col("b").alias("c")), ["id", "c"], "left_anti")
     two = two.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("c"))).filter(F.col("r") <= second)
     name = nodes.select(F.col("id").alias("b"), "name")
     lines = kept.join(name, "b").groupBy("id", "type").agg(F.concat(F.col("type"), F.lit(": "), F.array_join(F.array_sort(F.collect_list("name")), ", ")).alias("line"))

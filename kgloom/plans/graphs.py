@@ -143,6 +143,11 @@ def _(s, d):
     return A.louvain(undirected(s, d))
 
 
+@query("g7_louvain_levels")
+def _(s, d):
+    return A.louvain_levels(undirected(s, d))
+
+
 @query("g8_leiden")
 def _(s, d):
     return A.leiden(undirected(s, d))

@@ -420,7 +420,7 @@ def _(s, d):
     return Q.hybrid_search(*both(s, d), questions(s, d))
 
 
-@query("r6_entity_profiles", """, m AS (SELECT src AS a, dst AS b, type FROM edges UNION SELECT dst, src, type FROM edges), o AS (SELECT a AS id, b, type FROM m WHERE a[1] IN ('n', 's')),
+@query("r6_entity_profiles", """, m AS (SELECT src AS a, dst AS b, type FROM edges UNION SELECT dst, src, type FROM edges), o AS (SELECT a AS id, b, type FROM m),
 k AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY type, b) <= 25),
 w AS (SELECT id, c FROM (SELECT DISTINCT k.id, m.b AS c FROM k JOIN m ON m.a = k.b WHERE m.b <> k.id) x WHERE NOT EXISTS (FROM o WHERE o.id = x.id AND o.b = x.c) QUALIFY row_number() OVER (PARTITION BY id ORDER BY c) <= 20),
 lines AS (SELECT k.id, k.type || ': ' || string_agg(n.name, ', ' ORDER BY n.name) AS line FROM k JOIN nodes n ON n.id = k.b GROUP BY k.id, k.type),
@@ -429,7 +429,7 @@ far AS (SELECT w.id, 'beyond: ' || string_agg(n.name, ', ' ORDER BY n.name) AS t
 SELECT id, concat_ws(chr(10), near.t, far.t) AS text FROM near LEFT JOIN far USING (id)""")
 def _(s, d):
     n, e = both(s, d)
-    return Q.entity_profiles(n, e, n.filter("type in ('Nation', 'Supplier')"))
+    return Q.entity_profiles(n, e, n)
 
 
 @query("r7_neighbor_triples", ", m AS (SELECT src AS id, src, type, dst FROM edges UNION ALL SELECT dst, src, type, dst FROM edges), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src, type, dst) AS rank FROM m WHERE id LIKE 's%') SELECT k.id, rank, x.name || ' -[' || k.type || ']-> ' || y.name AS triple FROM k JOIN nodes x ON x.id = src JOIN nodes y ON y.id = dst WHERE rank <= 30")

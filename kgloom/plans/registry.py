@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("relational", "graphs", "jobs")
+_MODULES = ("relational", "graphs", "jobs", "whole")
 
 
 def queries() -> dict:

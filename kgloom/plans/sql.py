@@ -25,7 +25,15 @@ folders AS (SELECT 'c' || c_custkey AS folder_id, c_name AS folder_name, 'n' ||
 """
 
 
-def over(text: str, recursive: bool = False) -> str:
+# Every pair of the line items instead of each one's first.
+EVERY = (
+    GRAPH.replace("FROM ps WHERE n = 1", "FROM ps")
+    .replace("FROM cp WHERE n = 1", "FROM cp")
+    .replace("'SERVED_BY', CAST(1 AS DOUBLE), ['cust'] FROM cp JOIN ps USING (l_partkey) WHERE cp.n = 1 AND ps.n = 1", "'SERVED_BY', CAST(sum(price) AS DOUBLE), ['cust'] FROM li JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey")
+)
+
+
+def over(text: str, recursive: bool = False, every: bool = False) -> str:
     """An oracle query over the graph: ``text`` goes on with more expressions after a comma, or with SELECT."""
     t = text.strip()
-    return f"WITH {'RECURSIVE ' if recursive else ''}{GRAPH.strip()}{'' if t.startswith(',') else chr(10)}{t}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{(EVERY if every else GRAPH).strip()}{'' if t.startswith(',') else chr(10)}{t}"

@@ -54,16 +54,23 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graph_edges(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
     """PART_OF and LOCATED_IN from keys; SUPPLIED_BY names a part's main supplier and BOUGHT a customer's favourite part, by the
-    largest quantity and spending in all line items; SERVED_BY a customer's supplier of that part."""
+    largest quantity and spending in all line items; SERVED_BY a customer's supplier of that part.
+
+    With ``every``, each pair of a part and a supplier, a customer and a part, a customer and a supplier in the line items is a relationship,
+    with the summed quantity or spending for its strength."""
     t = lambda n: read_table(spark, sf_dir, n)
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("decimal(18,2)").alias("qty"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
-    by_supplier = lines.groupBy("l_partkey", "l_suppkey").agg(F.sum("qty").alias("w"))
-    by_supplier = by_supplier.groupBy("l_partkey").agg(F.max_by("l_suppkey", F.struct("w", -F.col("l_suppkey"))).alias("to"), F.max("w").alias("w"))
-    spent = lines.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.sum("price").alias("w"))
-    spent = spent.groupBy("o_custkey").agg(F.max_by("l_partkey", F.struct("w", -F.col("l_partkey"))).alias("to"), F.max("w").alias("w"))
-    served = spent.select("o_custkey", F.col("to").alias("l_partkey")).join(by_supplier.select("l_partkey", F.col("to").alias("by")), "l_partkey")
+    by_supplier = lines.groupBy("l_partkey", F.col("l_suppkey").alias("to")).agg(F.sum("qty").alias("w"))
+    bought = lines.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    spent = bought.groupBy("o_custkey", F.col("l_partkey").alias("to")).agg(F.sum("price").alias("w"))
+    if every:
+        served = bought.groupBy("o_custkey", F.col("l_suppkey").alias("by")).agg(F.sum("price").alias("w"))
+    else:
+        by_supplier = by_supplier.groupBy("l_partkey").agg(F.max_by("to", F.struct("w", -F.col("to"))).alias("to"), F.max("w").alias("w"))
+        spent = spent.groupBy("o_custkey").agg(F.max_by("to", F.struct("w", -F.col("to"))).alias("to"), F.max("w").alias("w"))
+        served = spent.select("o_custkey", F.col("to").alias("l_partkey")).join(by_supplier.select("l_partkey", F.col("to").alias("by")), "l_partkey").withColumn("w", F.lit(1.0))
 
     def edge(df: DataFrame, src, dst, kind: str, strength, file_: str) -> DataFrame:
         return df.select(F.concat_ws("-", src, dst).alias("id"), src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), strength.cast("double").alias("strength"), F.array(F.lit(file_)).alias("file_ids"))
@@ -74,7 +81,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         edge(t("supplier"), _key("s", "s_suppkey"), _key("n", "s_nationkey"), "LOCATED_IN", F.lit(None), "supp"),
         edge(by_supplier, _key("p", "l_partkey"), _key("s", "to"), "SUPPLIED_BY", F.col("w"), "part"),
         edge(spent, _key("c", "o_custkey"), _key("p", "to"), "BOUGHT", F.col("w"), "cust"),
-        edge(served, _key("c", "o_custkey"), _key("s", "by"), "SERVED_BY", F.lit(1.0), "cust"),
+        edge(served, _key("c", "o_custkey"), _key("s", "by"), "SERVED_BY", F.col("w"), "cust"),
     ]
     out = parts[0]
     for p in parts[1:]:

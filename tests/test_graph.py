@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kgloom.operators import algorithms as A
 from kgloom.operators import links as L
 from kgloom.operators import paths as P
+from kgloom.operators import retrieve as Q
 from kgloom.sources.graph import Projection
 
 
@@ -141,6 +142,15 @@ def test_communities(spark):
         out = f(g)
         assert sorted(sorted(int(r.id[1:]) for r in rows) for rows in _grouped(out)) == [list(r) for r in groups]
         assert A.modularity(g, out).first()[0] > 0.5
+    at = defaultdict(dict)
+    for r in A.louvain_levels(g).collect():
+        at[r.level][r.id] = r.cluster
+    assert sorted(at) == list(range(1, len(at) + 1)) and all(len(x) == 18 for x in at.values())
+    # Each level has fewer clusters, and what is together stays so.
+    for low, high in itertools.pairwise(sorted(at)):
+        assert len(set(at[high].values())) < len(set(at[low].values()))
+        assert len({(at[low][v], at[high][v]) for v in at[low]}) == len(set(at[low].values()))
+    assert {r.cluster for r in A.louvain_levels(make(spark, [], 3)).collect()} == {"v00", "v01", "v02"}
     tail = make(spark, [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 3)], 6)
     levels, splits = A.girvan_newman(tail, 3)
     assert {(r.splits, r.component) for r in levels.collect()} >= {(1, "v00"), (2, "v00"), (2, "v03")}
@@ -189,3 +199,19 @@ def test_hub_pairs_equal_all_pairs(spark, pairs):
     assert [(-r.score, int(r.a[1:]), int(r.b[1:])) for r in L.lp_preferential_attachment(adj, 5).collect()] == want
     want = sorted(((-len(n[a] | n[b]), a, b) for a, b in free))[:5]
     assert [(-r.score, int(r.a[1:]), int(r.b[1:])) for r in L.lp_total_neighbors(adj, 5).collect()] == want
+
+
+def test_profiles_of_a_hub(spark):
+    """What lies beyond is read from the first neighbours of each way on, and still is the first of all."""
+    random.seed(5)
+    links = sorted({tuple(sorted(random.sample(range(40), 2))) for _ in range(45)} | {(0, v) for v in range(1, 36)})
+    g = make(spark, links, 40, undirected=False)
+    edges = g.edges.withColumn("type", F.lit("T"))
+    n = near(links)
+    want = {}
+    for v in n:
+        kept = sorted(n[v])[:3]
+        beyond = sorted({c for a in kept for c in n[a]} - n[v] - {v})[:4]
+        names = lambda x: ", ".join(sorted(f"name {i}" for i in x))
+        want[f"v{v:02}"] = f"T: {names(kept)}" + (f"\nbeyond: {names(beyond)}" if beyond else "")
+    assert {r.id: r.text for r in Q.entity_profiles(g.nodes, edges, g.nodes, 3, 4).collect()} == want
