@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom.functions.columns import hash_unit, query_terms
-from kgloom.operators.links import degree, nearest
+from kgloom.operators.links import most_similar, nearest
 from kgloom.operators.relational import numbered
 from kgloom.operators.textjoin import contained
 from kgloom.sources.graph import adjacency
@@ -112,13 +112,7 @@ def entity_profiles(nodes: DataFrame, edges: DataFrame, ids: DataFrame, first: i
 
 def similar_to_seeds(adj: DataFrame, seeds: DataFrame, top: int = 3, cutoff: float = 0.3, k: int = 5) -> DataFrame:
     """The nodes most similar to any seed, from the seeds' own neighbours; each seed names its ``top`` at ``cutoff`` or more."""
-    d = degree(adj)
-    size = lambda c: d.select(F.col("id").alias(c), F.col("d").alias(f"d{c}"))
-    mine = adj.join(seeds.select(F.col("id").alias("a")), "a", "left_semi").withColumnRenamed("b", "v")
-    # The larger neighbourhood has the cutoff's share in common, so sizes differ by no more.
-    shared = mine.join(adj.select(F.col("a").alias("b"), F.col("b").alias("v")), "v").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    near = shared.join(size("a"), "a").join(size("b"), "b").withColumn("similarity", F.col("c") / (F.col("da") + F.col("db") - F.col("c"))).filter(F.col("similarity") >= cutoff)
-    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).filter(F.col("rank") <= top).withColumn("similarity", F.round("similarity", 4))
+    best = most_similar(adj, top, cutoff, seeds).withColumn("similarity", F.round("similarity", 4))
     return best.groupBy(F.col("b").alias("id")).agg(F.max("similarity").alias("similarity")).join(seeds.select("id"), "id", "left_anti").orderBy(F.desc("similarity"), "id").limit(k)
 
 
