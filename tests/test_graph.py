@@ -5,10 +5,12 @@ import math
 import random
 from collections import defaultdict, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kgloom.operators import algorithms as A
+from kgloom.operators import learning as M
 from kgloom.operators import links as L
 from kgloom.operators import paths as P
 from kgloom.operators import retrieve as Q
@@ -215,3 +217,23 @@ def test_profiles_of_a_hub(spark):
         names = lambda x: ", ".join(sorted(f"name {i}" for i in x))
         want[f"v{v:02}"] = f"T: {names(kept)}" + (f"\nbeyond: {names(beyond)}" if beyond else "")
     assert {r.id: r.text for r in Q.entity_profiles(g.nodes, edges, g.nodes, 3, 4).collect()} == want
+
+
+def test_random_projections(spark):
+    """Against the same sums by hand; a vector stays whole on its way, so no row is a single number."""
+    random.seed(8)
+    pairs = sorted({tuple(sorted((random.choice([0, random.randrange(60)]), random.randrange(61, 90)))) for _ in range(150)})
+    g, dim = make(spark, pairs, 99), 16
+    h = spark.range(dim).select(F.col("id").cast("int").alias("d")).crossJoin(g.nodes.select("id")).select("id", "d", F.pmod(F.xxhash64(F.lit(42), "id", "d"), F.lit(6)).alias("h"))
+    now, want = np.zeros((99, dim)), np.zeros((99, dim))
+    for r in h.collect():
+        now[int(r.id[1:]), r.d] = {0: 1, 1: -1}.get(r.h, 0)
+    n = near(pairs)
+    for w in (0, 1, 1):
+        now = np.array([sum((now[v] for v in n[u]), np.zeros(dim)) for u in range(99)])
+        now /= np.maximum(np.sqrt((now * now).sum(axis=1)), 1e-300)[:, None]
+        want += w * now
+    got = {int(r.id[1:]): r.embedding for r in M.fastrp(g, dim).collect()}
+    assert len(got) == 99 and all(np.allclose(got[v], want[v], atol=1e-5) for v in got)
+    sent = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [2.0, 2.0]), ("b", [0.0, 0.0])], "id string, x array<float>")
+    assert [(r.id, [round(x, 6) for x in r.x]) for r in M._summed(sent, 2).collect()] == [("a", [0.6, 0.8])]
