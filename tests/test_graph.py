@@ -14,6 +14,7 @@ from kgloom.operators import learning as M
 from kgloom.operators import links as L
 from kgloom.operators import paths as P
 from kgloom.operators import retrieve as Q
+from kgloom.operators.blocks import Blocks
 from kgloom.sources.graph import Projection
 
 
@@ -237,3 +238,24 @@ def test_random_projections(spark):
     assert len(got) == 99 and all(np.allclose(got[v], want[v], atol=1e-5) for v in got)
     sent = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [2.0, 2.0]), ("b", [0.0, 0.0])], "id string, x array<float>")
     assert [(r.id, [round(x, 6) for x in r.x]) for r in M._summed(sent, 2).collect()] == [("a", [0.6, 0.8])]
+
+
+def test_sums_over_packed_edges(spark):
+    """Several blocks give what one gives, doubled edges count twice, ends that are no nodes not at all; a round moves no edge."""
+    random.seed(6)
+    nodes = spark.createDataFrame([(f"v{i:03}",) for i in range(100)], "id string")
+    rows = [(f"v{random.randrange(100):03}", f"v{random.randrange(110):03}") for _ in range(700)] * 2
+    edges, value = spark.createDataFrame(rows, "src string, dst string"), {f"v{i:03}": 1.0 + i for i in range(100)}
+    given = spark.createDataFrame(list(value.items()), "id string, v double")
+    for per in (1 << 25, 200):
+        b = Blocks(edges, nodes, True, per)
+        assert b.of == (1 if per > 200 else 7) and b.named(b.values(given, "v"), "v").orderBy("id").collect() == given.orderBy("id").collect()
+        for back, ends in ((False, (0, 1)), (True, (1, 0))):
+            want = defaultdict(float)
+            for r in rows:
+                if r[1] in value:
+                    want[r[ends[1]]] += value[r[ends[0]]]
+            done = b.step(b.values(given, "v"), b.values(given, "v"), lambda total, own: (total, own), back)
+            assert {r.id: r.s for r in b.named(done, "s").collect()} == {k: want[k] for k in value}
+            plan = b.sums(b.values(given, "v"), back)._jdf.queryExecution().executedPlan().toString()
+            assert "SelectedBucketsCount" in plan and plan.count("Exchange hashpartitioning") == 1
