@@ -101,7 +101,10 @@ def entity_profiles(nodes: DataFrame, edges: DataFrame, ids: DataFrame, first: i
     ranked = numbered(e.select("a", F.col("b").alias("c")).distinct(), ["a"], [F.col("c")], "at")
     reach = one.groupBy("id").agg((F.countDistinct("b") + second + 1).alias("reach"))
     ways = kept.select("id", F.col("b").alias("a")).distinct().join(reach, "id")
-    two = ways.join(ranked, "a").filter("at <= reach and c <> id").select("id", "c").distinct().join(one.select("id", F.col("b").alias("c")), ["id", "c"], "left_anti")
+    # A way meets the places up to its reach only, octave by octave, and not all of a hub's neighbours.
+    octave = lambda c: F.floor(F.log2(F.col(c).cast("double"))).cast("int")
+    ways = ways.withColumn("octave", F.explode(F.sequence(F.lit(0), octave("reach"))))
+    two = ways.join(ranked.withColumn("octave", octave("at")), ["a", "octave"]).filter("at <= reach and c <> id").select("id", "c").distinct().join(one.select("id", F.col("b").alias("c")), ["id", "c"], "left_anti")
     two = two.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("c"))).filter(F.col("r") <= second)
     name = nodes.select(F.col("id").alias("b"), "name")
     lines = kept.join(name, "b").groupBy("id", "type").agg(F.concat(F.col("type"), F.lit(": "), F.array_join(F.array_sort(F.collect_list("name")), ", ")).alias("line"))
