@@ -15,7 +15,7 @@ from kgloom.operators import links as L
 from kgloom.operators import paths as P
 from kgloom.operators import retrieve as Q
 from kgloom.operators.blocks import Blocks
-from kgloom.sources.graph import Projection
+from kgloom.sources.graph import Projection, adjacency, graph_edges, project
 
 
 def make(spark, pairs, n, undirected=True, weight=1.0):
@@ -259,3 +259,20 @@ def test_sums_over_packed_edges(spark):
             assert {r.id: r.s for r in b.named(done, "s").collect()} == {k: want[k] for k in value}
             plan = b.sums(b.values(given, "v"), back)._jdf.queryExecution().executedPlan().toString()
             assert "SelectedBucketsCount" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_edges_travel_once(spark):
+    """Both directions of an edge arise after its one exchange, the greatest weight of either for both; a node's degrees as well."""
+    g = make(spark, [], 4)
+    e = spark.createDataFrame([("v00", "v01", 2.0), ("v01", "v00", 5.0), ("v02", "v01", None), ("v03", "v03", 1.0)], "src string, dst string, strength double")
+    both, near = project(g.nodes, e, undirected=True).edges, adjacency(e)
+    assert sorted(tuple(r) for r in both.collect()) == [("v00", "v01", 5.0), ("v01", "v00", 5.0), ("v01", "v02", 1.0), ("v02", "v01", 1.0)]
+    assert sorted(tuple(r) for r in near.collect()) == [("v00", "v01"), ("v01", "v00"), ("v01", "v02"), ("v02", "v01")]
+    for df in (both, near):
+        assert "Union" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_edge_from_one_join(spark):
+    """A customer's relations to parts and to suppliers share the join of line items and orders."""
+    plan = graph_edges(spark, "/root/testdata/sf0.001", every=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem.parquet") <= 2 and plan.count("Join Inner") == 1
