@@ -276,3 +276,12 @@ def test_every_edge_from_one_join(spark):
     """A customer's relations to parts and to suppliers share the join of line items and orders."""
     plan = graph_edges(spark, "/root/testdata/sf0.001", every=True)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lineitem.parquet") <= 2 and plan.count("Join Inner") == 1
+
+
+def test_moves_read_edges_in_buckets(spark, monkeypatch):
+    """A level's edges are dealt once, by the end whose label travels; two cliques come apart and keep their least ids."""
+    dealt = []
+    monkeypatch.setattr(A, "kept", lambda df, of, column: dealt.append((of, column)) or df)
+    out = A.louvain(make(spark, [*itertools.combinations(range(5), 2), *itertools.combinations(range(5, 10), 2), (0, 9)], 10))
+    assert {r.id: r.cluster for r in out.collect()} == {f"v{i:02}": "v00" if i < 5 else "v05" for i in range(10)}
+    assert dealt and set(dealt) == {(1, "dst")}
