@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom.functions.columns import merge_maps
-from kgloom.operators.relational import link_relationships, valid_edges
+from kgloom.operators.relational import counted_pairs, link_relationships, numbered, valid_edges
 from kgloom.operators.textjoin import alike
+from kgloom.sources.stage import staged
 
 #: Entity and relationship types that every folder starts with.
 DEFAULT_ENTITY_TYPES = ("Person", "Organization", "Location", "Concept", "Event", "Product")
@@ -97,9 +98,11 @@ def extract(chunks: DataFrame, extractor: Callable, schema: str) -> DataFrame:
 
 
 def co_occurrences(mentions: DataFrame, least: int = 2) -> DataFrame:
-    """I8: relations between names that share chunks: (source, target, n)."""
-    a, b = mentions.select("chunk_id", F.col("name").alias("source")), mentions.select("chunk_id", F.col("name").alias("target"))
-    return a.join(b, "chunk_id").filter("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    """I8: relations between names that share chunks: (source, target, n). Names are numbered in their order, and pairs counted where packed numbers lie."""
+    m = mentions.select("chunk_id", "name").filter("chunk_id is not null and name is not null")
+    names = staged(numbered(m.select("name").distinct(), [], [F.col("name")], "x").withColumn("x", F.col("x").cast("int")))
+    counts = counted_pairs(staged(m.join(names, "name").select("chunk_id", "x")), least)
+    return counts.join(names.withColumnRenamed("name", "source"), "x").join(names.select(F.col("name").alias("target"), F.col("x").alias("y")), "y").select("source", "target", "n")
 
 
 link_extracted = link_relationships  # I9
@@ -180,7 +183,8 @@ def chunked(docs: DataFrame) -> DataFrame:
 def ingest(docs: DataFrame, dictionary: DataFrame, existing: DataFrame, folder_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chunks, entities with canonical ids and relationships of new documents."""
     chunks = chunked(docs)
-    mentions = extract_mentions(chunks, dictionary)
+    # Written once: entities and relations both read them, and the texts are cut once.
+    mentions = staged(extract_mentions(chunks, dictionary))
     per = mentions.groupBy("name").agg(F.min("chunk_id").alias("chunk_id"), F.sum("n").alias("n"))
     ents = per.select(F.substring(F.sha2(F.concat_ws("|", "name", F.lit("Concept"), F.lit(folder_id)), 256), 1, 16).alias("id"), F.lit(0).alias("seq"), "name", F.lit("Concept").alias("type"), F.lit(folder_id).alias("folder_id"), "chunk_id", "n")
     mapped = ents.join(reconcile_entities(ents, existing), "id")

@@ -125,3 +125,16 @@ def test_models(spark, tmp_path):
     M.save_model(model, str(tmp_path), "types")
     assert [r.name for r in M.list_models(spark, str(tmp_path)).collect()] == ["types"]
     assert M.drop_model(spark, str(tmp_path), "types") and not (tmp_path / "types").exists()
+
+
+def test_co_occurrences_travel_packed(spark):
+    """Names that share chunks, against brute force; packed numbers are expanded where pairs are counted."""
+    random.seed(6)
+    rows = [(f"c{i}", n, 1) for i in range(12) for n in random.sample("abcdefgh", 4)]
+    out = I.co_occurrences(spark.createDataFrame(rows, "chunk_id string, name string, n long"))
+    held = {}
+    for c, n, _ in rows:
+        held.setdefault(c, set()).add(n)
+    want = {(a, b): k for a in "abcdefgh" for b in "abcdefgh" if a < b and (k := sum(a in h and b in h for h in held.values())) >= 2}
+    assert {(r.source, r.target): r.n for r in out.collect()} == want and len(want) > 5
+    assert "explode(ys" in out._jdf.queryExecution().optimizedPlan().toString()
