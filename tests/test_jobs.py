@@ -21,6 +21,16 @@ def test_entry_and_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_typed_pairs_of_all_types(spark):
+    """Customers and parts are paired as well, not nations and suppliers only."""
+    want = {}
+    for r in G.graph_nodes(spark, D).collect():
+        want.setdefault((r.type, r.folder_id), []).append(r.id)
+    want = {(*k, a, b) for k, ids in want.items() for a in ids for b in ids if a < b}
+    got = [(r.type, r.folder_id, r.a, r.b) for r in entry.queries()["j7_typed_pairs"](spark, D).collect()]
+    assert {k[0] for k in got} >= {"Customer", "Part"} and len(got) == len(want) and set(got) == want
+
+
 def test_text_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("été".encode())
     (tmp_path / "b.txt").write_bytes("été".encode("latin-1"))
